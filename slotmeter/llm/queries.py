@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.llm.decontaminate import find_contamination
 from slotmeter.llm.line_dedup import dedup_lines
+from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,11 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+@_query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), n=2)
+
+
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
