@@ -337,24 +337,23 @@ def _shared(spark, path: str):
     return load
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """(id, ids) for each row: the whole text's token ids; null and empty texts have none.
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns named in keep, ids) for each row: the whole text's token ids; null and empty texts have none.
 
     Strings of special tokens become their ids. Characters that Unicode assigned after Python's own
     tables were made count as neither letters nor digits. Ids may repeat or be null; other columns are not read.
     """
     load = _shared(docs.sparkSession, path)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bpe = load()
         coded = list(bpe.encode_many(batch.column(1).to_pylist()))
         offsets = np.concatenate(([0], np.cumsum([n for _, n in coded]))).astype(np.int32)
         values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(b for b, _ in coded))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, *keep, out_col])
 
-    out = arrow_map(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), run, f"id {id_type}, ids array<int>")
-    return out.withColumnsRenamed({"id": id_col, "ids": out_col})
+    base = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    return arrow_map(base, run, base.drop("_text").withColumn(out_col, F.array(F.lit(0))).schema)
 
 
 def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", as_text: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.llm.bpe import decode_ids, encode_texts
 from slotmeter.llm.decontaminate import find_contamination
+from slotmeter.llm.langid import fit_languages, held_out, identify
 from slotmeter.llm.line_dedup import dedup_lines
 from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.multi_index import link_vectors
@@ -58,6 +59,14 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+@_query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = identify(docs, fit_languages(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_read(spark, sf_dir, "embeddings"))
