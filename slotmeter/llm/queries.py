@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotmeter.llm.bpe import decode_ids, encode_texts
+from slotmeter.llm.class_lm import score_texts
 from slotmeter.llm.decontaminate import find_contamination
 from slotmeter.llm.langid import fit_languages, held_out, identify
 from slotmeter.llm.line_dedup import dedup_lines
@@ -59,6 +60,11 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+@_query
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
