@@ -15,6 +15,7 @@ from slotmeter.llm.langid import fit_languages, held_out, identify
 from slotmeter.llm.line_dedup import dedup_lines
 from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.multi_index import link_vectors
+from slotmeter.llm.suffix_dedup import drop_repeats
 from slotmeter.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
