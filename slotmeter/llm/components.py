@@ -6,6 +6,7 @@ a logarithmic number of rounds suffices in practice. No node's neighbours are ga
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,19 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def spanning_forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (x, y) between nodes 0..n-1 connect what the edges before them did not."""
+    parent, kept = list(range(n)), []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append(k)
+    return np.array(kept, np.int64)

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotmeter.llm.common import arrow_map, as_bytes, staged
-from slotmeter.llm.components import components
+from slotmeter.llm.components import components, spanning_forest
 from slotmeter.llm.wordhash import mix, shingle_sets
 
 BINS, ROWS = 240, 6
+#: Documents in a block of a star: those outside the centre's component, and those they are tested against.
+OUTSIDE, INSIDE = 256, 1024
 ATTEMPTS = 4096
 _DONORS: dict[int, np.ndarray] = {}
 
@@ -178,11 +180,51 @@ def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _residual(stars: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one star that are in different components."""
+    """Links between members of one star that are in different components, as a spanning forest.
+
+    Each member's set moves once to a grid of bounded blocks of its star (members outside the
+    centre's component against all), where the pairs are tested without becoming rows.
+    """
     found = components(links)
-    placed = stars.select("a", "b", "d").join(found.select(F.col("id").alias("b"), "component").hint("merge"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    x = placed.select("a", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("component").alias("cx"))
-    y = placed.select("a", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("component").alias("cy"))
-    near = (F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-    pairs = x.hint("merge").join(y, "a").where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    return _tested(pairs, sets, percent).where("linked").select("a", "b")
+    centre = found.select(F.col("id").alias("a"), F.col("component").alias("main"))
+    placed = stars.select("a", F.col("b").alias("id"), "d").join(found.hint("merge"), "id", "left").join(centre.hint("merge"), "a", "left")
+    placed = placed.select("a", "id", "d", F.coalesce("component", "id").alias("component"), F.coalesce("main", "a").alias("main"))
+    placed = placed.withColumn("out", F.col("component") != F.col("main"))
+    size = placed.groupBy("a").agg(F.count_if("out").alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0 and n > 1")
+    size = size.select("a", F.ceil(F.col("n_out") / OUTSIDE).alias("rows"), F.ceil(F.col("n") / INSIDE).alias("cols"))
+    placed = placed.join(size.hint("merge"), "a").join(sets.hint("merge"), "id")
+    columns = ["a", "id", "d", "component", "s"]
+    left = placed.where("out").select(*columns, F.pmod(F.xxhash64("id"), F.col("rows")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("y"), F.lit(True).alias("left"))
+    right = placed.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")).alias("y"), F.lit(False).alias("left"))
+    id_type = placed.schema["id"].dataType.simpleString()
+
+    def test(table: pa.Table) -> pa.Table:
+        is_left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        d, names, parts = table.column("d").to_numpy(), table.column("id"), table.column("component").to_pylist()
+        component = np.unique(np.array(parts, dtype=object), return_inverse=True)[1]
+        lists = table.column("s").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        coded = np.unique(flat, return_inverse=True)[1]
+        ls, rs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        sizes = np.diff(offsets)
+        rs = rs[sizes[rs] > 0]
+        right_codes = np.concatenate([coded[offsets[r] : offsets[r + 1]] for r in rs]) if len(rs) else coded[:0]
+        starts = np.concatenate(([0], np.cumsum(sizes[rs])[:-1])).astype(np.int64)
+        mark, hits = np.zeros(len(coded) + 1, np.int64), []
+        for l in ls:
+            may = (component[rs] != component[l]) & (np.abs(d[rs] - d[l]) <= 1 - percent / 100 + 1e-9)
+            if not may.any():
+                continue
+            own = coded[offsets[l] : offsets[l + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[right_codes], starts)
+            mark[own] = 0
+            ok = np.flatnonzero(may & (100 * common >= percent * (sizes[rs] + sizes[l] - common)))
+            hits.append((np.full(len(ok), component[l]), component[rs[ok]], np.full(len(ok), l), rs[ok]))
+        if not hits:
+            return pa.table({"a": names.slice(0, 0), "b": names.slice(0, 0)})
+        x, y, l, r = (np.concatenate(h) for h in zip(*hits, strict=True))
+        keep = spanning_forest(x, y, component.max() + 1)
+        return pa.table({"a": names.take(pa.array(l[keep])), "b": names.take(pa.array(r[keep]))})
+
+    return left.unionByName(right).groupBy("a", "x", "y").applyInArrow(test, f"a {id_type}, b {id_type}")
