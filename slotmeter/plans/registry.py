@@ -1,4 +1,8 @@
 """All registered queries of the fidelity engine, with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from slotmeter.plans import core
+
+_MODULES = (core,)
+
+QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
