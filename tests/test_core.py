@@ -56,7 +56,7 @@ def test_empty_sides_and_identity(spark):
 def test_written_records(spark):
     text = "noise >(a: x; y ,z); (b: q)); no colon); (a: last)</LIST>".replace("</LIST>", "</List>")
     got = slots.parse_record(spark.createDataFrame([(1, text)], "id long, mr string"), ["id"]).orderBy("slot", "vpos").collect()
-    assert [(r["slot"], r["vpos"], r["value"]) for r in got] == [("a", 1, "x"), ("a", 2, "y,z"), ("a", 3, "last"), ("b", 1, "q)")]
+    assert [(r["slot"], r["vpos"], r["value"]) for r in got] == [("a", 1, "x"), ("a", 2, "y,z"), ("a", 3, "last"), ("b", 1, "q)"), ("b", 2, "no colon")]
 
 
 def test_rank_metrics(spark):
