@@ -24,6 +24,7 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ _CONTROL = re.compile("[\\x1c-\\x1f]")
 #: Longer pieces are streamed.
 SHORT = 64
 #: Characters of the texts whose words are looked up together.
-GROUP = 1 << 20
+GROUP = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -61,12 +62,14 @@ class Bpe:
         self.rank = {(m[0], m[1]): k for k, m in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.named = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
         self.longest = max(len(t.removesuffix(self.end)) if t != self.end else len(t) for t in self.ids)
         self.lookahead = sufficient_lookahead(list(self.rank), self.end)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.piece = regex.compile(split)
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.letters = byte_letters()
+        self.table = dict(enumerate(self.letters))
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
@@ -118,16 +121,16 @@ class Bpe:
         return found
 
     def follows(self, a: str, b: str) -> bool:
-        """Whether a and b stay apart when their symbols are merged together.
+        """Whether b stands and stays apart from a when their symbols are merged together.
 
-        They do unless a symbol at a's right edge and one at b's left edge are there at the same
+        They do stay apart unless a symbol at a's right edge and one at b's left edge are there at the same
         time and their merge comes before either's own next one (of equal ranks the left one first).
         """
         found = self._pairs.get((a, b))
         if found is None:
             if len(self._pairs) > MEMORY:
                 self._pairs.clear()
-            rank, found = self.rank, True
+            rank, found = self.rank, self.stands(b)
             for x, born, ends in self._spine(a, True):
                 for y, since, until in self._spine(b, False):
                     r = rank.get((x, y))
@@ -141,13 +144,18 @@ class Bpe:
 
         inside: the text continues an earlier one, whose last token is last[0].
         """
-        ids = self.ids
-        for start in range(max(0, until - self.longest), until):
+        ids, pairs = self.ids, self._pairs
+        for start in range(until - 1, max(-1, until - self.longest - 1), -1):  # one token fits; most are short
             token = text[start:until] + suffix
             if token in ids:
                 before = last[start]
-                if self.stands(token) and (self.follows(before, token) if before is not None else not start and not inside):
-                    return token
+                if before is None:
+                    if not start and not inside and self.stands(token):
+                        return token
+                else:
+                    fits = pairs.get((before, token))
+                    if fits or fits is None and self.follows(before, token):
+                        return token
         raise ValueError(f"no token ends here: {text[max(0, until - 40):until]!r}")
 
     def encode_piece(self, text: str) -> list[int]:
@@ -172,24 +180,30 @@ class Bpe:
 
     # texts
 
-    def words(self, text: str) -> Iterator[str | int]:
+    def words(self, text: str) -> list[str | int]:
         """White-space separated normalised words; a special token's id where its string stands."""
+        if text.isascii() and "<" not in text and not _CONTROL.search(text):
+            return text.lower().split()
+        out: list[str | int] = []
         parts = self.cut.split(text) if self.cut and "<" in text else [text]
         for part in parts:
             if part in self.special:
-                yield self.special[part]
+                out.append(self.special[part])
                 continue
             if not part.isascii():
                 if not unicodedata.is_normalized("NFC", part):
                     part = unicodedata.normalize("NFC", part)
                 part = part.replace("Σ", "σ")  # letter by letter: no final sigma
             if _CONTROL.search(part):
-                yield from (w for w in _WHITE.split(part.lower()) if w)
+                out += [w for w in _WHITE.split(part.lower()) if w]
             else:
-                yield from part.lower().split()
+                out += part.lower().split()
+        return out
 
     def encode_word(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():
+        if word.isalpha():  # letters only are one piece
+            pieces = [word if word.isascii() else word.encode().decode("latin-1").translate(self.table)]
+        elif word.isascii() and word.isprintable():
             pieces = self.piece.findall(word)
         else:  # code points that are not assigned yet count as neither letters nor digits
             shape = "".join(["\ufffe" if category(c) == "Cn" else c for c in word])
@@ -209,7 +223,7 @@ class Bpe:
         """Each text's ids as little-endian 32-bit integers, and how many; words new to a group are encoded in order."""
         group, size = [], 0
         for t in texts:
-            group.append(list(self.words(t or "")))
+            group.append(self.words(t or ""))
             size += len(t or "")
             if size > GROUP:
                 yield from self._encode_group(group)
@@ -220,8 +234,11 @@ class Bpe:
         known = self._words
         if len(known) >= MEMORY:
             known.clear()
-        new = {w for words in group for w in words if w not in known}
-        for word in sorted(new, key=str):
+        found: set = set()
+        for words in group:
+            found.update(words)
+        new = found - known.keys()
+        for word in sorted(new, key=str) if any(isinstance(w, int) for w in new) else sorted(new):
             ids = [word] if isinstance(word, int) else self.encode_word(word)
             known[word] = array("i", ids).tobytes()
         for words in group:
@@ -320,6 +337,10 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
 _LOADED: dict[str, Bpe] = {}
 
 
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int32))
+
+
 def _shared(spark, path: str):
     """A function that gives the tokenizer in a worker; the file is read once, by the driver."""
     with open(path, encoding="utf-8") as f:
@@ -368,9 +389,15 @@ def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str =
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bpe = load()
-        lists = batch.column(at)
-        texts = ["".join(bpe.text(ids.as_py() or [])) if as_text else bpe.joined(ids.as_py() or []) for ids in lists]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+        lists = batch.column(at).fill_null([])
+        if as_text:
+            texts = pa.array(["".join(bpe.text(ids)) for ids in lists.to_pylist()], pa.string())
+        else:
+            values = lists.flatten()
+            if len(values) and (pc.min(values).as_py() < 0 or pc.max(values).as_py() >= len(bpe.named)):
+                raise ValueError("an id is outside the vocabulary")
+            texts = pc.binary_join(pa.ListArray.from_arrays(_offsets(lists), bpe.named.take(values)), " ")
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out_col])
 
     schema = coded.withColumn(out_col, F.lit("")).schema
     return arrow_map(coded, run, schema)

@@ -318,10 +318,8 @@ def score_toxicity(docs: DataFrame, model: Svm, id_col: str = "doc_id", text_col
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
-            scores = model.score(model.landmarks.features(part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(scores)], names=["id", *keep, "score"])
+        scores = model.score(model.landmarks.features(batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=["id", *keep, "score"])
 
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in keep])
     return arrow_map(base, run, base.drop("text").withColumn("score", F.lit(0.0)).schema).withColumnRenamed("id", id_col)
