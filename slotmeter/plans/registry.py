@@ -1,8 +1,8 @@
 """All registered queries of the fidelity engine, with their DuckDB counterparts."""
 
-from slotmeter.plans import building, core, datasets, notation, routing
+from slotmeter.plans import building, core, datasets, notation, routing, tables
 
-_MODULES = (core, routing, datasets, notation, building)
+_MODULES = (core, routing, datasets, notation, building, tables)
 
 QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
