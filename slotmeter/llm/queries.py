@@ -16,7 +16,7 @@ from slotmeter.llm.line_dedup import dedup_lines
 from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.multi_index import link_vectors
 from slotmeter.llm.suffix_dedup import drop_repeats
-from slotmeter.llm.toxicity import fit_toxicity, score_toxicity
+from slotmeter.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
 from slotmeter.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,9 +121,8 @@ FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"), 3, 1)
-    labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    train = docs.where(~out).join(labels.hint("shuffle_hash"), "doc_id")
-    found = score_toxicity(docs, fit_toxicity(train))
+    labels = _read(spark, sf_dir, "labels").where(~out)
+    found = score_toxicity(docs, fit_toxicity(labelled_sample(docs, labels)))
     return found.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 

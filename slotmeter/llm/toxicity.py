@@ -3,8 +3,7 @@
 The kernel of two strings sums, over all subsequences of ``ORDER`` letters they share, a decay to
 the power of the lengths they span, so an insult with letters inserted or left out stays near its
 plain form; its ``POWER``-th power, a kernel again, sets near forms apart from accidental ones. A
-sentence is a bag of units (the letters and digits of a token; a run of tokens of one or two letters
-is one unit), and its kernel with a landmark is that of its best unit, scaled by the landmark's own.
+sentence is a bag of units (the letters and digits of a token; a run of tokens of one letter is one unit), and its kernel with a landmark is that of its best unit, scaled by the landmark's own.
 Landmarks are units, or beginnings of units, that tell toxic training texts from others. The machine
 is trained on sentences: of a toxic text its most toxic sentence stands for it, chosen again after
 each round, and all sentences of the other texts are negative.
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotmeter.llm.common import arrow_map
+from slotmeter.llm.common import arrow_map, staged
 
 #: Letters of a subsequence, decay of each letter it spans, power of the kernel, longest unit (longer ones are read in overlapping cuts).
 ORDER, DECAY, POWER, WIDTH = 3, 0.75, 2, 32
@@ -34,7 +33,7 @@ MAX_TEXTS = 3000
 MEMORY = 300_000
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 _OTHER = re.compile(r"[\W_]+")
-_RUN = re.compile(r"(?:^|\s)(?:\S{1,2}\s+){2}\S{1,2}(?:\s|$)")
+_RUN = re.compile(r"(?:^|\s)(?:\w\s+){2}\w(?:\s|$)")
 
 
 def plain(token: str) -> str:
@@ -43,10 +42,10 @@ def plain(token: str) -> str:
 
 
 def runs(sentence: str) -> list[str]:
-    """Runs of three or more tokens of one or two characters, each as one unit."""
+    """Runs of three or more tokens of one letter or digit, each as one unit."""
     found, run = [], []
     for t in [*sentence.split(), "###"]:
-        if len(t) <= 2:
+        if len(t) == 1 and t.isalnum():
             run.append(t)
             continue
         if len(run) >= 3:
@@ -118,6 +117,7 @@ class Landmarks:
         self.counts = np.stack([(self.codes == c).sum(1) for c in self.alphabet]).astype(np.float32) if len(self.alphabet) else np.zeros((0, len(strings)), np.float32)
         self.needed = np.maximum(ORDER, np.ceil(SHARE * self.counts.sum(0)))
         self.known: dict[str, list] = {}  # by token, and by a token's letters and digits
+        self.hot: set[str] = set()  # tokens that resemble a landmark
 
     def scaled(self, value: np.ndarray, landmark: np.ndarray) -> np.ndarray:
         return np.minimum(value / np.maximum(self.own[landmark], 1e-30), 1) ** POWER
@@ -143,6 +143,7 @@ class Landmarks:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
+            self.hot.clear()
         new = [(t, plain(t)) for t in tokens - known.keys()]
         forms = {p: cuts(p) for _, p in new if p not in known}
         flat = sorted({c for p in forms.values() for c in p if len(c) > ORDER})
@@ -151,6 +152,8 @@ class Landmarks:
             known[p] = [h for c in parts for h in hits.get(c, ())]
         for t, p in new:
             known[t] = known[p]
+            if known[t]:
+                self.hot.add(t)
 
     def features(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """For each text the landmark kernels of its sentences that resemble any landmark."""
@@ -166,9 +169,15 @@ class Landmarks:
         out = []
         for t, text, own in zip(spaced, lower, tokens, strict=True):
             rows: list[np.ndarray] = []
-            if t or any(map(self.known.__getitem__, own)):
+            hot = own & self.hot
+            if t or hot:
+                # a token that ends a sentence has lost its marks there
+                hits_of = {x: self.known[u] for u in hot for x in (u, u.rstrip(".!?"), plain(u))}
                 for s in sentences(text):
-                    hits = [h for u in [*s.split(), *(runs(s) if t else ())] for h in self.known[u if u in self.known else plain(u)]]
+                    here = s.split()
+                    hits = [h for u in here if u in hits_of for h in hits_of[u]] if not hits_of.keys().isdisjoint(here) else []
+                    if t:
+                        hits += [h for u in runs(s) for h in self.known[u]]
                     if hits:
                         row = np.zeros(len(self.strings), np.float32)
                         for l, v in hits:
@@ -256,6 +265,18 @@ def _bounded(labelled: DataFrame, max_texts: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("text"), F.lit(unit)) <= F.element_at(share, F.col("toxic")))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_texts: int = MAX_TEXTS) -> DataFrame:
+    """(text, toxic) of about ``max_texts`` hash-chosen labelled ids of each label, written once.
+
+    Ids are chosen before any text moves; the chosen ones, at most four times ``max_texts``, are
+    broadcast, so texts are read in place. Null ids and labels are left out.
+    """
+    rows = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("boolean").alias("toxic")).where("id is not null and toxic is not null")
+    chosen = _bounded(rows.withColumn("text", F.col("id").cast("string")), max_texts).select("id", "toxic").limit(4 * max_texts)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return staged(texts.join(F.broadcast(chosen), "id").select("text", "toxic"))
+
+
 def _apart(strings: list[str], most: int, near: float = 0.5) -> list[str]:
     """The first strings of which none resembles an earlier one."""
     chosen: list[str] = []
