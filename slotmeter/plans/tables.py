@@ -133,3 +133,41 @@ def build_units(spark, sf_dir):
     right = lambda m: F.count_if((F.col("method") == m) & (F.col("all_ok") == 1))
     rows = routing.agreed(spark, sf_dir, ("gold", "extraction", "verification"))
     return rows.groupBy(*v.PAIR).agg(right("extraction").alias("lora_correct"), right("verification").alias("nli_correct"))
+
+
+@query("SELECT p_partkey AS example_id, lower(concat('The ', p_name, ' by ', p_brand)) AS surface_form, p_brand AS manufacturer, p_size % 5 AS style FROM part")
+def preprocess_style_examples(spark, sf_dir):
+    p = fx.read(spark, sf_dir, "part")
+    text = F.lower(F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand"))
+    return p.select(F.col("p_partkey").alias("example_id"), text.alias("surface_form"), F.col("p_brand").alias("manufacturer"), (F.col("p_size") % 5).alias("style"))
+
+
+@query("SELECT example_id, neg_id, printf('%.6f', top_score) AS top_score, printf('%.6f', top_score - sc[2]) AS score_gap FROM (SELECT n.example_id, n.neg_id, sc[1] AS top_score, sc FROM negs n JOIN scores4 s ON s.example_id = n.example_id)")
+def write_feature_table(spark, sf_dir):
+    s = v.score_features(fx.scores(spark, sf_dir), ["example_id"])
+    rows = fx.negatives(spark, sf_dir).join(s, "example_id")
+    return rows.select(*v.PAIR, *[F.format_string("%.6f", c).alias(c) for c in ("top_score", "score_gap")])
+
+
+#: A published table to compare with, by topic.
+PUBLISHED = {"STANDARD BRASS": 0.5, "SMALL TIN": 0.25}
+
+
+@query("SELECT topic, basis, acc, round(abs(acc - CASE topic WHEN 'STANDARD BRASS' THEN 0.5 WHEN 'SMALL TIN' THEN 0.25 END), 6)::DOUBLE AS delta FROM (SELECT topic, 'full' AS basis, round(avg(CAST(s + d + i = 0 AS INT)), 6) AS acc FROM sers GROUP BY topic UNION ALL SELECT topic, 'first' AS basis, round(avg(CAST(s + d + i = 0 AS INT)), 6) AS acc FROM sers WHERE cand_idx = 0 GROUP BY topic)")
+def table_assembly(spark, sf_dir):
+    rows = core.counts(spark, sf_dir).withColumn("ok", (F.col("s") + F.col("d") + F.col("i") == 0).cast("double"))
+    acc = lambda df, basis: df.groupBy("topic").agg(F.round(F.avg("ok"), 6).alias("acc")).withColumn("basis", F.lit(basis))
+    both = acc(rows, "full").unionByName(acc(rows.where("cand_idx = 0"), "first"))
+    known = F.create_map(*[F.lit(x) for pair in PUBLISHED.items() for x in pair])
+    return both.select("topic", "basis", "acc", F.round(F.abs(F.col("acc") - F.try_element_at(known, F.col("topic"))), 6).alias("delta"))
+
+
+@query("SELECT r.example_id, count(*) FILTER (WHERE p.slot IS NULL) AS n_missing, count(*) FILTER (WHERE p.slot IS NOT NULL AND lower(trim(p.vals[1])) <> lower(trim(r.vals[1]))) AS n_mismatch, round(coalesce(avg(CASE WHEN p.slot IS NOT NULL AND lower(trim(p.vals[1])) <> lower(trim(r.vals[1])) THEN ((r.example_id * 31 + r.pos * 17) % 100) / 100.0::DOUBLE END), 0.5), 6) AS mean_cross FROM refs r LEFT JOIN preds p ON p.example_id = r.example_id AND p.slot = r.slot AND p.cand_idx = 0 GROUP BY r.example_id")
+def expanded_features(spark, sf_dir):
+    first = lambda c: F.lower(F.trim(F.element_at(c, 1)))
+    r = fx.references(spark, sf_dir).select("example_id", "slot", "pos", first("vals").alias("want"))
+    p = fx.predictions(spark, sf_dir).where("cand_idx = 0").select("example_id", "slot", first("vals").alias("got"))
+    both = r.join(p, ["example_id", "slot"], "left")
+    off = F.col("got").isNotNull() & (F.col("got") != F.col("want"))
+    prob = ((F.col("example_id") * 31 + F.col("pos") * 17) % 100).cast("double") / 100
+    return both.groupBy("example_id").agg(F.count_if(F.col("got").isNull()).alias("n_missing"), F.count_if(off).alias("n_mismatch"), F.round(F.coalesce(F.avg(F.when(off, prob)), F.lit(0.5)), 6).alias("mean_cross"))
