@@ -34,7 +34,7 @@ from slotmeter.llm.common import arrow_map
 #: A tokenizer file is broadcast; larger ones are refused.
 MAX_FILE = 64 << 20
 #: Words whose tokens a worker remembers before it starts afresh.
-MEMORY = 300_000
+MEMORY = 100_000
 #: White space of Unicode; str.split() takes four control characters more.
 _WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _CONTROL = re.compile("[\\x1c-\\x1f]")
@@ -178,6 +178,13 @@ class Bpe:
             at -= len(last[at])
         return [self.ids[t] for t in reversed(names)]
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self._words.clear()
+        self._pairs.clear()
+        self._marks.clear()
+        self._before = ("", [None])
+
     # texts
 
     def words(self, text: str) -> list[str | int]:
@@ -337,6 +344,15 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
 _LOADED: dict[str, Bpe] = {}
 
 
+def _joined(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
+    """Bpe.joined() of many lists at once."""
+    lists = lists.fill_null([])
+    values = lists.flatten()
+    if len(values) and (pc.min(values).as_py() < 0 or pc.max(values).as_py() >= len(bpe.named)):
+        raise ValueError("an id is outside the vocabulary")
+    return pc.binary_join(pa.ListArray.from_arrays(_offsets(lists), bpe.named.take(values)), " ")
+
+
 def _offsets(lists: pa.ListArray) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int32))
 
@@ -358,11 +374,12 @@ def _shared(spark, path: str):
     return load
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
     """(id, the columns named in keep, ids) for each row: the whole text's token ids; null and empty texts have none.
 
     Strings of special tokens become their ids. Characters that Unicode assigned after Python's own
-    tables were made count as neither letters nor digits. Ids may repeat or be null; other columns are not read.
+    tables were made count as neither letters nor digits. ``decoded_col`` adds what decode_ids gives,
+    in the same pass, so ids need not travel twice. Ids may repeat or be null; other columns are not read.
     """
     load = _shared(docs.sparkSession, path)
 
@@ -373,8 +390,15 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(b for b, _ in coded))])
         yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, *keep, out_col])
 
+    def run_both(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for coded in run(batch):
+            yield pa.RecordBatch.from_arrays([*coded.columns, _joined(load(), coded.column(coded.num_columns - 1))], names=[*coded.schema.names, decoded_col])
+
     base = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
-    return arrow_map(base, run, base.drop("_text").withColumn(out_col, F.array(F.lit(0))).schema)
+    schema = base.drop("_text").withColumn(out_col, F.array(F.lit(0)))
+    if decoded_col is None:
+        return arrow_map(base, run, schema.schema, after=lambda: load().forget())
+    return arrow_map(base, run_both, schema.withColumn(decoded_col, F.lit("")).schema, after=lambda: load().forget())
 
 
 def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", as_text: bool = False) -> DataFrame:
@@ -389,14 +413,8 @@ def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str =
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bpe = load()
-        lists = batch.column(at).fill_null([])
-        if as_text:
-            texts = pa.array(["".join(bpe.text(ids)) for ids in lists.to_pylist()], pa.string())
-        else:
-            values = lists.flatten()
-            if len(values) and (pc.min(values).as_py() < 0 or pc.max(values).as_py() >= len(bpe.named)):
-                raise ValueError("an id is outside the vocabulary")
-            texts = pc.binary_join(pa.ListArray.from_arrays(_offsets(lists), bpe.named.take(values)), " ")
+        lists = batch.column(at)
+        texts = pa.array(["".join(bpe.text(ids or [])) for ids in lists.to_pylist()], pa.string()) if as_text else _joined(bpe, lists)
         yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out_col])
 
     schema = coded.withColumn(out_col, F.lit("")).schema

@@ -47,13 +47,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, rows: int | None = 1000) -> DataFrame:
-    """mapInArrow with a function of one batch, cut to ``rows``; Spark bounds a batch by rows and bytes."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema, rows: int | None = 1000, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch, cut to ``rows``; Spark bounds a batch by rows and bytes.
+
+    ``after`` runs when a partition is done, for what a worker should not keep between stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows or batch.num_rows):
                 yield from fn(batch.slice(at, rows) if rows else batch)
+        if after:
+            after()
 
     return df.mapInArrow(run, schema)
 

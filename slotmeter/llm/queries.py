@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotmeter.llm.bpe import decode_ids, encode_texts
+from slotmeter.llm.bpe import encode_texts
 from slotmeter.llm.class_lm import score_texts
 from slotmeter.llm.decontaminate import find_contamination
 from slotmeter.llm.langid import fit_languages, held_out, identify
@@ -129,7 +129,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode_ids(encode_texts(_read(spark, sf_dir, "documents"), path), path)
+    coded = encode_texts(_read(spark, sf_dir, "documents"), path, decoded_col="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
