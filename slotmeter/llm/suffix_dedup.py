@@ -113,7 +113,7 @@ def find_regions(docs: DataFrame) -> DataFrame:
         out[1][out[0] == 1] = mix(out[3][out[0] == 1].view(np.uint64)).view(np.int64)  # repeats are dealt by document
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["kind", "h", "ctx", "id", "s", "n"])
 
-    return arrow_map(docs, run, _FOUND)
+    return arrow_map(docs, run, _FOUND, rows=None)
 
 
 def settle(found: DataFrame) -> DataFrame:
@@ -174,16 +174,17 @@ def shard_transform(parts: list[bytes], code: np.ndarray, letters: int) -> tuple
         shifted[: n - k] = text[k:]
         rank += np.where(left >= k, shifted, 0)
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         ranked = rank[order]
         dense = np.empty(n, np.int64)
         dense[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
-        if width > lengths.max():
+        if width > lengths.max() or dense[order[-1]] == n - 1:
             break
         further = np.zeros(n, np.int64)
         further[: n - width] = dense[width:] + 1
         rank = dense * (n + 2) + np.where(left >= width, further, 0)
         width *= 2
+    order = np.argsort(dense * n + np.arange(n))  # equal suffixes in the order of their parts
     before = np.arange(n) - 1
     before = np.where(before < begin[part], ends[part], before)
     second = before - 1
@@ -213,7 +214,7 @@ def repeated_strings(parts: list[bytes], shard: int = SHARD) -> tuple[np.ndarray
     owner = np.concatenate([np.array(c)[m[1]] for c, m in zip([c for c in chunks if c], made, strict=True)])
     offset = np.concatenate([m[2] for m in made])
     # the interleave: which shard each place of the merged order comes from; at first shard after shard
-    z = np.repeat(np.arange(len(made), dtype=np.uint16), [len(m[0]) for m in made])
+    z = np.repeat(np.arange(len(made), dtype=np.uint8 if len(made) <= 256 else np.uint16), [len(m[0]) for m in made])
     interval = np.zeros(len(z), np.int32)
     ends = np.zeros(1 << 16, bool)
     ends[:letters] = True
