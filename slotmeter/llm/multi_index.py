@@ -5,10 +5,8 @@ codewords is a cell of the product grid. A vector lives in the cell of its neare
 query it visits cells in the order of a lower bound: the distance to a codeword's Voronoi region is
 at least that to the bisecting hyperplane, and the bounds of both halves add up as squares. The
 multi-sequence traversal pops cells from a heap in that order and stops where no resident can be
-near enough any more: with ``slack`` 1 no link can be missed, whatever the data. The default, 0.6, is
-for data without structure along the hyperplane normals: a difference of length 0.2 spread over 64
-components moves a vector along one normal by 0.025 (one deviation), and the default looks 0.12 far.
-Its measured recall is in the README.
+near enough any more: with ``slack`` 1, the default, no link can be missed, whatever the data. A
+smaller ``slack`` visits fewer cells and misses links across the borders of codewords.
 
 Visited cells are verified by blocked matrix products in double precision. A cell's residents and
 visitors are cut into chunks of bounded size, so a hot cell becomes many tasks; a task returns link
@@ -92,7 +90,7 @@ def _verify(queries: np.ndarray, residents: np.ndarray, weight: np.ndarray, same
             return counts, of_q, np.where(of_r == len(queries), -1, of_r)
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, slack: float = 0.6) -> DataFrame:
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, slack: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors``.
 
     Vectors link when labels are equal and not null and their cosine is at least ``cosine``; only

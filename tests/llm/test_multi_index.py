@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from slotmeter.llm.multi_index import codebook, link_vectors, traverse
+from slotmeter.llm.multi_index import bounds, codebook, link_vectors, traverse
 from tests.llm import brute
 
 
@@ -17,6 +18,36 @@ def test_same_as_brute_force(spark):
         assert got == {i: (int(h.sum()), root[i], root[i] == i) for i, h in zip(ids, hit, strict=True)}
 
 
+def planted(dim, n):
+    """Pairs at a cosine just above 0.98, a third of them with the difference in one half only."""
+    rng = np.random.default_rng(dim)
+    rows = []
+    for k in range(n):
+        a = rng.standard_normal(dim)
+        a /= np.linalg.norm(a)
+        d = rng.standard_normal(dim)
+        d[: dim // 2] *= k % 3 != 0
+        d -= (d @ a) * a
+        b = a * 0.9805 + d / np.linalg.norm(d) * np.sqrt(1 - 0.9805**2)
+        rows += [(2 * k, a.tolist(), k % 2), (2 * k + 1, b.tolist(), k % 2)]
+    return rows
+
+
+@pytest.mark.parametrize("dim", [4, 8, 64])
+def test_links_across_codeword_borders_are_found_from_both_ends(spark, dim):
+    rows = planted(dim, 400)
+    x, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    assert hit.sum() >= len(rows)
+    half = dim // 2
+    first, second = (bounds(y, codebook(y, 16))[0] for y in (x[:, :half], x[:, half:]))
+    assert (hit & (first[:, None] != first[None])).any() and (hit & (second[:, None] != second[None])).any()
+    root = brute.closure(range(len(x)), list(zip(*np.nonzero(hit), strict=True)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (int(h.sum()), root[i]) for i, h in enumerate(hit)}
+
+
 def test_edge_cases(spark):
     rows = [
         (1, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [1.0, 0.0, 0.0], 2), (5, [1.0, 0.0, 0.0], None),
