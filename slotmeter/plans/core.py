@@ -67,7 +67,7 @@ def value_equal(spark, sf_dir):
 @query("""SELECT doc_id, trim(split_part(split_part(concat('Q### Response:', chr(10), text), concat('### Response:', chr(10)), 2), '</LIST>', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer
   FROM (SELECT doc_id, concat(text[1:60], '</LIST> tail') AS text FROM documents)""")
 def extract_response(spark, sf_dir):
-    raw = fx.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Q### Response:\n"), F.substring("text", 1, 60), F.lit("</LIST> tail")).alias("raw"))
+    raw = fx.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Q### Response:\n"), "text", F.lit("</LIST> tail")).alias("raw"))
     t, marker = F.col("raw"), "### Response:\n"
     t = F.when(F.instr(t, marker) > 0, F.substr(t, F.instr(t, marker) + len(marker))).otherwise(t)
     for stop in ("</LIST>", "\n\n###"):
