@@ -12,6 +12,8 @@ from slotmeter.plans.fixtures import with_
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Parts that the examples with a token are dealt to in jaccard_pairs.
+SALTS = 16
 
 
 def query(sql: str | None, **more: str):
@@ -221,10 +223,12 @@ def mcnemar(spark, sf_dir):
     tn="SELECT example_id, count(*) AS n FROM tok GROUP BY example_id",
 )
 def jaccard_pairs(spark, sf_dir):
+    """All pairs of a topic that share a token of any slot; the others have 0. Tokens are salted, as few values mean large groups."""
     token = F.lower(F.regexp_replace(F.trim(F.concat("slot", F.lit("="), "value")), r"\s+", " "))
-    tok = fx.facts(spark, sf_dir).where("slot not in ('large', 'brand')").select("example_id", "topic", token.alias("t")).distinct()
+    tok = fx.facts(spark, sf_dir).select("example_id", "topic", token.alias("t")).distinct()
     n = tok.groupBy("example_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = tok.select("topic", "t", F.col("example_id").alias("a")), tok.select("topic", "t", F.col("example_id").alias("b"))
-    c = a.join(b, ["topic", "t"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    a = tok.select("topic", "t", F.col("example_id").alias("a"), F.pmod(F.xxhash64("example_id"), F.lit(SALTS)).alias("salt"))
+    b = tok.select("topic", "t", F.col("example_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    c = a.join(b, ["topic", "t", "salt"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     both = c.join(n.select(F.col("example_id").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("example_id").alias("b"), F.col("n").alias("y")), "b")
     return both.select("a", "b", F.round(F.col("c") / (F.col("x") + F.col("y") - F.col("c")), 6).alias("jaccard"))

@@ -1,7 +1,11 @@
 """Queries whose results hold every row and character of their inputs."""
 
+from itertools import combinations
+
+from slotmeter.plans import fixtures as fx
 from slotmeter.plans import registry
 
+SF = "/root/testdata/sf0.001"
 STOPS = ("</LIST>", "\n\n###")
 
 
@@ -17,3 +21,13 @@ def test_extract_response_reads_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["answer"] for r in registry.QUERIES["extract_response"](spark, str(tmp_path)).collect()}
     assert got == {i: answer(t) for i, t in enumerate(texts)}
+
+
+def test_jaccard_pairs_have_the_tokens_of_all_slots(spark):
+    sets = {}
+    for r in fx.facts(spark, SF).collect():
+        token = " ".join(f"{r['slot']}={r['value']}".split()).lower()
+        sets.setdefault(r["topic"], {}).setdefault(r["example_id"], set()).add(token)
+    want = {(a, b): round(len(s[a] & s[b]) / len(s[a] | s[b]), 6) for s in sets.values() for a, b in combinations(sorted(s), 2) if s[a] & s[b]}
+    got = registry.QUERIES["jaccard_pairs"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
