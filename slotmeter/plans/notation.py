@@ -194,10 +194,12 @@ def routing_counts(spark, sf_dir):
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(0.6 * (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id % 50 = 0")
 def cosine_pairs(spark, sf_dir):
+    """Each query (b, ids divisible by 50) with all rows of its label, itself with 1; the text part of the kernel."""
     e = fx.read(spark, sf_dir, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     e = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"), norm.alias("norm"))
     a, b = e.select("label", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), e.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = a.join(b, "label").where("a < b")
-    return both.select("a", "b", F.round(0.6 * (dot / (F.col("na") * F.col("nb")) + 1) / 2, 5).alias("k"))
+    both = a.join(b, "label").where("a is not null")
+    k = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round(0.6 * (dot / (F.col("na") * F.col("nb")) + 1) / 2, 5))
+    return both.select("a", "b", k.alias("k"))

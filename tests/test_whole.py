@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+import numpy as np
+
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import registry
 
@@ -31,3 +33,15 @@ def test_jaccard_pairs_have_the_tokens_of_all_slots(spark):
     want = {(a, b): round(len(s[a] & s[b]) / len(s[a] | s[b]), 6) for s in sets.values() for a, b in combinations(sorted(s), 2) if s[a] & s[b]}
     got = registry.QUERIES["jaccard_pairs"](spark, SF).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
+def test_cosine_pairs_compare_a_query_with_all_rows_of_its_label(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    k = 0.6 * (x @ x.T + 1) / 2
+    np.fill_diagonal(k, 1)
+    pairs = [(i, j) for j, b in enumerate(rows) if b["vec_id"] % 50 == 0 for i, a in enumerate(rows) if a["label"] == b["label"]]
+    want = {(rows[i]["vec_id"], rows[j]["vec_id"]): k[i, j] for i, j in pairs}
+    got = {(r["a"], r["b"]): r["k"] for r in registry.QUERIES["cosine_pairs"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-5 for p in want)
