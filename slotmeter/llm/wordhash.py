@@ -89,7 +89,7 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """
     words, counts = word_hashes(texts)
     rolled = np.zeros(len(words), np.uint64)
-    for k in range(n):  # position i gets the polynomial of words i..i+n-1
+    for k in range(min(n, len(words))):  # position i gets the polynomial of words i..i+n-1
         rolled[: len(words) - k] += words[k:] * np.uint64(pow(_BASE, k + 1, 2**64))
     rolled = mix(rolled, n)
     found, at = [], 0

@@ -47,6 +47,20 @@ def test_a_chain_and_a_hub_are_found_whole(spark):
     assert result(near_duplicates(docs, n=2)) == brute.near_duplicates(rows, 2)
 
 
+@pytest.mark.parametrize("texts", [[b"one two three"], [b"one two"], [b"one"], [b"one", b"", b"two"], [b""], [b"a b c", b"d e f g h i"]])
+def test_slices_with_fewer_words_than_a_shingle(texts):
+    got = shingle_sets(texts, 5)
+    assert [len(x) for x in got] == [len(brute.shingles(t.decode(), 5)) for t in texts]
+    # the same hashes as in a slice with longer texts
+    longer = shingle_sets([*texts, b"p q r s t u v"], 5)
+    assert all((x == y).all() for x, y in zip(got, longer, strict=False))
+
+
+def test_one_short_document_alone(spark):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    assert result(near_duplicates(docs)) == {1: (1, 1)}
+
+
 def test_word_hashes_do_not_depend_on_place_or_case():
     a, n = word_hashes([b"The cat", None, b"", "Été the\n cat ".encode()])
     assert n.tolist() == [2, 0, 0, 3] and a[0] == a[3] and a[1] == a[4] and len(set(a.tolist())) == 3
