@@ -4,8 +4,10 @@ Texts become blocks of token numbers over a block's own dictionary of word hashe
 Words above a share of all tokens (at most 1 / SHARE of them, whatever the corpus) are clustered by
 exchange: each round counts, over all training tokens, every such word's neighbours by class, and
 then moves words one by one to the class that raises the class bigram likelihood most. All other
-words take one exchange step given those classes. Counts, classes and transitions then come from all
-training tokens; dictionaries meet the model by word hash (64 bits), never as a whole on one machine.
+words take one exchange step given those classes, from exact counts of all their neighbours. Counts,
+classes and transitions come from all training tokens and do not depend on how these are cut into
+blocks. Dictionaries meet by hash range (64-bit hashes), never as a whole on one machine: a block
+sends one packed row to each range and gets counts and classes back; its tokens move once.
 """
 
 from __future__ import annotations
@@ -23,11 +25,32 @@ from slotmeter.llm.common import arrow_map, as_bytes, staged
 from slotmeter.llm.wordhash import word_hashes
 
 #: Least share of the tokens of an exchanged word, classes (the last is the text end's own), exchange rounds.
-SHARE, CLASSES, ROUNDS = 1 / 4096, 24, 6
-#: Weight of the class model against the unigram; bytes of text and documents in a block.
-WEIGHT, BLOCK, DOCS = 0.9, 8 << 20, 2500
+SHARE, CLASSES, ROUNDS = 1 / 4096, 32, 6
+#: Weight of the class model against the unigram; bytes of text and documents in a block; bytes of a hash range.
+WEIGHT, BLOCK, DOCS, RANGE = 0.9, 8 << 20, 2500, 6 << 20
 END = -0x1234567890ABCDEF
-_BLOCKS = "block long, ids binary, train binary, counts binary, tokens binary, words binary"
+_BLOCKS = "block long, ids binary, train binary, counts binary, tokens binary, words binary, n_words long"
+_ZSTD = pa.Codec("zstd")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one call in one compressed value; integers go by byte planes, which compress better."""
+    parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], np.int64).tobytes()]
+    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpack(value: bytes, *types: type) -> list[np.ndarray]:
+    raw = memoryview(_ZSTD.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little")))
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist()
+    at, out = 8 + 16 * n, []
+    for (count, width), kind in zip(sizes, types, strict=True):
+        planes = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += count * width
+    return out
 
 
 def is_training(ids: list, modulus: int = 5, remainder: int = 1) -> np.ndarray:
@@ -52,8 +75,9 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
-            row = [uuid.uuid4().int >> 65, sink.getvalue().to_pybytes(), is_training(ids.to_pylist()).tobytes(), (counts + 1).astype(np.int64).tobytes(), tokens.astype(np.int32).tobytes(), words.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([r], pa.binary()) for r in row[1:])], names=["block", "ids", "train", "counts", "tokens", "words"])
+            binary = [sink.getvalue().to_pybytes(), is_training(ids.to_pylist()).tobytes(), (counts + 1).astype(np.int64).tobytes(), pack(tokens.astype(np.int32)), words.tobytes()]
+            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([x], pa.binary()) for x in binary), pa.array([len(words)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "train", "counts", "tokens", "words", "n_words"])
             at = to
 
     return arrow_map(docs, run, _BLOCKS, rows=DOCS)
@@ -65,11 +89,10 @@ class Block:
     def __init__(self, row: dict) -> None:
         self.train = np.frombuffer(row["train"], bool)
         self.counts = np.frombuffer(row["counts"], np.int64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
-        self.words = np.frombuffer(row["words"], np.int64)
+        self.tokens = unpack(row["tokens"], np.int32)[0]
+        self.words = np.frombuffer(row.get("words") or b"", np.int64)
         self.in_train = np.repeat(self.train, self.counts)
         self.starts = np.cumsum(self.counts) - self.counts
-        self.ids = row["ids"]
 
     def frequency(self) -> np.ndarray:
         return np.bincount(self.tokens[self.in_train], minlength=len(self.words))
@@ -81,6 +104,13 @@ class Block:
         out[self.starts] = end
         return out
 
+    def after(self, classes: np.ndarray, end: int) -> np.ndarray:
+        """The class after each token; the text end's after a last one."""
+        out = np.empty(len(self.tokens), classes.dtype)
+        out[:-1] = classes[self.tokens[1:]]
+        out[self.starts + self.counts - 1] = end
+        return out
+
 
 def _each_block(blocks: DataFrame, fn, schema: str) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
@@ -98,6 +128,20 @@ def _classes_of(words: np.ndarray, known: np.ndarray, classes: np.ndarray, rest:
     return np.where(known[at] == words, classes[at], rest)
 
 
+def _summed(counted: DataFrame, size: int) -> np.ndarray:
+    """The sums by code of (code, n), a table of ``size`` cells."""
+    found = counted.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size, np.int64)
+    table[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return table
+
+
+def _sparse(code: np.ndarray, size: int) -> list[np.ndarray]:
+    n = np.bincount(code, minlength=size)
+    some = np.flatnonzero(n)
+    return [some, n[some]]
+
+
 def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray, pairs: np.ndarray, movable: int) -> np.ndarray:
     """One round of exchange over words in order.
 
@@ -129,187 +173,159 @@ def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray, pairs:
     return classes
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
+def frequent_words(blocks: DataFrame, share: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """All training tokens, and the words with at least ``share`` of them with their counts, most frequent first.
 
-    Scores are log10 probabilities. A null or empty text is one end token. All words that the training
-    texts lack share one unknown token, whose probability is the share of words seen once. The class
-    before an unknown word stands for it. Rows with repeated or null ids are separate texts. Without
-    training texts every word is unknown. Other columns are not read; empty input, empty result.
+    A word that a block leaves out has less than share / 8 of that block, so what the first pass finds
+    is at least 7/8 of what such a word has: few candidates pass, and the second pass counts them exactly.
     """
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    id_type = docs.schema["id"].dataType.simpleString()
-    blocks = staged(encode_blocks(docs))
-    end, rest = classes - 1, classes  # the end's class, and the class of words without one yet
 
-    def frequent(b: Block, row: dict) -> list:
+    def large(b: Block, row: dict) -> list:
         n = b.frequency()
-        keep = n >= SHARE / 8 * max(1, n.sum())
-        return [b.words[keep], n[keep]]
+        keep = n >= share / 8 * max(1, n.sum())
+        return [b.words[keep], n[keep], np.full(keep.sum(), n.sum())]
 
     def total(b: Block, row: dict) -> list:
         return [np.array([b.in_train.sum()])]
 
     n_train = _each_block(blocks, total, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    top = _each_block(blocks, frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= SHARE * n_train) & (F.col("h") != END) & (F.lit(n_train) > 0))
-    rows = top.orderBy(F.desc("n"), "h").limit(int(1 / SHARE)).collect()  # no more can have that share
-    words = np.array([END] + [r["h"] for r in rows], np.int64)
+    found = _each_block(blocks, large, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    may = found.where((F.col("n") + share / 8 * (n_train - F.col("t")) >= share * n_train) & (F.col("h") != END) & (F.lit(n_train) > 0))
+    candidates = np.sort(np.array([r["h"] for r in may.select("h").collect()], np.int64))  # at most 8 / 7 / share
+
+    def exact(b: Block, row: dict) -> list:
+        at = np.flatnonzero(np.isin(b.words, candidates, assume_unique=True))
+        return [b.words[at], b.frequency()[at]]
+
+    if not len(candidates):
+        return n_train, candidates, candidates
+    counted = _each_block(blocks, exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_train).toArrow()
+    h, n = counted.column("h").to_numpy(), counted.column("n").to_numpy()
+    order = np.lexsort((h, -n))
+    return n_train, h[order], n[order]
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and known_score for each row of ``docs``.
+
+    Scores are log10 probabilities. A null or empty text is one end token. Words that the training
+    texts lack have together the share of words seen once, dealt evenly to as many unseen words as
+    Chao's estimate gives (seen once squared, over twice the number seen twice): the probabilities of
+    all words sum to one. known_score is the part of score from known tokens. The class before an
+    unknown word stands for it. Rows with repeated or null ids are separate texts. Without training
+    texts every word is unknown. Other columns are not read; empty input, empty result.
+    """
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    id_type = docs.schema["id"].dataType.simpleString()
+    stored = staged(encode_blocks(docs))
+    blocks = stored.drop("ids")
+    end, rest = classes - 1, classes  # the end's class, and the class of words without one yet
+    k = classes + 1
+    n_train, top, _ = frequent_words(blocks, SHARE)
+    words = np.append(np.int64(END), top)
     order = np.argsort(words)
     known = words[order]
-    found = np.concatenate(([end], np.arange(len(rows)) % (classes - 1)))[order]
-    k = classes + 1
+    found = np.concatenate(([end], np.arange(len(top)) % (classes - 1)))[order]
 
     def neighbours(b: Block, row: dict) -> list:
-        at = np.minimum(np.searchsorted(known, b.words), len(known) - 1)
-        number = np.where(known[at] == b.words, at, len(known))
-        cls = np.where(number < len(known), found[np.minimum(number, len(known) - 1)], rest)
-        previous, here = b.before(cls, end), b.in_train
-        tokens = number[b.tokens]
-        nxt = np.empty(len(tokens), cls.dtype)
-        nxt[:-1] = cls[b.tokens[1:]]
-        nxt[b.starts + b.counts - 1] = end
-        code = np.concatenate([tokens[here] * (2 * k) + previous[here], tokens[here] * (2 * k) + k + nxt[here]])
-        n = np.bincount(code, minlength=(len(known) + 1) * 2 * k)
-        some = np.flatnonzero(n)
-        return [some, n[some]]
-
-    for _ in range(rounds if rows else 0):
-        counted = _each_block(blocks, neighbours, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4097 * 2 * k rows
-        table = np.zeros((len(known) + 1) * 2 * k, np.int64)
-        table[[r["code"] for r in counted]] = [r["n"] for r in counted]
-        table = table.reshape(len(known) + 1, 2, k)
+        number = _classes_of(b.words, known, np.arange(len(known)), len(known))
+        cls = np.append(found, rest)[number]
+        here = b.in_train
+        code = number[b.tokens[here]] * (2 * k)
+        return _sparse(np.concatenate([code + b.before(cls, end)[here], code + k + b.after(cls, end)[here]]), (len(known) + 1) * 2 * k)
+
+    def pairs_of(table: np.ndarray) -> np.ndarray:
         pairs = np.zeros((k, k))
-        of = np.append(found, rest)
-        np.add.at(pairs.T, of, table[:, 0])
-        before = found
-        found = exchange(found, table[:-1, 0], table[:-1, 1], pairs, classes - 1)
-        if (before == found).all():
+        np.add.at(pairs.T, np.append(found, rest), table[:, 0])
+        return pairs
+
+    pairs = np.ones((k, k))
+    for again in range(rounds + 1 if len(top) else 0):
+        table = _summed(_each_block(blocks, neighbours, "code long, n long"), (len(known) + 1) * 2 * k).reshape(-1, 2, k)
+        pairs = pairs_of(table)
+        moved = exchange(found, table[:-1, 0], table[:-1, 1], pairs, classes - 1) if again < rounds else found
+        if (moved == found).all():
             break
-    pairs_final = _last_pairs(blocks, known, found, k, rest) if rows else np.ones((k, k))
+        found = moved
     # what a neighbour's class says about a word's class: log p(a, b) / (p(a) p(b)); no class, nothing
-    joint = np.log(pairs_final + 0.5) - np.log(pairs_final.sum() + 0.5 * k * k)
-    left, right = (np.log(pairs_final.sum(x) + 0.5 * k) - np.log(pairs_final.sum() + 0.5 * k * k) for x in (1, 0))
-    told = joint - left[:, None] - right[None]
-    gain_before, gain_after = told[:, : classes - 1].copy(), told[: classes - 1].T.copy()
-    gain_before[rest], gain_after[rest] = 0, 0
+    all_pairs = np.log(pairs.sum() + 0.5 * k * k)
+    left, right = (np.log(pairs.sum(x) + 0.5 * k) - all_pairs for x in (1, 0))
+    told = np.log(pairs + 0.5) - all_pairs - left[:, None] - right[None]
+    gain = np.concatenate([told[:, : classes - 1], told[: classes - 1].T])  # neighbours before, then after
+    gain[[rest, k + rest]] = 0
 
-    def votes(b: Block, row: dict) -> list:
+    ranges = max(1, -(-int(blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).head()[0]) * 12 // RANGE))
+
+    def deal(b: Block, row: dict) -> list:
         cls = _classes_of(b.words, known, found, rest)
-        previous, here = b.before(cls, end)[b.in_train], b.tokens[b.in_train]
-        nxt = np.empty(len(b.tokens), cls.dtype)
-        nxt[:-1] = cls[b.tokens[1:]]
-        nxt[b.starts + b.counts - 1] = end
-        nxt = nxt[b.in_train]
-        n = b.frequency()
-        best, most = np.zeros(len(n), np.int64), np.full(len(n), -np.inf)
-        for c in range(classes - 1):
-            s = np.bincount(here, gain_before[previous, c] + gain_after[nxt, c], len(n))
-            better = s > most
-            best[better], most[better] = c, s[better]
-        weight = np.maximum(most, 0) + 1e-6
-        weight[n == 0] = 0
-        return [b.words, np.arange(len(n), dtype=np.int32), n.astype(np.int32), best.astype(np.int32), weight.astype(np.float32), np.repeat(row["block"], len(n))]
-
-    # a word's rows, one for each block that has it, meet in one partition and go back to their blocks
-    dealt = _each_block(blocks, votes, "h long, at int, n int, c int, w float, block long").repartition("h").sortWithinPartitions("h")
-    joined = dealt.mapInArrow(_decide, "block long, at int, n long, c int, first boolean")
+        here = b.in_train & (cls == rest)[b.tokens]
+        code = b.tokens[here].astype(np.int64) * (2 * k)
+        code, n = np.unique(np.concatenate([code + b.before(cls, end)[here], code + k + b.after(cls, end)[here]]), return_counts=True)
+        word, code = np.divmod(code, 2 * k)
+        per_word, count = np.bincount(word, minlength=len(b.words)), b.frequency()
+        codes_at = np.concatenate(([0], np.cumsum(per_word)))
+        part = (((b.words >> 32) + (1 << 31)) * ranges) >> 32
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        bodies = []
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            c = slice(codes_at[x], codes_at[y])
+            bodies.append(pack(b.words[x:y], count[x:y].astype(np.int32), per_word[x:y].astype(np.int32), code[c].astype(np.uint8), n[c].astype(np.int32)))
+        return [part[edges[:-1]], np.full(len(bodies), row["block"]), pa.array(bodies, pa.binary())]
+
+    def decide(table: pa.Table) -> pa.Table:
+        """A hash range: the count and class of each word, for every block that has it."""
+        bodies = [unpack(x.as_py(), np.int64, np.int32, np.int32, np.uint8, np.int32) for x in table.column("body")]
+        h, count, per_word, code, n = (np.concatenate(x) for x in zip(*bodies, strict=True))
+        distinct, of = np.unique(h, return_inverse=True)
+        total = np.bincount(of, count, len(distinct)).astype(np.int64)
+        seen = np.bincount(np.repeat(of, per_word) * (2 * k) + code, n, len(distinct) * 2 * k).reshape(-1, 2 * k)
+        cls = np.round(seen @ gain, 9).argmax(1)
+        placed = _classes_of(distinct, known, found, -1)
+        cls = np.where(placed >= 0, placed, cls)
+        ends = np.cumsum([len(x[0]) for x in bodies])
+        packed = [pack(total[of[e - len(x[0]) : e]], cls[of[e - len(x[0]) : e]].astype(np.uint8)) for e, x in zip(ends.tolist(), bodies, strict=True)]
+        once = [[int((total == t).sum() if t else (total > 0).sum())] + [0] * (len(bodies) - 1) for t in (0, 1, 2)]
+        columns = {"block": table.column("block"), "part": table.column("part"), "body": pa.array(packed, pa.binary())}
+        return pa.table(columns | {name: pa.array(x, pa.int64()) for name, x in zip(("v", "once", "twice"), once, strict=True)})
+
+    dealt = _each_block(blocks, deal, "part long, block long, body binary")
+    decided = dealt.groupBy("part").applyInArrow(decide, "block long, part long, body binary, v long, once long, twice long")
 
     def resolve(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        words = np.frombuffer(row["words"], np.int64)
-        n, c = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
-        at, count, first = (right.column(x).to_numpy(zero_copy_only=False) for x in ("at", "n", "first"))
-        n[at], c[at] = count, right.column("c").to_numpy()
-        placed = _classes_of(words, known, found, -1)
-        c = np.where(placed >= 0, placed, c)
-        row |= {"words": b"", "n": n.tobytes(), "c": c.astype(np.uint8).tobytes(), "v": int((first & (count > 0)).sum()), "once": int((first & (count == 1)).sum())}
-        types = [pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
-        return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), types, strict=True)})
-
-    resolved = staged(blocks.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(resolve, _BLOCKS + ", n binary, c binary, v long, once long"))
+        right = right.sort_by("part")
+        n, c = (np.concatenate(x) for x in zip(*[unpack(x.as_py(), np.int64, np.uint8) for x in right.column("body")], strict=True))
+        out = {name: left.column(name) for name in ("ids", "train", "counts", "tokens")} | {"known": pa.array([pack(n, c)], pa.binary())}
+        return pa.table(out | {name: pa.array([sum(right.column(name).to_pylist())], pa.int64()) for name in ("v", "once", "twice")})
+
+    tokens = stored.drop("words", "n_words").groupBy("block")
+    resolved = staged(tokens.cogroup(decided.groupBy("block")).applyInArrow(resolve, "ids binary, train binary, counts binary, tokens binary, known binary, v long, once long, twice long"))
 
     def transitions(b: Block, row: dict) -> list:
-        cls = np.frombuffer(row["c"], np.uint8).astype(np.int64)
-        code = b.before(cls, end)[b.in_train] * classes + cls[b.tokens[b.in_train]]
-        n = np.bincount(code, minlength=classes * classes)
-        some = np.flatnonzero(n)
-        return [some, n[some]]
-
-    counted = _each_block(resolved, transitions, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # classes squared
-    pairs = np.zeros(classes * classes)
-    pairs[[r["code"] for r in counted]] = [r["n"] for r in counted]
-    pairs = pairs.reshape(classes, classes)
-    seen = resolved.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("once"), F.lit(0)).alias("once")).head()
-    v, unknown = seen["v"], min(0.5, max(seen["once"], 0.5) / max(n_train, 1))
-    size = np.maximum(pairs.sum(0), 1)
+        cls = unpack(row["known"], np.int64, np.uint8)[1].astype(np.int64)
+        return _sparse(b.before(cls, end)[b.in_train] * classes + cls[b.tokens[b.in_train]], classes * classes)
+
+    pairs = _summed(_each_block(resolved.drop("ids"), transitions, "code long, n long"), classes * classes).reshape(classes, classes)
+    v, once, twice = (x or 0 for x in resolved.agg(F.sum("v"), F.sum("once"), F.sum("twice")).head())
+    unknown = min(0.5, max(once, 0.5) / max(n_train, 1))
+    one_unknown = unknown / max(1.0, once * once / (2 * max(twice, 1)))
     p_class = (pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * classes)
-    per_class = p_class / size  # times a word's count: its probability given the class before
+    per_class = p_class / np.maximum(pairs.sum(0), 1)  # times a word's count: its probability given the class before
 
     def score(b: Block, row: dict) -> list:
-        n, cls = np.frombuffer(row["n"], np.int64), np.frombuffer(row["c"], np.uint8).astype(np.int64)
-        count, here = n[b.tokens], cls[b.tokens]
+        n, cls = unpack(row["known"], np.int64, np.uint8)
+        count, here = n[b.tokens], cls.astype(np.int64)[b.tokens]
         # the last known word's class stands for unknown ones between
         last = np.where(count > 0, np.arange(len(count)), -1)
-        last[b.starts] = np.where(count[b.starts] > 0, b.starts, -1)
         run = np.maximum.accumulate(last)
         previous = np.full(len(count), end)
         previous[1:] = np.where(run[:-1] >= np.repeat(b.starts, b.counts)[1:], here[np.maximum(run[:-1], 0)], end)
         previous[b.starts] = end
         p = (1 - unknown) * count * (WEIGHT * per_class[previous, here] + (1 - WEIGHT) / max(n_train, 1))
-        p = np.where(count > 0, p, unknown)
+        p = np.log10(np.where(count > 0, p, one_unknown))
         base = np.log10((count + 0.5) / (n_train + 0.5 * (v + 1)))
-        ids = pa.ipc.open_stream(b.ids).read_all().column(0).combine_chunks()
-        return [ids, ~b.train, b.counts, np.add.reduceat((count > 0).astype(np.int64), b.starts), np.full(len(b.counts), n_train, np.int64), np.add.reduceat(base, b.starts), np.add.reduceat(np.log10(p), b.starts)]
+        ids = pa.ipc.open_stream(row["ids"]).read_all().column(0).combine_chunks()
+        sums = [np.add.reduceat(x, b.starts) for x in ((count > 0).astype(np.int64), base, p, np.where(count > 0, p, 0))]
+        return [ids, ~b.train, b.counts, sums[0], np.full(len(b.counts), n_train, np.int64), *sums[1:]]
 
-    out = _each_block(resolved, score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = _each_block(resolved, score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double")
     return out.withColumnRenamed("id", id_col)
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word: each gets the word's count in all blocks and the class with most weight."""
-    held: list[list[np.ndarray]] = []
-
-    def decided(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        h, at, n, c, w, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        word = np.cumsum(new) - 1
-        total = np.bincount(word, n, word[-1] + 1).astype(np.int64)
-        pair = word * 256 + c
-        order = np.argsort(pair, kind="stable")
-        edge = np.concatenate(([True], pair[order][1:] != pair[order][:-1]))
-        weight = np.add.reduceat(w[order].astype(float), np.flatnonzero(edge))
-        of, cls = pair[order][edge] // 256, pair[order][edge] % 256
-        rank = np.lexsort((cls, -weight, of))
-        first = rank[np.concatenate(([True], of[rank][1:] != of[rank][:-1]))]
-        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at), pa.array(total[word]), pa.array(cls[first][word].astype(np.int32)), pa.array(new)], names=["block", "at", "n", "c", "first"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word may go on
-        if held and (cut or held[0][0][0] != columns[0][0]):
-            held.append([x[:cut] for x in columns])
-            yield decided(held)
-            held = []
-        elif cut:
-            yield decided([[x[:cut] for x in columns]])
-        held.append([x[cut:] for x in columns])
-    if held:
-        yield decided(held)
-
-
-def _last_pairs(blocks: DataFrame, known: np.ndarray, found: np.ndarray, k: int, rest: int) -> np.ndarray:
-    """Class bigrams of the clustered words under their final classes."""
-
-    def pairs(b: Block, row: dict) -> list:
-        cls = _classes_of(b.words, known, found, rest)
-        code = b.before(cls, k - 2)[b.in_train] * k + cls[b.tokens[b.in_train]]
-        n = np.bincount(code, minlength=k * k)
-        some = np.flatnonzero(n)
-        return [some, n[some]]
-
-    counted = _each_block(blocks, pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # k squared
-    table = np.zeros(k * k)
-    table[[r["code"] for r in counted]] = [r["n"] for r in counted]
-    return table.reshape(k, k)

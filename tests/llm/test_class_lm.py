@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from slotmeter.llm import class_lm
 from slotmeter.llm.class_lm import exchange, score_texts
 from tests.llm import brute
 
@@ -32,11 +33,37 @@ def test_counts_and_base_and_a_better_score(spark):
     rows = score_texts(table).collect()
     check(docs, rows)
     out = [r for r in rows if r["held_out"]]
-    per_token = [sum(r[c] for r in out) / sum(r["n_tokens"] for r in out) for c in ("score", "base_score")]
-    assert per_token[0] > per_token[1] + 0.3
-    # also where every word is known
-    train = [r for r in rows if not r["held_out"]]
-    assert sum(r["score"] for r in train) > sum(r["base_score"] for r in train)
+    score, base = (sum(r[c] for r in out) / sum(r["n_tokens"] for r in out) for c in ("score", "base_score"))
+    assert score > base + 0.1
+    # the gain comes from known words: base gives them what score - known_score cannot change
+    count = collections.Counter(t for i, x in docs if zlib.crc32(str(i).encode()) % 5 != 1 for t in tokens(x))
+    n, v = sum(count.values()), len(count)
+    known_base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for i, x in docs if zlib.crc32(str(i).encode()) % 5 == 1 for w in tokens(x) if count[w])
+    assert sum(r["known_score"] for r in out) / sum(r["n_known"] for r in out) > known_base / sum(r["n_known"] for r in out) + 0.2
+    # all unseen words of the held-out texts together have less than the share of unseen words
+    unseen = {w for i, x in docs if zlib.crc32(str(i).encode()) % 5 == 1 for w in tokens(x) if not count[w]}
+    one = next((r["score"] - r["known_score"]) / (r["n_tokens"] - r["n_known"]) for r in out if r["n_tokens"] > r["n_known"])
+    assert 0 < len(unseen) * 10**one < sum(c == 1 for c in count.values()) / n
+
+
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: r for r in score_texts(table.coalesce(1)).collect()}
+    for name, value in (("BLOCK", 1 << 14), ("RANGE", 1 << 14)):
+        monkeypatch.setattr(class_lm, name, value)
+    got = score_texts(table.repartition(7)).collect()
+    assert len(got) == len(want) and all(abs(r[c] - want[r["doc_id"]][c]) < 1e-6 for r in got for c in ("score", "base_score", "known_score"))
+
+
+def test_frequent_words_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, 400)) for _ in range(60)] + ["burst " * 200]
+    docs = [(i, x) for i, x in enumerate(texts)]
+    count = collections.Counter(t for i, x in docs if zlib.crc32(str(i).encode()) % 5 != 1 for t in tokens(x))
+    monkeypatch.setattr(class_lm, "BLOCK", 1 << 10)
+    n, words, counts = class_lm.frequent_words(class_lm.encode_blocks(spark.createDataFrame(docs, "id long, text string").repartition(4)), 1 / 200)
+    want = sorted((c for w, c in count.items() if w is not None and c >= sum(count.values()) / 200), reverse=True)
+    assert n == sum(count.values()) and counts.tolist() == want and len(set(words.tolist())) == len(want)
 
 
 def test_edge_cases(spark):
