@@ -7,9 +7,9 @@
 2. Regions that share an anchor with a different region may share some strings. Their texts are dealt
    to buckets by anchor; an anchor with very many regions gets a grid of buckets in which each two of
    its chunks meet.
-3. In a bucket the regions form shards of bounded size. Each shard has its transform; the interleave
-   of all shards is refined step by step (two letters each) until it is the order by the first
-   ``LENGTH`` bytes. Interval borders arise on the way, so intervals without a border share a prefix
+3. In a bucket only runs of starts whose rolling hash over ``LENGTH`` bytes occurs twice go on. They
+   form shards of bounded size. Each shard has its transform; the interleave of all shards is refined
+   step by step (two letters each) until it is the order by the first ``LENGTH`` bytes. Interval borders arise on the way, so intervals without a border share a prefix
    of that length: they are the repeated strings. No suffix is sorted across shards.
 Removal is judged on the input: every byte of every string that also starts earlier.
 """
@@ -28,7 +28,7 @@ from slotmeter.llm.wordhash import _BASE, _BASE_INVERSE, _VALUE, _powers, mix
 
 LENGTH, KMER = 100, 32
 #: Bytes hashed at once, bytes of a bucket and of a shard, and regions of an anchor that share a bucket.
-SEGMENT, BUCKET, SHARD, CHUNK = 1 << 19, 4 << 20, 1 << 20, 8000
+SEGMENT, BUCKET, SHARD, CHUNK = 1 << 19, 2 << 20, 1 << 18, 8000
 NULL_ID = -(2**63)
 
 
@@ -193,6 +193,37 @@ def shard_transform(parts: list[bytes], code: np.ndarray, letters: int) -> tuple
     return pairs[order], part[order], (np.arange(n) - begin[part])[order]
 
 
+def repeat_runs(parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Pieces of parts, with part and offset, that hold every string of LENGTH bytes that occurs twice.
+
+    A string that occurs once, as its rolling hash tells, starts in no piece; a hash that two
+    different strings share only keeps more.
+    """
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    begins = ends - [len(p) for p in parts]
+    n = len(raw)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * _powers(_BASE, n), out=total[1:])
+    valid = np.zeros(n + 1, np.int64)
+    long = ends - begins >= LENGTH
+    np.add.at(valid, begins[long], 1)
+    np.add.at(valid, ends[long] - LENGTH + 1, -1)
+    at = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
+    if not len(at):
+        return [], at, at
+    hashes = (total[at + LENGTH] - total[at]) * _powers(_BASE_INVERSE, n)[at]
+    ordered = np.sort(hashes)
+    at = at[np.isin(hashes, ordered[1:][ordered[1:] == ordered[:-1]])]
+    if not len(at):
+        return [], at, at
+    part = np.searchsorted(ends, at, side="right")
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (part[1:] != part[:-1]))))
+    last = np.append(first[1:], len(at)) - 1
+    joined = raw.tobytes()
+    return [joined[a:b] for a, b in zip(at[first].tolist(), (at[last] + LENGTH).tolist(), strict=True)], part[first], at[first] - begins[part[first]]
+
+
 def repeated_strings(parts: list[bytes], shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes with at least LENGTH bytes left that share these with another: (interval, part, offset)."""
     used = np.zeros(256, bool)
@@ -265,8 +296,11 @@ def _merge_buckets(parts: DataFrame) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         texts = table.column("part").to_pylist()
         doc, start = table.column("id").to_numpy(), table.column("s").to_numpy()
-        interval, part, offset = repeated_strings(texts)
-        d, s = doc[part], start[part] + offset
+        pieces, owner, place = repeat_runs(texts)
+        if not pieces:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("id", "s", "n")})
+        interval, piece, offset = repeated_strings(pieces)
+        d, s = doc[owner[piece]], start[owner[piece]] + place[piece] + offset
         order = np.lexsort((s, d, interval))
         interval, d, s = interval[order], d[order], s[order]
         new = np.concatenate(([True], interval[1:] != interval[:-1])) if len(d) else np.zeros(0, bool)
@@ -283,27 +317,34 @@ def _merge_buckets(parts: DataFrame) -> DataFrame:
     return few.unionAll(hot).groupBy("x", "y", "z").applyInArrow(merge, "id long, s long, n long")
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """(own, text) with a document number in the order of own, null first, then text hash; equal rows share it."""
+    base = base.withColumn("th", F.xxhash64("text"))
+    integral = base.schema["own"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if integral and base.groupBy("own").agg(F.min("th").alias("x"), F.max("th").alias("y")).where("x <> y").isEmpty():
+        return base.select("own", "text", F.coalesce(F.col("own").cast("long"), F.lit(NULL_ID)).alias("id"))
+    # row numbers within sorted ranges rise from range to range; writing them fixes them
+    keys = base.select("own", "th").distinct().repartitionByRange("own", "th").sortWithinPartitions("own", "th")
+    keys = staged(keys.withColumn("id", F.monotonically_increasing_id())).withColumnsRenamed({"own": "o", "th": "t"})
+    return base.join(keys.hint("merge"), F.col("own").eqNullSafe(F.col("o")) & (F.col("th") == F.col("t"))).select("own", "text", "id")
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept (binary) for each row of ``docs``.
 
-    Ids are integers; a null id comes before all others. A null or empty text has no bytes. Rows that
-    repeat an id and its text are one document and get one result. Of rows with one id and different
-    texts only the text with the smallest hash takes part; the others stay whole. Other columns are
-    not read; empty input gives an empty result.
+    Ids may be of any ordered type; a null id comes before all others. A null or empty text has no
+    bytes. Rows that repeat an id and its text are one document and get one result; rows with one id
+    and different texts are documents of their own, in the order of their texts' hashes. Other
+    columns are not read; empty input gives an empty result.
     """
-    base = docs.select(F.col(f"`{id_col}`").alias("own"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    hashed = base.select("id", F.xxhash64("text").alias("th"))
-    chosen = hashed.groupBy("id").agg(F.min("th").alias("th"), F.max("th").alias("x"))
-    part = base.withColumn("part", F.lit(True))
-    if not chosen.where("th <> x").isEmpty():
-        part = base.withColumn("th", F.xxhash64("text")).join(chosen.select("id", F.col("th").alias("y")).hint("merge"), "id").withColumn("part", F.col("th") == F.col("y"))
-    taking = part.where("part").select("id", "text")
+    taking = _numbered(docs.select(F.col(f"`{id_col}`").alias("own"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
+    rows, taking = taking, taking.select("id", "text")
     settled = staged(settle(find_regions(taking)))
     parts = staged(_join_regions(settled.where("kind = 2"), taking))
     runs = settled.where("kind = 1").select("id", "s", "n").unionAll(_merge_buckets(parts))
     # runs of one document, bounded by its length
-    runs = runs.groupBy("id").agg(F.collect_set(F.struct("s", "n")).alias("runs")).withColumn("part", F.lit(True))
-    both = part.join(runs.hint("merge"), ["id", "part"], "left").select("own", "text", "runs")
+    runs = runs.groupBy("id").agg(F.collect_set(F.struct("s", "n")).alias("runs"))
+    both = rows.join(runs.hint("merge"), "id", "left").select("own", "text", "runs")
 
     def remove(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, runs = as_bytes(batch.column(1)), batch.column(2).to_pylist()

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from slotmeter.llm.suffix_dedup import LENGTH, drop_repeats, repeated_strings
+from slotmeter.llm.suffix_dedup import LENGTH, drop_repeats, repeat_runs, repeated_strings
 
 
 def brute(docs):
@@ -43,7 +43,13 @@ def test_planted_repeats_and_edge_cases(spark):
     assert len(rows) == len(docs) + 1
     assert result(drop_repeats(table)) == brute(docs)
     two = spark.createDataFrame([(1, a), (1, b), (2, a + b)], "doc_id long, text string")
-    assert sum(r["n_removed"] > 0 for r in drop_repeats(two).collect()) == 1
+    rows = {bytes(r["kept"]): r for r in drop_repeats(two).collect()}
+    assert a.encode() in rows and b.encode() in rows
+    last = next(r for r in rows.values() if r["doc_id"] == 2)
+    assert last["n_removed"] == last["n_bytes"] and last["n_spans"] == 1
+    named = spark.createDataFrame([("b", a), (None, a), ("a", a + "!"), ("a", b)], "doc_id string, text string")
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in drop_repeats(named).collect()}
+    assert got == {(None, len(a.encode())): 0, ("a", len(a.encode()) + 1): len(a.encode()), ("a", len(b.encode())): 0, ("b", len(a.encode())): len(a.encode())}
     assert drop_repeats(table.limit(0)).collect() == []
 
 
@@ -61,3 +67,18 @@ def test_merged_shards_give_the_repeated_strings():
             for o in range(len(x) - LENGTH + 1):
                 want.setdefault(x[o : o + LENGTH], set()).add((p, o))
         assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_runs_hold_every_repeated_string():
+    rng = random.Random(6)
+    base = bytes(rng.choice(b"ab\x00\xff") for _ in range(400))
+    parts = [base[:250], base[100:], bytes(rng.choice(b"ab") for _ in range(300)), b"", b"a" * 99, b"z" * 130]
+    pieces, part, offset = repeat_runs(parts)
+    count = {}
+    for x in parts:
+        for o in range(len(x) - LENGTH + 1):
+            count[x[o : o + LENGTH]] = count.get(x[o : o + LENGTH], 0) + 1
+    want = {(p, o) for p, x in enumerate(parts) for o in range(len(x) - LENGTH + 1) if count[x[o : o + LENGTH]] > 1}
+    assert {(p, o + k) for x, p, o in zip(pieces, part, offset, strict=True) for k in range(len(x) - LENGTH + 1)} == want
+    assert all(parts[p][o : o + len(x)] == x for x, p, o in zip(pieces, part, offset, strict=True))
+    assert repeat_runs([b"short", b"y" * 100])[0] == []
