@@ -35,11 +35,16 @@ def test_held_out_documents(spark):
     label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = QUERIES["op7_toxicity"](spark, sf).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
-    # in the other languages this small table has too few toxic texts to learn from
-    out = [(label[r["doc_id"]], r["score"], r["predicted"]) for r in rows if r["held_out"] and label.get(r["doc_id"]) is not None and lang[r["doc_id"]] == "en"]
-    y, p = np.array([o[0] for o in out], bool), np.array([o[2] for o in out], bool)
-    print("recall", p[y].mean(), "false alarms", p[~y].mean(), len(y))
-    assert p[y].mean() > 0.85 and p[~y].mean() < 0.01
+    out = [(lang[r["doc_id"]], label[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and label.get(r["doc_id"]) is not None]
+
+    def shares(which):
+        y, p = np.array([o[1] for o in out if o[0] in which], bool), np.array([o[2] for o in out if o[0] in which], bool)
+        return p[y].mean(), p[~y].mean()
+
+    every = {o[0] for o in out}
+    print({x: shares([x]) for x in sorted(every)}, shares(every))
+    assert shares(["en"])[0] > 0.85 and shares(["en"])[1] < 0.01
+    assert shares(every)[0] > 0.75 and shares(every)[1] < 0.03
 
 
 def test_edge_cases(spark):
