@@ -2,6 +2,7 @@
 
 DataFrame functions and Spark ML only. The trees learn from urls that a rule decides and judge the
 others from length, depth, digit ratio, character entropy, parameter counts and suffix statistics.
+Statistics of a row that is trained on come from the other fold of urls, so no row sees its own label.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from slotmeter.llm.common import ascii_lower
 
 #: The contract's rules: (host/path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "n_params", "has_fragment", "n_hyphens", "suffix_n", "suffix_blocked", "top_blocked")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "n_params", "has_fragment", "n_hyphens", "suffix_n", "suffix_blocked", "suffix_allowed", "top_blocked", "top_allowed", "section_blocked", "section_allowed")
 #: Suffix tables of up to so many rows are broadcast (about 5 MB); larger ones are joined by key.
 BROADCAST_ROWS = 50_000
-#: Bound of the labelled sample that the trees are fitted on.
-MAX_TRAIN = 20_000
+#: Bound of the labelled sample that the trees are fitted on, and the urls that the common shares weigh in a suffix's.
+MAX_TRAIN, PRIOR = 20_000, 5.0
 
 
 def host_of(url: Column) -> Column:
@@ -66,48 +67,64 @@ def lexical(df: DataFrame) -> DataFrame:
             "n_hyphens": F.length(F.regexp_replace(host, "[^-]", "")).cast("double"),
             "suffix": F.substring_index(host, ".", -2),
             "top": F.substring_index(host, ".", -1),
+            "section": F.concat(F.substring_index(host, ".", -2), F.lit("/"), F.substring_index(F.substr("path", F.lit(2)), "/", 1)),
         }
     )
 
 
-def _with_statistics(df: DataFrame, labelled: DataFrame, key: str, names: dict[str, Column]) -> DataFrame:
-    """Join smoothed counts of ``key`` among labelled rows; broadcast only a table of checked size."""
-    table = labelled.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).select(key, *[c.alias(n) for n, c in names.items()])
+def fold_of(url: Column) -> Column:
+    """Equal urls are in one of two folds."""
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(2))
+
+
+def _with_statistics(df: DataFrame, every: DataFrame, key: str, shares: tuple[float, float], train: bool) -> DataFrame:
+    """Add the number of urls of ``key`` and the smoothed shares of them that rules block and allow.
+
+    Rows to train on see the other fold only. Only a table of checked size is broadcast.
+    """
+    kinds = {"n": F.lit(True), "b": F.col("says") == "block", "a": F.col("says") == "allow"}
+    table = every.groupBy(key).agg(*[F.count_if(F.coalesce(c, F.lit(False)) & (F.col("fold") == k)).alias(f"{name}{k}") for name, c in kinds.items() for k in (0, 1)])
     table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
-    return df.join(table, key, "left")
+    seen = {name: F.when(F.col("fold") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0")) if train else F.col(f"{name}0") + F.col(f"{name}1") for name in kinds}
+    n, b, a = (F.coalesce(seen[name], F.lit(0)) for name in "nba")
+    joined = df.join(table, key, "left")
+    joined = joined.withColumns({f"{key}_n": F.log1p(n), f"{key}_blocked": (b + PRIOR * shares[0]) / (n + PRIOR), f"{key}_allowed": (a + PRIOR * shares[1]) / (n + PRIOR)})
+    return joined.drop(*[f"{name}{k}" for name in kinds for k in (0, 1)])
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_train: int = MAX_TRAIN, trees: int = 10, depth: int = 3) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_train: int = MAX_TRAIN, trees: int = 10, depth: int = 3, unseen: Column | None = None) -> DataFrame:
     """id, host, path, rule (null if none fits), verdict and block_score (null where a rule decides).
 
     The trees are fitted on a hash-chosen sample of about ``max_train`` rule-decided rows; suffix
-    statistics come from all of them. A null url has empty host and path and is judged by the trees
+    statistics come from all rows: how many urls have the suffix, the top-level name, or the suffix
+    with a first path segment, and which shares of them rules block and allow. A null url has empty host and path and is judged by the trees
     like any other. Rows with repeated or null ids are judged alone. If no row is decided by a rule,
     the rest is allowed; if all decided rows agree, the rest follows them. Other columns are not read.
     """
     base = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"))
     base = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "says": says})
-    labelled = lexical(base.where("rule is not null")).withColumn("y", (F.col("says") == "block").cast("double"))
-    n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).head()
+    if unseen is not None:
+        base = base.withColumn("unseen", unseen)
+        rule, says = (F.when(~F.col("unseen"), c) for c in (rule, says))
+    base = base.withColumns({"rule": rule, "says": says, "fold": fold_of(F.col("url"))})
+    total, n, blocked = base.agg(F.count(F.lit(1)), F.count("rule"), F.count_if(F.col("says") == "block")).head()
     if n == 0 or blocked in (0, n):
         fixed = "block" if n and blocked == n else "allow"
         out = base.withColumns({"verdict": F.coalesce("says", F.lit(fixed)), "block_score": F.lit(None).cast("double")})
         return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "block_score")
-    suffix = {"suffix_n": F.log1p("n"), "suffix_blocked": (F.col("b") + blocked / n) / (F.col("n") + 1)}
-    top = {"top_blocked": (F.col("b") + blocked / n) / (F.col("n") + 1)}
+    shares, every = (blocked / total, (n - blocked) / total), lexical(base)
 
-    def features(df: DataFrame) -> DataFrame:
-        df = _with_statistics(_with_statistics(lexical(df), labelled, "suffix", suffix), labelled, "top", top)
-        df = df.fillna({"suffix_n": 0.0, "suffix_blocked": float(blocked / n), "top_blocked": float(blocked / n)})
+    def features(df: DataFrame, train: bool) -> DataFrame:
+        for key in ("suffix", "top", "section"):
+            df = _with_statistics(df, every, key, shares, train)
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     share = min(1.0, max_train / n)
-    chosen = base.where(F.col("rule").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    train = features(chosen).select("features", (F.col("says") == "block").cast("double").alias("label"))
+    chosen = every.where(F.col("rule").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    train = features(chosen, True).select("features", (F.col("says") == "block").cast("double").alias("label"))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(train)
-    scored = model.transform(features(base)).withColumn("p", vector_to_array("probability")[1])
+    scored = model.transform(features(every, False)).withColumn("p", vector_to_array("probability")[1])
     open_ = F.col("rule").isNull()
     verdict = F.when(open_, F.when(F.col("p") >= 0.5, "block").otherwise("allow")).otherwise(F.col("says"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.when(open_, F.col("p")).alias("block_score"))
