@@ -62,7 +62,6 @@ class Bpe:
         self.rank = {(m[0], m[1]): k for k, m in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.named = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.string())
         self.longest = max(len(t.removesuffix(self.end)) if t != self.end else len(t) for t in self.ids)
         self.lookahead = sufficient_lookahead(list(self.rank), self.end)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -70,7 +69,19 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.letters = byte_letters()
         self.table = dict(enumerate(self.letters))
-        self.bytes_of = {c: b for b, c in enumerate(self.letters)}
+        of = {c: b for b, c in enumerate(self.letters)}
+
+        def spelled(i: int) -> bytes | None:
+            name = self.names.get(i)
+            if name is None or i in self.special.values():
+                return name and name.encode()
+            closes = bool(self.end) and name.endswith(self.end)
+            return bytes(of[c] for c in (name[: -len(self.end)] if closes else name)) + b" " * closes
+
+        every = range(max(self.names) + 1)
+        named = [self.names.get(i) for i in every]
+        #: What a token decodes to: its bytes, or (True) its name.
+        self.pieces = {False: pa.array([spelled(i) for i in every], pa.binary()), True: pa.array([n and n.encode() for n in named], pa.binary())}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._spines: dict[tuple[str, bool], list] = {}
@@ -252,23 +263,44 @@ class Bpe:
             coded = b"".join(map(known.__getitem__, words))
             yield coded, len(coded) // 4
 
-    def joined(self, ids: list[int]) -> str:
-        """The tokens' names with spaces between, as a tokenizer without a decoder gives them."""
-        return " ".join(map(self.names.__getitem__, ids))
-
-    def text(self, ids: list[int]) -> Iterator[str]:
-        """Decode incrementally: word ends become spaces, bytes become characters as they are complete."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            name = self.names[i]
-            if name in self.special:
-                yield state.decode(b"", final=True) + name
-                state.reset()
-                continue
-            closes = bool(self.end) and name.endswith(self.end)
-            body = name[: -len(self.end)] if closes else name
-            yield state.decode(bytes(self.bytes_of[c] for c in body), final=closes) + " " * closes
-        yield state.decode(b"", final=True)
+
+class Decoder:
+    """Incremental byte-to-text state machine: ids in any portions, complete characters out; an incomplete end waits.
+
+    Its output alphabet is either the tokens' bytes, where word ends become spaces (the text), or the
+    tokens' names with spaces between, as a tokenizer file without a decoder gives them.
+    """
+
+    def __init__(self, bpe: Bpe, names: bool = False) -> None:
+        self.pieces = bpe.pieces[names]
+        self.between = b" " if names else b""
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.started = False
+
+    def _bytes(self, lists: pa.ListArray) -> pa.Array:
+        values = lists.flatten()
+        if len(values) and (pc.min(values).as_py() < 0 or pc.max(values).as_py() >= len(self.pieces)):
+            raise ValueError("an id is outside the vocabulary")
+        return pc.binary_join(pa.ListArray.from_arrays(_offsets(lists), self.pieces.take(values)), self.between)
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        raw = self._bytes(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+        raw, self.started = (self.between if self.started else b"") + raw, True
+        return self.state.decode(raw)
+
+    def close(self) -> str:
+        """What is left, and the machine starts afresh."""
+        self.started = False
+        out = self.state.decode(b"", final=True)
+        self.state.reset()
+        return out
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Each list's text, one after the other through the same machine."""
+        step = self.state.decode
+        return pa.array([step(x, final=True) for x in self._bytes(lists.fill_null([])).to_pylist()], pa.string())
 
 
 class Stream:
@@ -344,15 +376,6 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
 _LOADED: dict[str, Bpe] = {}
 
 
-def _joined(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
-    """Bpe.joined() of many lists at once."""
-    lists = lists.fill_null([])
-    values = lists.flatten()
-    if len(values) and (pc.min(values).as_py() < 0 or pc.max(values).as_py() >= len(bpe.named)):
-        raise ValueError("an id is outside the vocabulary")
-    return pc.binary_join(pa.ListArray.from_arrays(_offsets(lists), bpe.named.take(values)), " ")
-
-
 def _offsets(lists: pa.ListArray) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int32))
 
@@ -374,12 +397,12 @@ def _shared(spark, path: str):
     return load
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", keep: tuple[str, ...] = (), decoded_col: str | None = None, as_text: bool = False) -> DataFrame:
     """(id, the columns named in keep, ids) for each row: the whole text's token ids; null and empty texts have none.
 
     Strings of special tokens become their ids. Characters that Unicode assigned after Python's own
-    tables were made count as neither letters nor digits. ``decoded_col`` adds what decode_ids gives,
-    in the same pass, so ids need not travel twice. Ids may repeat or be null; other columns are not read.
+    tables were made count as neither letters nor digits. ``decoded_col`` adds what decode_ids gives
+    (with ``as_text`` too), in the same pass, so ids need not travel twice. Ids may repeat or be null; other columns are not read.
     """
     load = _shared(docs.sparkSession, path)
 
@@ -391,8 +414,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, *keep, out_col])
 
     def run_both(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(load(), names=not as_text)
         for coded in run(batch):
-            yield pa.RecordBatch.from_arrays([*coded.columns, _joined(load(), coded.column(coded.num_columns - 1))], names=[*coded.schema.names, decoded_col])
+            yield pa.RecordBatch.from_arrays([*coded.columns, decoder.decode(coded.column(coded.num_columns - 1))], names=[*coded.schema.names, decoded_col])
 
     base = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     schema = base.drop("_text").withColumn(out_col, F.array(F.lit(0)))
@@ -412,9 +436,7 @@ def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str =
     at = columns.index(ids_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe = load()
-        lists = batch.column(at)
-        texts = pa.array(["".join(bpe.text(ids or [])) for ids in lists.to_pylist()], pa.string()) if as_text else _joined(bpe, lists)
+        texts = Decoder(load(), names=not as_text).decode(batch.column(at))
         yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out_col])
 
     schema = coded.withColumn(out_col, F.lit("")).schema

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from slotmeter.llm.common import arrow_map
 HIDDEN, WINDOW, AT_ONCE = 8, 128, 4096
 #: Bound of the training sample: windows of each language, and characters of a window.
 PER_LANGUAGE, SAMPLE_CHARS = 300, 96
+#: A text is rejected below this part of the score that all but the lowest ``LOWEST`` of the labelled windows reach.
+PART, LOWEST = 0.8, 0.005
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -37,7 +40,7 @@ class ByteGru:
 
     def __init__(self, classes: list[str], hidden: int = HIDDEN, seed: int = 1) -> None:
         rng, h = np.random.default_rng(seed), hidden
-        self.classes, self.h = classes, h
+        self.classes, self.h, self.least = classes, h, 0.0
         self.p = {}
         for d in "fb":
             self.p[f"w{d}"] = rng.normal(0, 0.3, (256, 3 * h)).astype(np.float32)
@@ -108,6 +111,12 @@ class ByteGru:
                 self.p[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def learn_least(self, windows: np.ndarray, mask: np.ndarray) -> ByteGru:
+        """Set ``least``, the score below which a text has no language, from the scores of labelled windows."""
+        best = self.position_sums(windows, mask).max(1) / np.maximum(mask.sum(1), 1)
+        self.least = float(PART * np.quantile(best, LOWEST))
+        return self
+
     # inference
 
     def position_sums(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -179,16 +188,17 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
         return None
     unit = 1 << 30
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * unit))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(unit)) <= F.element_at(share, F.col("lang")))
+    # equal texts count once here, so that one repeated very often cannot fill the sample
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(unit)) <= F.element_at(share, F.col("lang"))).dropDuplicates(["text", "lang"])
     start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    found = chosen.select("lang", F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("w")).limit(4 * per_language * len(counts)).collect()
+    found = chosen.select("lang", F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("w")).orderBy(F.xxhash64("w"), "w").limit(4 * per_language * len(counts)).collect()
     classes = sorted(counts)
     texts = [r["w"].encode()[:WINDOW] for r in sorted(found, key=lambda r: (r["lang"], r["w"]))]
     label = np.array([classes.index(r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["w"]))])
     windows, mask = np.zeros((len(texts), WINDOW), np.uint8), np.zeros((len(texts), WINDOW), bool)
     for k, t in enumerate(texts):
         windows[k, : len(t)], mask[k, : len(t)] = np.frombuffer(t, np.uint8), True
-    return ByteGru(classes).fit(windows, mask, label)
+    return ByteGru(classes).fit(windows, mask, label).learn_least(windows, mask)
 
 
 def identify(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -225,20 +235,34 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def reject_unknown(docs: DataFrame, model: ByteGru | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with an identified language and a score of at least ``least``, with all their columns."""
-    at = docs.columns.index(text_col)
+def reject_unknown(docs: DataFrame, model: ByteGru | None, text_col: str = "text", lang_col: str | None = None, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` with an identified language, with all their columns.
+
+    Null texts, texts without a letter and texts whose score is below ``least`` (default: what the
+    model learnt from its labelled windows) go, and every text if no language was learned. Where the
+    column ``lang_col`` is null, the identified language takes its place. Rows are judged by their own
+    text, so repeated or null ids do not matter; other columns are carried along unread.
+    """
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
+    bound = (model.least if model else 0.0) if least is None else least
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         strings = batch.column(at).to_pylist()
-        good = np.array([t is not None and bool(_LETTER.search(t)) for t in strings])
+        good = np.array([t is not None and bool(_LETTER.search(t)) for t in strings], bool)
+        names: list[str | None] = [None] * len(strings)
         if model is None:
             good[:] = False
         elif good.any():
-            chosen = pa.array([strings[k].encode() for k in np.flatnonzero(good)], pa.large_binary())
+            some = np.flatnonzero(good)
+            chosen = pa.array([strings[k].encode() for k in some], pa.large_binary())
             raw = np.frombuffer(chosen.buffers()[2], np.uint8)
             prob = model.predict(raw, np.frombuffer(chosen.buffers()[1], np.int64)[: len(chosen) + 1])
-            good[good] = prob.max(1) >= least
-        yield batch.filter(pa.array(good))
+            for k, b in zip(some.tolist(), prob.argmax(1).tolist(), strict=True):
+                names[k] = model.classes[b]
+            good[some] = prob.max(1) >= bound
+        columns = list(batch.columns)
+        if lang_at is not None:
+            columns[lang_at] = pc.coalesce(columns[lang_at], pa.array(names, columns[lang_at].type))
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
 
     return arrow_map(docs, run, docs.schema)

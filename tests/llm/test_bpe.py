@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from slotmeter.llm.bpe import Bpe, Stream, decode_ids, encode_texts
+from slotmeter.llm.bpe import Bpe, Decoder, Stream, decode_ids, encode_texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -21,11 +21,16 @@ def ids(text):
     return found
 
 
+def decoded(some, names=False, step=None):
+    decoder = Decoder(OWN, names)
+    return "".join(decoder.feed(some[k : k + (step or len(some))]) for k in range(0, len(some), step or len(some) or 1)) + decoder.close()
+
+
 def same(text):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     got = ids(text)
     assert got == want
-    assert OWN.joined(got) == LIBRARY.decode(want, skip_special_tokens=False)
+    assert decoded(got, names=True) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
 CASES = [
@@ -65,9 +70,15 @@ def test_long_pieces_in_constant_memory():
         assert held <= 2 * (OWN.lookahead + OWN.longest) + 1024
 
 
-def test_text_decoding_is_incremental_and_mends_bytes():
-    assert "".join(OWN.text(ids("Héllo wörld 日本"))) == "héllo wörld 日本 "
-    assert "".join(OWN.text([OWN.ids[OWN.letters[0xE6]]])) == "�"
+def test_decoding_is_incremental_and_mends_bytes():
+    some = ids("Héllo wörld 日本<|endoftext|>x")
+    assert all(decoded(some, step=k) == "héllo wörld 日本 <|endoftext|>x " for k in (1, 2, 3, 50))
+    assert all(decoded(some, names=True, step=k) == LIBRARY.decode(some, skip_special_tokens=False) for k in (1, 2, 50))
+    half = OWN.ids[OWN.letters[0xE6]]
+    decoder = Decoder(OWN)
+    assert decoder.feed([half]) == "" and decoder.close() == "�" and decoder.feed(some[:1]) + decoder.close() == decoded(some[:1])
+    with pytest.raises(ValueError):
+        decoder.feed([10**6])
 
 
 def test_frames(spark):
