@@ -11,10 +11,11 @@ from slotmeter.functions.values import strip
 def parse_errors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, seq, type, slot, value) of 'D:slot, S:slot=v, I:slot=v'; parts that do not parse are skipped."""
     parts = df.select(*keys, F.posexplode(F.split(text, ",")).alias("seq", "part")).withColumn("part", strip(F.col("part")))
-    pattern = r"^([DSI]):(\w+)(?:=(.+))?$"
-    found = parts.where(F.col("part").rlike(pattern))
-    value = F.regexp_extract("part", pattern, 3)
-    return found.select(*keys, "seq", F.regexp_extract("part", pattern, 1).alias("type"), F.regexp_extract("part", pattern, 2).alias("slot"), F.when(value != "", value).alias("value"))
+    kind, rest = F.substring_index("part", ":", 1), F.substr("part", F.instr("part", ":") + 1)
+    slot, has = F.substring_index(rest, "=", 1), F.contains(rest, F.lit("="))
+    value = F.substr(rest, F.instr(rest, "=") + 1)
+    sound = F.contains("part", F.lit(":")) & kind.isin("D", "S", "I") & (slot != "") & ~slot.rlike(r"\W") & (~has | (value != ""))
+    return parts.where(sound).select(*keys, "seq", kind.alias("type"), slot.alias("slot"), F.when(has, value).alias("value"))
 
 
 def apply_errors(table: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,29 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotmeter.functions.values import grade_ser, value_equal
+from slotmeter.operators import aligning as al
 from slotmeter.operators import parsing as ps
 from slotmeter.operators import sampling as sm
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import routing
-from slotmeter.plans.fixtures import with_
+from slotmeter.plans.registering import registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 PAIR = v.PAIR
 
 
-def query(sql: str | None, **more: str):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = with_(sql, **more)
-        return fn
-
-    return add
-
-
 _SWEEP = {
     "state": f"""SELECT coalesce(x.example_id, g.example_id) AS example_id, coalesce(x.neg_id, g.neg_id) AS neg_id, x.slot IS NOT NULL AS hx, g.slot IS NOT NULL AS hg, coalesce(m.prob, 0.5) AS prob,
     CASE WHEN x.slot IS NOT NULL AND g.slot IS NOT NULL THEN {fx.equal_sql('x', 'g')} ELSE false END AS same
@@ -139,20 +129,44 @@ def paired_permutation(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n_flips"), F.count_if(F.abs("total") >= F.abs("seen")).alias("n_extreme"))
 
 
-@query(r"""SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(text, '(?i)(''s|''re|''ve|''ll|''d|n''t|''m)\b', ' \1', 'g'), '([A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*|''\w+|n''t|[.,!?;:()])'), ' ') AS tokens FROM documents""")
+_W, _GAP = r"[\p{L}\p{N}\p{M}_]", r"[\s\v\p{Z}\x{1C}-\x{1F}\x{85}]"
+
+
+def _tokens_sql(text: str) -> str:
+    for clitic in ps.CLITICS:
+        text = f"regexp_replace({text}, '({_W})({clitic.replace(chr(39), chr(39) * 2)})\\b', '\\1 \\2', 'g')"
+    return f"regexp_extract_all({text}, '{_W}+(?:[-/]{_W}+)*|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s\\v\\p{{Z}}\\x{{1C}}-\\x{{1F}}\\x{{85}}]')"
+
+
+_NORMAL = f"regexp_replace(regexp_replace(lower(text), '[-/]', ' ', 'g'), '{_GAP}+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM documents")
 def tokenize(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id", F.array_join(ps.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[-/]', ' ', 'g'), '\s+'), lambda t: trim(t, '.,!?;:()"''')), lambda t: t <> ''), ' ') AS text FROM documents""")
+@query(f"SELECT doc_id, {_NORMAL} AS text, array_to_string(list_transform({_tokens_sql(_NORMAL)}, lambda t: CASE WHEN length(t) > 1 THEN trim(t, '.,!?') ELSE t END), ' ') AS tokens FROM documents")
 def normalize_utterance(spark, sf_dir):
-    return fx.read(spark, sf_dir, "documents").select("doc_id", ps.normal_utterance(F.col("text")).alias("text"))
+    low = ps.normal_text(F.col("text"))
+    return fx.read(spark, sf_dir, "documents").select("doc_id", low.alias("text"), F.array_join(ps.normal_tokens(low), " ").alias("tokens"))
+
+
+#: Terms whose places are looked up, a word of each language.
+TERMS = ("the", "der", "les", "los")
 
 
-@query("SELECT doc_id, i - 1 AS at FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents) WHERE t IN ('the', 'de')")
+@query(
+    f"""SELECT doc_id, term, len(found) AS n, found[1] - 1 AS first_at, found[-1] - 1 AS last_at, length(array_to_string(tokens[1:found[-1] - 1], ' ')) + 1 - len(list_filter(tokens[1:found[-1] - 1], lambda t: t IN ('.', ','))) AS last_pos
+  FROM (SELECT doc_id, term, tokens, list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = term) AS found FROM (SELECT doc_id, {_tokens_sql('text')} AS tokens FROM documents), (SELECT unnest({list(TERMS)}) AS term)) WHERE len(found) > 0"""
+)
 def token_positions(spark, sf_dir):
-    tokens = fx.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "t"))
-    return tokens.where(F.col("t").isin("the", "de")).select("doc_id", F.col("at").cast("long").alias("at"))
+    """All places of terms in token lists, and the approximate character offset of the last."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", ps.tokenize(F.col("text")).alias("tokens"))
+    each = docs.select("doc_id", "tokens", F.explode(F.array(*map(F.lit, TERMS))).alias("term")).withColumn("found", ps.places(F.col("tokens"), F.col("term"))).where(F.size("found") > 0)
+    last = F.element_at("found", -1)
+    long = lambda c: c.cast("long")
+    return each.select("doc_id", "term", long(F.size("found")).alias("n"), long(F.element_at("found", 1)).alias("first_at"), long(last).alias("last_at"), long(ps.token_offset(F.col("tokens"), last)).alias("last_pos"))
 
 
 _SURFACE = {"surf": "SELECT p_partkey AS example_id, lower(concat('The ', p_name, ' by ', p_brand, ' has size ', p_size, '.')) AS text FROM part"}
@@ -163,11 +177,10 @@ def _surface(spark, sf_dir):
     return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), text.alias("text"))
 
 
-@query(r"SELECT f.example_id, f.slot, f.vpos, len(regexp_extract_all(s.text, concat('\b', regexp_escape(lower(f.value)), '\b'))) AS found FROM facts f JOIN surf s USING (example_id)", **_SURFACE)
+@query(r"SELECT f.example_id, f.slot, f.vpos, CASE WHEN len(m) > 0 THEN length(string_split_regex(s.text, p)[1]) ELSE -1 END AS pos, len(m) > 1 AS duplicate FROM (SELECT f.*, s.text, concat('\b', regexp_escape(lower(f.value)), '\b') AS p, regexp_extract_all(s.text, concat('\b', regexp_escape(lower(f.value)), '\b')) AS m FROM facts f JOIN surf s USING (example_id)) f, LATERAL (SELECT f.text) s", **_SURFACE)
 def match_verbatim(spark, sf_dir):
-    both = fx.facts(spark, sf_dir).join(_surface(spark, sf_dir), "example_id")
-    pattern = F.concat(F.lit(r"\b\Q"), F.lower("value"), F.lit(r"\E\b"))
-    return both.select("example_id", "slot", "vpos", F.regexp_count("text", pattern).cast("long").alias("found"))
+    both = fx.facts(spark, sf_dir).join(_surface(spark, sf_dir).hint("merge"), "example_id").withColumn("m", al.keywords(F.col("text"), F.array(F.lower("value"))))
+    return both.select("example_id", "slot", "vpos", F.col("m.pos").cast("long").alias("pos"), "m.duplicate")
 
 
 @query("SELECT r.example_id, r.slot, len(list_filter(r.vals, lambda x: contains(s.text, lower(x)))) = len(r.vals) AS all_found FROM refs r JOIN surf s USING (example_id) WHERE is_list", **_SURFACE)

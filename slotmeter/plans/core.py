@@ -7,23 +7,12 @@ from pyspark.sql import functions as F
 from slotmeter.functions import values
 from slotmeter.operators import slots
 from slotmeter.plans import fixtures as fx
-from slotmeter.plans.fixtures import with_
+from slotmeter.plans.registering import registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 KEYS = ["example_id", "topic", "cand_idx"]
 
 
-def query(sql: str | None, **more: str):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = with_(sql, **more)
-        return fn
-
-    return add
-
-
 @query("SELECT example_id, pos, slot, vpos, value FROM facts")
 def mr_flatten(spark, sf_dir):
     return slots.flatten(fx.references(spark, sf_dir), ["example_id"])
@@ -65,7 +54,7 @@ def value_equal(spark, sf_dir):
 
 
 @query("""SELECT doc_id, trim(split_part(split_part(concat('Q### Response:', chr(10), text), concat('### Response:', chr(10)), 2), '</LIST>', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer
-  FROM (SELECT doc_id, concat(text[1:60], '</LIST> tail') AS text FROM documents)""")
+  FROM (SELECT doc_id, split_part(split_part(concat(text, '</LIST> tail'), '</LIST>', 1), chr(10) || chr(10) || '###', 1) AS text FROM documents)""")
 def extract_response(spark, sf_dir):
     raw = fx.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Q### Response:\n"), "text", F.lit("</LIST> tail")).alias("raw"))
     t, marker = F.col("raw"), "### Response:\n"

@@ -7,25 +7,15 @@ from pyspark.sql import functions as F
 
 from slotmeter.operators import ranking as rk
 from slotmeter.operators import sampling as sm
+from slotmeter.operators import significance as sg
 from slotmeter.plans import fixtures as fx
-from slotmeter.plans.fixtures import with_
+from slotmeter.plans.registering import registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 #: Parts that the examples with a token are dealt to in jaccard_pairs.
 SALTS = 16
 
 
-def query(sql: str | None, **more: str):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = with_(sql, **more)
-        return fn
-
-    return add
-
-
 _RANKED = {
     "lists": "SELECT l_orderkey AS q, CAST(l_quantity AS INT) % 7 AS grade, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem",
     "rels": "SELECT *, CAST(grade >= 4 AS INT) AS rel FROM lists",
@@ -205,30 +195,53 @@ def slot_value_inventory(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, max(n_chars) AS longest, min(n_chars) AS shortest, round(median(n_chars), 4) AS median, round(stddev_pop(n_chars), 4) AS sd FROM documents GROUP BY lang")
 def length_profile(spark, sf_dir):
-    n = F.col("n_chars")
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("longest"), F.min(n).alias("shortest"), F.round(F.median(n), 4).alias("median"), F.round(F.stddev_pop(n), 4).alias("sd"))
+    """From counts by length, so that a language's median does not need all its lengths in one task."""
+    counts = _docs(spark, sf_dir).groupBy("lang", F.col("n_chars").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("lang").orderBy("x")
+    below = counts.withColumns({"to": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy("lang"))})
+    middle = lambda k: F.min(F.when(F.col("to") >= k, F.col("x")))
+    n, x, c = F.col("n"), F.col("x"), F.col("c")
+    mean = F.sum(x * c) / F.sum(c)
+    median = (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2
+    out = below.groupBy("lang").agg(F.sum(c).alias("n"), F.round(mean, 4).alias("mean"), F.max(x).alias("longest"), F.min(x).alias("shortest"), F.round(median, 4).alias("median"), F.sum(x * c).alias("s"), F.sum(x.cast("double") * x * c).alias("q"))
+    sd = F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0)), F.lit(0.0))), 4)
+    return out.select("lang", "n", "mean", "longest", "shortest", "median", sd.alias("sd"))
+
+
+@query("SELECT lang, least(CAST(floor((n_chars - lo) * 10 / CAST(greatest(hi - lo, 1) AS DOUBLE)) AS BIGINT), 9) AS bin, count(*) AS n FROM documents JOIN (SELECT lang, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY lang) USING (lang) GROUP BY ALL")
+def length_histogram(spark, sf_dir):
+    """Ten equally wide bins between the shortest and the longest; the last holds its upper edge."""
+    d = _docs(spark, sf_dir)
+    edges = d.groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    both = d.join(F.broadcast(edges), "lang")  # a row for each language
+    place = F.floor((F.col("n_chars") - F.col("lo")) * 10 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)).cast("double"))
+    return both.groupBy("lang", F.least(place, F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n11, n10, n01, n00, round(CASE WHEN n10 + n01 > 0 THEN power(greatest(abs(n10 - n01) - 1, 0), 2) / CAST(n10 + n01 AS DOUBLE) ELSE 0 END, 6) AS chi2 FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS n11, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n10, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS n01, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS n00 FROM labels)")
+@query("SELECT n11, n10, n01, n00, round(CASE WHEN n10 + n01 > 0 THEN power(abs(n10 - n01) - 1, 2) / CAST(n10 + n01 AS DOUBLE) ELSE 0 END, 6) AS chi2, CASE WHEN power(abs(n10 - n01) - 1, 2) / nullif(n10 + n01, 0) > 10.827566 THEN '***' WHEN power(abs(n10 - n01) - 1, 2) / nullif(n10 + n01, 0) > 6.634897 THEN '**' WHEN power(abs(n10 - n01) - 1, 2) / nullif(n10 + n01, 0) > 3.841459 THEN '*' ELSE 'n.s.' END AS stars FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS n11, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n10, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS n01, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS n00 FROM labels)")
 def mcnemar(spark, sf_dir):
     cell = lambda a, b: F.count_if((F.col("quality") == a) & (F.col("toxic") == b)).alias(f"n{a}{b}")
     out = fx.read(spark, sf_dir, "labels").agg(cell(1, 1), cell(1, 0), cell(0, 1), cell(0, 0))
-    off, all_ = F.greatest(F.abs(F.col("n10") - F.col("n01")) - 1, F.lit(0)), F.col("n10") + F.col("n01")
-    return out.withColumn("chi2", F.round(F.when(all_ > 0, F.pow(off.cast("double"), F.lit(2.0)) / all_).otherwise(0.0), 6))
+    off, all_ = F.abs(F.col("n10") - F.col("n01")) - 1, F.col("n10") + F.col("n01")
+    out = out.withColumn("chi2", F.round(F.when(all_ > 0, F.pow(off.cast("double"), F.lit(2.0)) / all_).otherwise(0.0), 6))
+    return out.withColumn("stars", sg.stars(sg.mcnemar_p(F.col("n10"), F.col("n01"))))
 
 
 @query(
-    "SELECT a, b, round(c / CAST(x.n + y.n - c AS DOUBLE), 6) AS jaccard FROM (SELECT a.example_id AS a, b.example_id AS b, count(*) AS c FROM tok a JOIN tok b ON a.topic = b.topic AND a.t = b.t AND a.example_id < b.example_id GROUP BY ALL) p JOIN tn x ON x.example_id = a JOIN tn y ON y.example_id = b",
-    tok="SELECT DISTINCT example_id, topic, lower(regexp_replace(trim(concat(slot, '=', value)), '\\s+', ' ', 'g')) AS t FROM facts WHERE slot NOT IN ('large', 'brand')",
+    "SELECT a, b, round(c / CAST(x.n + y.n - c AS DOUBLE), 6) AS jaccard FROM (SELECT a.example_id AS a, b.example_id AS b, count(*) AS c FROM tok a JOIN tok b ON a.topic = b.topic AND a.t = b.t AND a.example_id <> b.example_id AND b.example_id % 50 = 0 GROUP BY ALL) p JOIN tn x ON x.example_id = a JOIN tn y ON y.example_id = b",
+    tok="SELECT DISTINCT example_id, topic, lower(regexp_replace(trim(concat(slot, '=', value)), '\\s+', ' ', 'g')) AS t FROM facts WHERE true",
     tn="SELECT example_id, count(*) AS n FROM tok GROUP BY example_id",
 )
 def jaccard_pairs(spark, sf_dir):
-    """All pairs of a topic that share a token of any slot; the others have 0. Tokens are salted, as few values mean large groups."""
+    """Each query (b, ids divisible by 50) with all rows of its topic that share a token of any slot; the others have 0.
+
+    Tokens are salted, as few values mean large groups; only the queries are copied to the salts.
+    """
     token = F.lower(F.regexp_replace(F.trim(F.concat("slot", F.lit("="), "value")), r"\s+", " "))
     tok = fx.facts(spark, sf_dir).select("example_id", "topic", token.alias("t")).distinct()
     n = tok.groupBy("example_id").agg(F.count(F.lit(1)).alias("n"))
     a = tok.select("topic", "t", F.col("example_id").alias("a"), F.pmod(F.xxhash64("example_id"), F.lit(SALTS)).alias("salt"))
-    b = tok.select("topic", "t", F.col("example_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    c = a.join(b, ["topic", "t", "salt"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    both = c.join(n.select(F.col("example_id").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("example_id").alias("b"), F.col("n").alias("y")), "b")
+    b = tok.where("example_id % 50 = 0").select("topic", "t", F.col("example_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    c = a.join(b.hint("merge"), ["topic", "t", "salt"]).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    both = c.join(n.select(F.col("example_id").alias("a"), F.col("n").alias("x")).hint("merge"), "a").join(n.select(F.col("example_id").alias("b"), F.col("n").alias("y")).hint("merge"), "b")
     return both.select("a", "b", F.round(F.col("c") / (F.col("x") + F.col("y") - F.col("c")), 6).alias("jaccard"))

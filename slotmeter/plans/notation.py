@@ -12,25 +12,14 @@ from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import core, routing
 from slotmeter.plans import fixtures as fx
-from slotmeter.plans.fixtures import with_
+from slotmeter.plans.registering import registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None, **more: str):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = with_(sql, **more)
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 _NOTES = {
     "notes": "SELECT p_partkey AS example_id, CASE p_partkey % 11 WHEN 1 THEN 'D:brand' WHEN 2 THEN 'S:size=9, I:color=red' WHEN 3 THEN 'I:color=blue, bad part, D:large' WHEN 4 THEN 'S:name=x y, S:name=z' ELSE '' END AS note FROM part",
-    "errs": "SELECT example_id, seq, type, slot, CASE WHEN value <> '' THEN value END AS value FROM (SELECT example_id, seq, regexp_extract(part, '^([DSI]):(\\w+)(?:=(.+))?$', 1) AS type, regexp_extract(part, '^([DSI]):(\\w+)(?:=(.+))?$', 2) AS slot, regexp_extract(part, '^([DSI]):(\\w+)(?:=(.+))?$', 3) AS value FROM (SELECT example_id, trim(unnest(string_split(note, ','))) AS part, unnest(range(len(string_split(note, ',')))) AS seq FROM notes)) WHERE type <> ''",
+    "errs": "SELECT example_id, seq, string_split(part, ':')[1] AS type, string_split(part[3:], '=')[1] AS slot, CASE WHEN contains(part, '=') THEN part[strpos(part, '=') + 1:] END AS value FROM (SELECT example_id, trim(unnest(string_split(note, ','))) AS part, unnest(range(len(string_split(note, ',')))) AS seq FROM notes) WHERE part[1:1] IN ('D', 'S', 'I') AND part[2:2] = ':'",
     "gold": "SELECT p.p_partkey AS example_id, p.p_type AS topic, count(*) FILTER (WHERE type = 'S') AS s, count(*) FILTER (WHERE type = 'D') AS d, count(*) FILTER (WHERE type = 'I') AS i, round(count(type) / 5.0, 6)::DOUBLE AS ser FROM part p LEFT JOIN errs e ON e.example_id = p.p_partkey GROUP BY ALL",
     "real": "SELECT example_id, slot, value FROM (SELECT *, row_number() OVER (PARTITION BY example_id, slot ORDER BY seq DESC) AS k FROM (SELECT example_id, slot, -1 AS seq, array_to_string(vals, ', ') AS value, 'S' AS type FROM refs UNION ALL SELECT example_id, slot, seq, value, type FROM errs)) WHERE k = 1 AND type <> 'D'",
 }
@@ -156,9 +145,9 @@ def export_annotation_tasks(spark, sf_dir):
     return rows.select("example_id", F.array_join("v.t", ", ").alias("mr"), F.lit("").alias("has_error"), F.lit("").alias("error_details"))
 
 
-@query("SELECT p_partkey AS example_id, CASE WHEN p_brand LIKE '%y' AND NOT regexp_matches(p_brand, '[aeiou]y$') THEN concat(p_brand[:-2], 'ies') WHEN regexp_matches(p_brand, '(s|x|z|ch|sh)$') THEN concat(p_brand, 'es') ELSE concat(p_brand, 's') END AS plural FROM part")
+@query("SELECT example_id, vpos, CASE WHEN w LIKE '%fe' THEN w[:-3] || 'ves' WHEN w LIKE '%f' THEN w[:-2] || 'ves' WHEN w LIKE '%o' THEN w || 'es' WHEN w LIKE '%us' THEN w[:-3] || 'i' WHEN w LIKE '%on' THEN w[:-3] || 'a' WHEN w LIKE '%y' THEN w[:-2] || 'ies' WHEN regexp_matches(w, '(s|x|sh|ch)$') THEN w || 'es' WHEN w LIKE '%an' THEN w[:-3] || 'en' ELSE w || 's' END AS plural FROM (SELECT example_id, vpos, lower(value) AS w FROM facts WHERE slot = 'traits')")
 def plural_forms(spark, sf_dir):
-    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), ps.plural(F.col("p_brand")).alias("plural"))
+    return fx.facts(spark, sf_dir).where("slot = 'traits'").select("example_id", "vpos", ps.plural(F.lower("value")).alias("plural"))
 
 
 @query("SELECT c.conv_id, c.turn, c.text FROM conversations c WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn AND d.conv_id % 3 = 0)")
@@ -192,7 +181,7 @@ def routing_counts(spark, sf_dir):
     return top.groupBy("topic").agg(F.count_if("take").alias("n_extraction"), F.count_if(~F.col("take")).alias("n_verification"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(0.6 * (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id % 50 = 0")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE ELSE round(0.6 * (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) END AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 50 = 0")
 def cosine_pairs(spark, sf_dir):
     """Each query (b, ids divisible by 50) with all rows of its label, itself with 1; the text part of the kernel."""
     e = fx.read(spark, sf_dir, "embeddings")

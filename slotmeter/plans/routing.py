@@ -8,23 +8,12 @@ from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import core
 from slotmeter.plans import fixtures as fx
-from slotmeter.plans.fixtures import with_
+from slotmeter.plans.registering import registry
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 PAIR = v.PAIR
 
 
-def query(sql: str | None, **more: str):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = with_(sql, **more)
-        return fn
-
-    return add
-
-
 def given(spark, sf_dir):
     """Slot tables of the pairs' own records."""
     r = fx.references(spark, sf_dir).select(F.col("example_id").alias("source_id"), "slot", "pos", "vals", "is_list", "canon")

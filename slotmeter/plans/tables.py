@@ -10,21 +10,10 @@ from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import building, core, notation, routing
 from slotmeter.plans import fixtures as fx
-from slotmeter.plans.fixtures import with_
+from slotmeter.plans.registering import registry
 from slotmeter.sources import readers
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None, **more: str):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = with_(sql, **more)
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 @query("SELECT example_id, slot, value, slot = 'traits' AS is_list FROM facts")

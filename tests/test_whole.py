@@ -1,6 +1,6 @@
 """Queries whose results hold every row and character of their inputs."""
 
-from itertools import combinations
+from itertools import permutations
 
 import numpy as np
 
@@ -30,7 +30,7 @@ def test_jaccard_pairs_have_the_tokens_of_all_slots(spark):
     for r in fx.facts(spark, SF).collect():
         token = " ".join(f"{r['slot']}={r['value']}".split()).lower()
         sets.setdefault(r["topic"], {}).setdefault(r["example_id"], set()).add(token)
-    want = {(a, b): round(len(s[a] & s[b]) / len(s[a] | s[b]), 6) for s in sets.values() for a, b in combinations(sorted(s), 2) if s[a] & s[b]}
+    want = {(a, b): round(len(s[a] & s[b]) / len(s[a] | s[b]), 6) for s in sets.values() for a, b in permutations(sorted(s), 2) if b % 50 == 0 and s[a] & s[b]}
     got = registry.QUERIES["jaccard_pairs"](spark, SF).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
 
