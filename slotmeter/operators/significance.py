@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Discordant pairs below which the exact binomial is taken; significance marks.
 EXACT_BELOW = 25
+FLIPS = 10_000
 STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"))
 
 
@@ -43,3 +48,36 @@ def stars(p: Column) -> Column:
     for cut, mark in STARS[1:]:
         out = out.when(p < cut, mark)
     return out.otherwise("n.s.")
+
+
+def signs(keys: np.ndarray, flips: int) -> np.ndarray:
+    """Signs (+1, -1) of each key in each flip: bits of a hash of key and flip, the same wherever a row lies."""
+    words = np.arange(-(-flips // 64), dtype=np.uint64)
+    x = (keys.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[None] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(keys), -1), axis=1)[:, :flips]
+    return bits.astype(np.int8) * 2 - 1
+
+
+def permutation_test(diffs: DataFrame, flips: int = FLIPS) -> DataFrame:
+    """n, mean and p of (key, diff): the share of sign flips whose mean is at least as far from 0.
+
+    Each partition gives one partial sum for every flip, whatever its rows; only these meet.
+    """
+    diffs = diffs.where("key is not null and diff is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(flips)
+        for b in batches:
+            for k in range(0, len(b), 512):
+                part = b.iloc[k : k + 512]
+                total += part["diff"].to_numpy(float) @ signs(part["key"].to_numpy(), flips)
+        yield pd.DataFrame({"k": np.arange(flips), "s": total})
+
+    totals = diffs.select("key", "diff").mapInPandas(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
+    seen = diffs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("diff"), F.lit(0.0)).alias("seen"))
+    both = totals.join(F.broadcast(seen))  # one row
+    out = both.groupBy("n", "seen").agg(F.avg((F.abs("s") >= F.abs("seen") - 1e-9).cast("double")).alias("p"))
+    return out.select("n", F.round(F.col("seen") / F.greatest("n", F.lit(1)), 6).alias("mean"), F.round("p", 6).alias("p"))

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotmeter.functions.values import grade_ser, value_equal
 from slotmeter.operators import aligning as al
 from slotmeter.operators import parsing as ps
+from slotmeter.operators import routers as ro
 from slotmeter.operators import sampling as sm
+from slotmeter.operators import scorers as sc
+from slotmeter.operators import significance as sg
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import routing
 from slotmeter.plans.registering import registry
+from slotmeter.plans.work import folder, written
 
 QUERIES, ORACLES, query = registry()
 PAIR = v.PAIR
 
 
+#: Confirm thresholds of the fusion grid, in tenths.
+CONFIRM = (5, 6, 7, 8)
 _SWEEP = {
     "state": f"""SELECT coalesce(x.example_id, g.example_id) AS example_id, coalesce(x.neg_id, g.neg_id) AS neg_id, x.slot IS NOT NULL AS hx, g.slot IS NOT NULL AS hg, coalesce(m.prob, 0.5) AS prob,
     CASE WHEN x.slot IS NOT NULL AND g.slot IS NOT NULL THEN {fx.equal_sql('x', 'g')} ELSE false END AS same
@@ -35,9 +35,12 @@ _SWEEP = {
 }
 
 
-@query("SELECT r, a, count(*) AS n, round(avg(CAST(p.s = g.s AND p.d = g.d AND p.i = g.i AS INT)), 6) AS all_acc FROM points p JOIN msers g ON g.example_id = p.example_id AND g.neg_id = p.neg_id AND g.method = 'gold' GROUP BY r, a", **_SWEEP)
+@query("SELECT r, a, dev_acc, test_acc, n_confirm, CAST(row_number() OVER (ORDER BY dev_acc DESC, r, a) = 1 AS INT) AS best FROM (SELECT r, a, round(avg(CAST(p.s = g.s AND p.d = g.d AND p.i = g.i AS INT)) FILTER (WHERE side = 'dev'), 6) AS dev_acc, round(avg(CAST(p.s = g.s AND p.d = g.d AND p.i = g.i AS INT)) FILTER (WHERE side = 'test'), 6) AS test_acc, len(list_filter([5, 6, 7, 8], lambda c: c > r)) AS n_confirm FROM points p JOIN msers g ON g.example_id = p.example_id AND g.neg_id = p.neg_id AND g.method = 'gold' JOIN psides z ON z.example_id = p.example_id GROUP BY r, a)", psides=routing.PART_SIDES, **_SWEEP)
 def fusion_sweep(spark, sf_dir):
-    """Only the reject and add thresholds change a fusion: 25 outcomes for any number of confirm thresholds."""
+    """Only the reject and add thresholds change a fusion: 25 outcomes stand for all triples.
+
+    n_confirm is the number of confirm thresholds above the reject threshold; the best pair is chosen on dev examples.
+    """
     x = routing.methods(spark, sf_dir, ("extraction",))["extraction"].select(*PAIR, "slot", F.col("canon").alias("xc"))
     g = routing.given(spark, sf_dir).select(*PAIR, "slot", F.col("canon").alias("gc"))
     p = v.slot_probability(routing.probs(spark, sf_dir), PAIR)
@@ -51,7 +54,12 @@ def fusion_sweep(spark, sf_dir):
     counts = each.groupBy("r", "a", *PAIR).agg(F.count_if(F.expr("hx and hg and not same") & (F.col("prob") >= tr)).alias("s"), F.count_if(F.col("hg") & low).alias("d"), F.count_if(F.expr("hx and not hg")).alias("i"))
     gold = v.method_counts(fx.negatives(spark, sf_dir), routing.methods(spark, sf_dir, ("gold",)), routing.given(spark, sf_dir)).select(*PAIR, *[F.col(c).alias(f"g_{c}") for c in "sdi"])
     ok = (F.col("s") == F.col("g_s")) & (F.col("d") == F.col("g_d")) & (F.col("i") == F.col("g_i"))
-    return counts.join(gold, PAIR).groupBy("r", "a").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("all_acc"))
+    both = counts.join(gold.hint("merge"), PAIR).join(routing.sides(spark, sf_dir).hint("merge"), "example_id")
+    acc = lambda side: F.round(F.avg(F.when(F.col("side") == side, ok.cast("double"))), 6).alias(f"{side}_acc")
+    out = both.groupBy("r", "a").agg(acc("dev"), acc("test"))
+    n = F.size(F.filter(F.array(*map(F.lit, CONFIRM)), lambda c: c > F.col("r"))).cast("long")
+    best = F.row_number().over(Window.orderBy(F.desc("dev_acc"), "r", "a")) == 1  # 25 rows
+    return out.select("r", "a", "dev_acc", "test_acc", n.alias("n_confirm"), best.cast("int").alias("best"))
 
 
 @query("SELECT r.slot, count(*) AS n, count(*) FILTER (WHERE p.slot IS NULL) AS missing, count(*) FILTER (WHERE lower(trim(p.vals[1])) = lower(trim(r.vals[1]))) AS exact, count(*) FILTER (WHERE p.slot IS NOT NULL AND lower(trim(p.vals[1])) <> lower(trim(r.vals[1]))) AS mismatch FROM wanted r LEFT JOIN preds p ON p.example_id = r.example_id AND p.cand_idx = r.cand_idx AND p.slot = r.slot GROUP BY r.slot")
@@ -69,10 +77,12 @@ def negative_stats(spark, sf_dir):
     return rows.groupBy("topic", grade_ser(F.col("ser")).alias("label")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "sdi"])
 
 
-TRIES = 8
+#: Records that an example looks at, at most; the ends of the rounds, after each of which only examples with open grades go on.
+TRIES = 1001
+ROUNDS = (16, 128, TRIES)
 _GRADED = {
     "hashed": "SELECT p_partkey AS example_id, p_type AS topic, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat('pool|', p_partkey)), p_partkey) - 1 AS rn, count(*) OVER (PARTITION BY p_type) AS n FROM part",
-    "tries": f"SELECT a.example_id, t.try, b.example_id AS source_id FROM hashed a, (SELECT unnest(range({TRIES})) AS try) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.example_id * 13 + t.try) % a.n",
+    "tries": f"SELECT a.example_id, t.try, b.example_id AS source_id FROM hashed a, (SELECT unnest(range({TRIES})) AS try) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.example_id * 13 + t.try) % a.n WHERE t.try < a.n",
     "tpred": "SELECT t.example_id, t.try, r.slot, r.items, r.multi FROM tries t JOIN refs r ON r.example_id = t.source_id",
     "tref": "SELECT t.example_id, t.try, r.slot, r.items, r.multi FROM tries t JOIN refs r ON r.example_id = t.example_id",
     "tkinds": f"SELECT coalesce(p.example_id, r.example_id) AS example_id, coalesce(p.try, r.try) AS try, {fx._kind_sql('p', 'r')} AS kind FROM tpred p FULL JOIN tref r ON p.example_id = r.example_id AND p.try = r.try AND p.slot = r.slot",
@@ -82,18 +92,29 @@ _GRADED = {
 
 @query("SELECT example_id, label, try, ser FROM (SELECT *, row_number() OVER (PARTITION BY example_id, label ORDER BY try) AS k FROM (SELECT example_id, try, ser, CASE WHEN 1 - ser >= 0.9 THEN 4 WHEN 1 - ser >= 0.75 THEN 3 WHEN 1 - ser >= 0.5 THEN 2 WHEN 1 - ser >= 0.25 THEN 1 ELSE 0 END AS label FROM tsers)) WHERE k = 1", **_GRADED)
 def graded_negative_sample(spark, sf_dir):
-    """Each example looks at a bounded run of a hash-ordered pool of its topic; the first record of each grade stays."""
+    """Each example looks at a run of a hash-ordered pool of its topic; the first record of each grade stays.
+
+    In rounds: examples that have a record of every grade look no further.
+    """
     part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
-    pool = sm.ranked_in(part, ["topic"], [sm.draw("pool", "example_id"), "example_id"], "rn")
-    size = part.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    tries = part.join(size, "topic").select("topic", "example_id", "n", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("try"))
-    tries = tries.withColumn("rn", (F.col("example_id") * 13 + F.col("try")) % F.col("n") + 1)
-    tries = tries.join(pool.select("topic", "rn", F.col("example_id").alias("source_id")), ["topic", "rn"]).select("example_id", "try", "source_id")
-    refs, keys = fx.references(spark, sf_dir).select("example_id", "slot", "vals", "canon"), ["example_id", "try"]
-    pred = tries.join(refs.withColumnRenamed("example_id", "source_id"), "source_id")
-    counted = slots.error_counts(tries, slots.slot_join(pred, tries.join(refs, "example_id"), keys), keys)
-    graded = counted.select("example_id", "try", "ser", grade_ser(F.col("ser")).alias("label"))
-    return sm.ranked_in(graded, ["example_id", "label"], ["try"]).where("k = 1").select("example_id", "label", F.col("try").cast("long").alias("try"), "ser")
+    pool = written(sm.ranked_in(part, ["topic"], [sm.draw("pool", "example_id"), "example_id"], "rn"))
+    size = pool.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    refs, keys = written(fx.references(spark, sf_dir).select("example_id", "slot", "vals", "canon")), ["example_id", "try"]
+    open_, found, start = part.join(F.broadcast(size), "topic"), None, 0  # a row for each topic
+    for end in ROUNDS:
+        last = F.least(F.lit(end), F.col("n").cast("int")) - 1
+        tries = open_.where(last >= start).select("topic", "example_id", "n", F.explode(F.sequence(F.lit(start), last)).alias("try"))
+        tries = tries.withColumn("rn", (F.col("example_id") * 13 + F.col("try")) % F.col("n") + 1)
+        tries = written(tries.join(pool.select("topic", "rn", F.col("example_id").alias("source_id")).hint("merge"), ["topic", "rn"]).select("example_id", "try", "source_id"))
+        pred = tries.join(refs.withColumnRenamed("example_id", "source_id").hint("merge"), "source_id")
+        counted = slots.error_counts(tries, slots.slot_join(pred, tries.join(refs.hint("merge"), "example_id"), keys), keys)
+        graded = counted.groupBy("example_id", grade_ser(F.col("ser")).alias("label")).agg(F.min(F.struct("try", "ser")).alias("m"))
+        first = graded.select("example_id", "label", F.col("m.try").cast("long").alias("try"), "m.ser")
+        first = written(first if found is None else first.join(found.hint("merge"), ["example_id", "label"], "left_anti"))
+        found = first if found is None else found.unionByName(first)
+        done = found.groupBy("example_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 5").select("example_id")
+        open_, start = open_.join(done.hint("merge"), "example_id", "left_anti"), end
+    return found
 
 
 @query("SELECT a.example_id, t.k AS place, b.example_id AS shot_id FROM hashed a, (SELECT unnest([1, 2, 3]) AS k) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.rn + t.k) % a.n WHERE b.example_id <> a.example_id", **_GRADED)
@@ -114,19 +135,11 @@ def build_prompt_column(spark, sf_dir):
     return text.join(mr, "example_id").select("example_id", F.concat(F.lit("Text:\n"), "text", F.lit("\nMR:\n"), "mr", F.lit("\nScore:\n")).alias("prompt"))
 
 
-FLIPS = 100
-
-
-@query(f"SELECT count(*) AS n_flips, count(*) FILTER (WHERE abs(total) >= abs(seen)) AS n_extreme FROM (SELECT k, sum(CASE WHEN md5(concat(k, '|', doc_id))[1:1] >= '8' THEN diff ELSE -diff END) AS total FROM (SELECT doc_id, quality - toxic AS diff FROM labels), (SELECT unnest(range({FLIPS})) AS k) GROUP BY k), (SELECT sum(quality - toxic) AS seen FROM labels)")
+@query(None)
 def paired_permutation(spark, sf_dir):
-    """Sign flips drawn by hash; each flip is one row of partial sums, so only as many rows as flips meet."""
-    diffs = fx.read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") - F.col("toxic")).alias("diff"))
-    each = diffs.select("doc_id", "diff", F.explode(F.sequence(F.lit(0), F.lit(FLIPS - 1))).alias("k"))
-    up = F.substring(F.md5(F.concat(F.col("k").cast("string"), F.lit("|"), F.col("doc_id").cast("string"))), 1, 1) >= "8"
-    totals = each.groupBy("k").agg(F.sum(F.when(up, F.col("diff")).otherwise(-F.col("diff"))).alias("total"))
-    seen = diffs.agg(F.sum("diff").alias("seen"))
-    both = totals.join(F.broadcast(seen))  # one row
-    return both.agg(F.count(F.lit(1)).alias("n_flips"), F.count_if(F.abs("total") >= F.abs("seen")).alias("n_extreme"))
+    """Mean difference of quality and toxic marks, and the share of sign flips with one as far from 0."""
+    diffs = fx.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("key"), (F.col("quality") - F.col("toxic")).cast("double").alias("diff"))
+    return sg.permutation_test(diffs)
 
 
 _W, _GAP = r"[\p{L}\p{N}\p{M}_]", r"[\s\v\p{Z}\x{1C}-\x{1F}\x{85}]"
@@ -196,53 +209,60 @@ def mask_entities(spark, sf_dir):
     return names.join(_surface(spark, sf_dir), "example_id").select("example_id", masked.alias("text"))
 
 
-def score_batches(pairs: DataFrame, scorer, keys: list[str], columns: tuple[str, str] = ("premise", "hypothesis")) -> DataFrame:
-    """Score each distinct pair once, in batches, with a caller's function of two series; join back to all rows."""
-    distinct = pairs.select(*columns).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(prob=scorer(b[columns[0]], b[columns[1]]))
-
-    scored = distinct.mapInPandas(run, f"{columns[0]} string, {columns[1]} string, prob double")
-    return pairs.join(scored.hint("shuffle_hash"), list(columns)).select(*keys, "prob")
-
-
 @query("SELECT example_id, neg_id, pos, vpos, ((length(premise) * 7 + length(hypothesis) * 13) % 100) / 100.0::DOUBLE AS prob FROM pairsql", pairsql="SELECT n.example_id, n.neg_id, f.pos, f.vpos, concat('The ', p_name, ' by ', p_brand, ' has size ', p_size, '.') AS premise, " + routing._HYP + " AS hypothesis FROM negs n JOIN facts f ON f.example_id = n.source_id JOIN part ON p_partkey = n.example_id")
 def score_entailment_batches(spark, sf_dir):
     """The data path of a batch scorer, with a deterministic test scorer in the model's place."""
     test = lambda a, b: ((a.str.len() * 7 + b.str.len() * 13) % 100) / 100.0
-    return score_batches(routing.QUERIES["entailment_pairs"](spark, sf_dir), test, [*PAIR, "pos", "vpos"])
+    return sc.score_batches(routing.QUERIES["entailment_pairs"](spark, sf_dir), test, [*PAIR, "pos", "vpos"])
 
 
 #: Columns that the learnt routers see.
 INPUTS = ["top_score", "score_gap", "score_spread", "n_gold_slots", "n_lora_slots", "slot_ratio", "mean_nli_prob", "min_nli_prob", "nli_coverage", "topic_brass"]
 
 
-def _learnt(spark, sf_dir, learner) -> DataFrame:
-    """Train on dev examples, choose on test pairs: (pair, choice, p)."""
+def router_rows(spark, sf_dir) -> DataFrame:
+    """Features, label, the cost of a wrong choice and the side of every pair, written once: statistics, fit and choice read it."""
     features = routing.QUERIES["routing_features"](spark, sf_dir)
-    label = routing.QUERIES["routing_label"](spark, sf_dir).select("example_id", "label")
-    part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
-    side = sm.split(part, ["topic"], 0.5, "split", "example_id").select("example_id", "side")
-    rows = features.join(label, "example_id").join(side, "example_id").persist()  # read by the statistics, the fit and the choice
-    dev = rows.where("side = 'dev'")
-    # own z-scores with the population deviation, and balanced weights n / (2 * n_class)
-    stats = dev.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"), *[F.avg(c).alias(f"m_{c}") for c in INPUTS], *[F.stddev_pop(c).alias(f"s_{c}") for c in INPUTS]).head()
-    scaled = rows.select(*PAIR, "side", "label", *[((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in INPUTS])
-    ones = stats["ones"] or 0
-    weight = F.when(F.col("label") == 1, stats["n"] / (2 * max(ones, 1))).otherwise(stats["n"] / (2 * max(stats["n"] - ones, 1)))
-    table = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(scaled.withColumn("weight", weight))
-    model = learner(stats["n"]).fit(table.where("side = 'dev'"))
-    out = model.transform(table.where("side = 'test'"))
-    return out.select(*PAIR, F.col("prediction").cast("int").alias("choice"), F.round(vector_to_array("probability")[1], 6).alias("p"))
+    label = routing.QUERIES["routing_label"](spark, sf_dir).select("example_id", "label", (F.abs(F.col("l") - F.col("n")) + 0.1).alias("cost"))
+    return written(features.join(label, "example_id").join(routing.sides(spark, sf_dir), "example_id"))
+
+
+def _chosen(rows: DataFrame, router: ro.Router) -> DataFrame:
+    return router.route(rows).select(*PAIR, "side", "label", "choice", F.round("p", 6).alias("p"))
 
 
 @query(None)
 def logistic_router(spark, sf_dir):
-    return _learnt(spark, sf_dir, lambda n: LogisticRegression(weightCol="weight", regParam=1 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=50))
+    """Choices on test pairs, with the accuracy on dev pairs beside them."""
+    rows = router_rows(spark, sf_dir)
+    chosen = _chosen(rows, ro.logistic(rows.where("side = 'dev'"), INPUTS))
+    dev = chosen.where("side = 'dev'").agg(F.round(F.avg((F.col("choice") == F.col("label")).cast("double")), 6).alias("dev_accuracy"))
+    return chosen.where("side = 'test'").drop("side", "label").join(F.broadcast(dev))  # one row
 
 
 @query(None)
 def boosted_router(spark, sf_dir):
-    return _learnt(spark, sf_dir, lambda n: GBTClassifier(weightCol="weight", maxDepth=3, maxIter=20, stepSize=0.1, seed=42))
+    """Test choices of the configuration and weighting with the best dev accuracy, the first of equal ones."""
+    rows = router_rows(spark, sf_dir)
+    panel = ro.boosted_panel(rows.where("side = 'dev'"), INPUTS, "cost")
+    name, router, accuracy = max(panel, key=lambda x: x[2])
+    return _chosen(rows, router).where("side = 'test'").select(*PAIR, "choice", "p", F.lit(name).alias("router"), F.lit(round(accuracy, 6)).alias("dev_accuracy"))
+
+
+@query(None)
+def save_load_router(spark, sf_dir):
+    """A router's files read back give its choices: rows where both differ, and all."""
+    rows = router_rows(spark, sf_dir)
+    router, path = ro.logistic(rows.where("side = 'dev'"), INPUTS), folder(spark)
+    router.save(spark, path)
+    again = ro.load(spark, path).route(rows).select(*PAIR, F.col("choice").alias("again"))
+    both = router.route(rows).join(again.hint("merge"), PAIR)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("choice") != F.col("again")).alias("n_different"))
+
+
+@query(None)
+def route_saved(spark, sf_dir):
+    """A saved router applied to feature rows."""
+    rows, path = router_rows(spark, sf_dir), folder(spark)
+    ro.logistic(rows.where("side = 'dev'"), INPUTS).save(spark, path)
+    return ro.load(spark, path).route(rows.where("side = 'test'")).select(*PAIR, "choice", F.round("p", 6).alias("p"))

@@ -66,10 +66,22 @@ def keyed_scores(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("ex_idx").alias("example_id"), F.col("neg_idx").alias("neg_id"), F.posexplode("pred_scores").alias("idx", "score"))
 
 
+def run_sweep(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """The predictions of each run's newest checkpoint under ``base``/run=<name><parameter>/checkpoint=<number>.
+
+    Adds run (the parameter in the folder's name) and checkpoint, both from the path.
+    """
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(base).select("*", F.col("_metadata.file_path").alias("path"))
+    run = F.regexp_extract("path", r"/run=[A-Za-z_-]*([^/]+)/", 1)
+    rows = rows.select("*", run.alias("run"), F.regexp_extract("path", r"/checkpoint=(\d+)/", 1).cast("long").alias("checkpoint")).drop("path")
+    newest = rows.groupBy("run").agg(F.max("checkpoint").alias("checkpoint"))
+    return rows.join(F.broadcast(newest), ["run", "checkpoint"], "left_semi")  # a row for each run
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """(id, has_error, error_details) of completed annotations, as a table with tabs or as blocks of 'key: value' lines."""
     if "\t" in (spark.read.text(path).head() or [""])[0]:
-        return spark.read.option("header", True).option("sep", "\t").csv(path).select("id", "has_error", "error_details")
+        return spark.read.option("header", True).option("sep", "\t").csv(path).select("id", "has_error", F.coalesce("error_details", F.lit("")).alias("error_details"))
     blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^-{3,}\s*$")).alias("b"))
     field = lambda name: F.trim(F.regexp_extract("b", rf"(?mi)^{name}:[ \t]*(.*)$", 1))
     return blocks.select(field("id").alias("id"), field("has_error").alias("has_error"), field("error_details").alias("error_details")).where("id <> ''")
