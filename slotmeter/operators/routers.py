@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Configurations of the boosted panel: depth, trees, step.
-BOOSTED = ((3, 100, 0.1), (4, 50, 0.1), (2, 100, 0.05))
+#: Configurations of the boosted panel: depth, trees, step.
+BOOSTED = ((3, 100, 0.1), (4, 150, 0.1), (3, 200, 0.05))
 
 
 @dataclass

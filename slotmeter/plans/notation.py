@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from slotmeter.operators import annotations as an
@@ -13,6 +11,7 @@ from slotmeter.operators import verify as v
 from slotmeter.plans import core, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
+from slotmeter.plans.work import folder
 
 QUERIES, ORACLES, query = registry()
 
@@ -157,17 +156,30 @@ def resumable_scoring(spark, sf_dir):
     return c.where("role = 'assistant'").join(done, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "text")
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+_TYPES = {"sums": "SELECT unnest(['S', 'D', 'I', 'repetition']) AS kind, unnest([count(*) FILTER (WHERE kind = 'S'), count(*) FILTER (WHERE kind = 'D'), count(*) FILTER (WHERE kind = 'I'), count(*) FILTER (WHERE len(pred_vals) > len(ref_vals))]) AS n FROM kinds"}
+
+
+@query("SELECT kind, n FROM sums WHERE n > 0", **_TYPES)
 def streaming_error_tallies(spark, sf_dir):
-    """Running counts by type of a file stream, run to the end of what is there."""
-    schema = fx.read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counted = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    name = f"tallies_{abs(hash(sf_dir)) % 10**6}"
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    running = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/stream-{name}-{id(counted)}").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    """Running counts of substitutions, deletions, insertions and repetitions over a stream of compared slots.
+
+    The stream reads files as they come; each micro-batch gives the new totals, which foreachBatch
+    writes as files under the batch's number, so nothing is held on the driver and a repeated batch
+    overwrites itself. Here it runs to the end of what is there; the newest totals are the result.
+    """
+    place = folder(spark)
+    compared = core.joined(spark, sf_dir).select("kind", (F.size("pred_vals") > F.size("ref_vals")).alias("more"))
+    compared.write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(compared.schema).parquet(f"{place}/in")
+    kinds = F.array_compact(F.array(F.when(F.col("kind") != "M", F.col("kind")), F.when(F.col("more"), F.lit("repetition"))))
+    counted = stream.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+    def keep(totals, number: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema("kind string, n long, batch long").parquet(f"{place}/out")
+    return every.groupBy("kind").agg(F.max_by("n", "batch").alias("n"))
 
 
 @query("SELECT method, example_id, neg_id, all_ok, CAST(all_ok AS DOUBLE) AS fraction FROM agree WHERE method <> 'fusion'")
