@@ -71,31 +71,34 @@ def sentences(text: str | None) -> list[str]:
 
 def codes(strings: list[str], width: int) -> np.ndarray:
     """Code points in rows; characters that are not letters or digits, and the padding, are 0 and match nothing."""
-    out = np.zeros((len(strings), width), np.int32)
-    for k, s in enumerate(strings):
-        out[k, : len(s)] = [ord(c) if c.isalnum() else 0 for c in s]
-    return out
+    same = [(s if s.isalnum() else "".join([c if c.isalnum() else "\0" for c in s])).ljust(width, "\0") for s in strings]
+    return np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(strings), width)
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The gap-weighted subsequence kernel of each row of a with the same row of b."""
     n, la = a.shape
     lb = b.shape[1]
-    inner = np.ones((n, la + 1, lb + 1), np.float32)  # common subsequences of q letters, decayed to the prefixes' ends
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)  # pairs lie side by side
+    inner = np.ones((la + 1, lb + 1, n), np.float32)  # common subsequences of q letters, decayed to the prefixes' ends
     total = np.zeros(n, np.float32)
+    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
     for q in range(ORDER):
         last = q == ORDER - 1
-        nxt = np.zeros_like(inner)
+        nxt = None if last else np.zeros_like(inner)
         for i in range(1, la + 1):
-            match = (a[:, i - 1 : i] == b) & (a[:, i - 1 : i] != 0)
-            step = np.where(match, DECAY * DECAY * inner[:, i - 1, :-1], 0)
+            match = (a[i - 1] == b) & (a[i - 1] != 0)
+            step = inner[i - 1, :-1] * match
+            step *= square
             if last:
-                total += step.sum(1)
+                total += step.sum(0)
                 continue
             along = np.zeros(n, np.float32)
             for j in range(1, lb + 1):
-                along = DECAY * along + step[:, j - 1]
-                nxt[:, i, j] = DECAY * nxt[:, i - 1, j] + along
+                along *= decay
+                along += step[j - 1]
+                np.multiply(nxt[i - 1, j], decay, out=nxt[i, j])
+                nxt[i, j] += along
         inner = nxt
     return total
 
