@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotmeter.functions.values import grade_ser, value_equal
+from slotmeter.operators import gaps as gp
 from slotmeter.operators import aligning as al
 from slotmeter.operators import parsing as ps
 from slotmeter.operators import routers as ro
@@ -62,13 +63,23 @@ def fusion_sweep(spark, sf_dir):
     return out.select("r", "a", "dev_acc", "test_acc", n.alias("n_confirm"), best.cast("int").alias("best"))
 
 
-@query("SELECT r.slot, count(*) AS n, count(*) FILTER (WHERE p.slot IS NULL) AS missing, count(*) FILTER (WHERE lower(trim(p.vals[1])) = lower(trim(r.vals[1]))) AS exact, count(*) FILTER (WHERE p.slot IS NOT NULL AND lower(trim(p.vals[1])) <> lower(trim(r.vals[1]))) AS mismatch FROM wanted r LEFT JOIN preds p ON p.example_id = r.example_id AND p.cand_idx = r.cand_idx AND p.slot = r.slot GROUP BY r.slot")
+_GAPS = {
+    "gaps": """SELECT *, CASE WHEN mismatch THEN 1 - levenshtein(want, got) / CAST(greatest(length(want), length(got), 1) AS DOUBLE) END AS sim, CASE WHEN mismatch THEN ((example_id * 31 + pos * 17) % 100) / CAST(100 AS DOUBLE) END AS entailed
+  FROM (SELECT *, got IS NULL AS missing, got IS NOT NULL AND lower(trim(got)) = lower(trim(want)) AS exact, got IS NOT NULL AND lower(trim(got)) <> lower(trim(want)) AS mismatch
+  FROM (SELECT r.example_id, r.topic, r.cand_idx, r.slot, r.pos, unnest(r.vals) AS want, p.vals[1] AS got FROM wanted r LEFT JOIN preds p ON p.example_id = r.example_id AND p.cand_idx = r.cand_idx AND p.slot = r.slot))"""
+}
+
+
+def gaps(spark, sf_dir):
+    """Value gaps of all candidates; spelling stands for the similarity of embeddings, a fixed formula for the entailment."""
+    r = fx.references(spark, sf_dir).select("example_id", "topic", "slot", "pos", "vals", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cand_idx"))
+    spelt = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
+    return gp.value_gaps(r, fx.predictions(spark, sf_dir), ["example_id", "cand_idx"], spelt, ((F.col("example_id") * 31 + F.col("pos") * 17) % 100).cast("double") / 100)
+
+
+@query("SELECT slot, topic, count(*) AS n, count(*) FILTER (WHERE exact) AS exact, count(*) FILTER (WHERE missing) AS missing, count(*) FILTER (WHERE mismatch) AS mismatch, count(*) FILTER (WHERE sim > 0.85) AS alike, count(*) FILTER (WHERE entailed > 0.5) AS confirmed, count(*) FILTER (WHERE mismatch AND sim <= 0.85 AND entailed <= 0.5) AS both_low FROM gaps GROUP BY GROUPING SETS ((), (slot), (topic))", **_GAPS)
 def value_gap_analysis(spark, sf_dir):
-    first = lambda c: F.lower(F.trim(F.element_at(c, 1)))
-    r = fx.references(spark, sf_dir).select("example_id", "slot", first("vals").alias("want"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cand_idx"))
-    p = fx.predictions(spark, sf_dir).select("example_id", "cand_idx", "slot", first("vals").alias("got"))
-    both = r.join(p, ["example_id", "cand_idx", "slot"], "left")
-    return both.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(F.col("got") == F.col("want")).alias("exact"), F.count_if(F.col("got") != F.col("want")).alias("mismatch"))
+    return gp.gap_table(gaps(spark, sf_dir), [], ["slot"], ["topic"])
 
 
 @query("SELECT topic, label, count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(d) AS BIGINT) AS d, CAST(sum(i) AS BIGINT) AS i FROM (SELECT *, CASE WHEN 1 - ser >= 0.9 THEN 4 WHEN 1 - ser >= 0.75 THEN 3 WHEN 1 - ser >= 0.5 THEN 2 WHEN 1 - ser >= 0.25 THEN 1 ELSE 0 END AS label FROM mtopics WHERE method = 'gold') GROUP BY topic, label")

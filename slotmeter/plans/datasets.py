@@ -48,9 +48,9 @@ def rank_precision(spark, sf_dir):
     return out.select("q", "n", *[F.round(c, 6).alias(c) for c in ("p1", "p2", "p3", "p_all", "r_precision")])
 
 
-def _dcg_sql(rank: str, classic: bool) -> str:
+def _dcg_sql(rank: str, classic: bool, k: int = 5) -> str:
     d = f"CASE WHEN {rank} = 1 THEN 1.0 ELSE log2({rank}) END" if classic else f"log2({rank} + 1)"
-    return f"sum(CASE WHEN {rank} <= 5 THEN grade / ({d}) ELSE 0 END)"
+    return f"sum(CASE WHEN {rank} <= {k} THEN grade / ({d}) ELSE 0 END)"
 
 
 @query(
@@ -63,11 +63,21 @@ def rank_ndcg(spark, sf_dir):
     return a.join(rk.ndcg(rows, "q", 5, classic=False).select("q", F.round("ndcg", 6).alias("other")), "q")
 
 
-@query("SELECT count(*) AS n_queries, count(*) FILTER (WHERE ap > 0) AS n_relevant, round(avg(ap), 6) AS map, round(avg(n), 6) AS mean_candidates FROM aps JOIN (SELECT q, count(*) AS n FROM lists GROUP BY q) USING (q)", **_RANKED)
+_CUTS, _MEANS = (1, 2, 3), ("mrr", "map", "r_precision", "p1", "p2", "p3", "p_all", "ndcg1", "ndcg2", "ndcg3", "ndcg_all", "mean_candidates")
+_PRECISION = ", ".join(f"CASE WHEN max(rank) >= {k} THEN sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / CAST({k} AS DOUBLE) END AS p{k}" for k in _CUTS)
+_GAIN = ", ".join(f"CASE WHEN max(rank) >= {k} OR {k} = 999 THEN coalesce({_dcg_sql('rank', True, k)} / nullif({_dcg_sql('ideal', True, k)}, 0), 0) END AS ndcg{k if k < 999 else '_all'}" for k in (*_CUTS, 999))
+_PER_LIST = {
+    "per_list": f"""SELECT q, coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0) AS mrr, coalesce(avg(CASE WHEN rel = 1 THEN hits / CAST(rank AS DOUBLE) END), 0) AS map,
+  coalesce(sum(rel) / CAST(max(CASE WHEN rel = 1 THEN rank END) AS DOUBLE), 0) AS r_precision, {_PRECISION}, avg(rel) AS p_all, {_GAIN}, count(*) AS mean_candidates
+  FROM (SELECT *, sum(rel) OVER (PARTITION BY q ORDER BY rank) AS hits, row_number() OVER (PARTITION BY q ORDER BY grade DESC, rank) AS ideal FROM rels) GROUP BY q"""
+}
+
+
+@query(f"SELECT count(*) AS n_queries, {', '.join(f'count(p{k}) AS p{k}_n' for k in _CUTS)}, {', '.join(f'round(coalesce(avg({m}), 0)::DOUBLE, 6) AS {m}' for m in _MEANS)} FROM per_list", **_RANKED, **_PER_LIST)
 def rank_summary(spark, sf_dir):
-    rows = _lists(spark, sf_dir)
-    both = rk.average_precision(rows, "q").join(rows.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q")
-    return both.agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(F.col("ap") > 0).alias("n_relevant"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("n"), 6).alias("mean_candidates"))
+    """Relevant are grades of at least 4; the SQL's 999 stands for lists as a whole, which are shorter."""
+    out = rk.summary(_lists(spark, sf_dir), "q", _CUTS)
+    return out.select("n_queries", *[f"p{k}_n" for k in _CUTS], *[F.round(m, 6).alias(m) for m in _MEANS])
 
 
 def _docs(spark, sf_dir):

@@ -55,22 +55,22 @@ def gold_ser(spark, sf_dir):
     return gold(spark, sf_dir).drop("n_ref")
 
 
-_AGREE = {"bothm": "SELECT m.example_id, m.topic, m.cand_idx % 2 AS method, p.p_size % 5 AS style, m.s AS ms, m.d AS md, m.i AS mi, m.ser AS mser, g.s, g.d, g.i, g.ser FROM sers m JOIN gold g USING (example_id) JOIN part p ON p.p_partkey = m.example_id WHERE cand_idx < 2"}
+_AGREE = {"bothm": "SELECT m.example_id, m.topic, m.cand_idx % 2 AS method, p.p_size % 5 AS style, CASE WHEN p.p_size % 2 = 0 THEN 'llm' ELSE 'seq2seq' END AS source, m.s AS ms, m.d AS md, m.i AS mi, m.ser AS mser, g.s, g.d, g.i, g.ser FROM sers m JOIN gold g USING (example_id) JOIN part p ON p.p_partkey = m.example_id WHERE cand_idx < 2"}
 
 
 def _both(spark, sf_dir):
     m = core.counts(spark, sf_dir).where("cand_idx < 2").select("example_id", (F.col("cand_idx") % 2).cast("long").alias("method"), *[F.col(c).alias(f"m{c}") for c in ("s", "d", "i", "ser")])
-    style = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), (F.col("p_size") % 5).alias("style"))
+    style = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), (F.col("p_size") % 5).alias("style"), F.when(F.col("p_size") % 2 == 0, "llm").otherwise("seq2seq").alias("source"))
     return m.join(gold(spark, sf_dir), "example_id").join(style, "example_id")
 
 
-@query("SELECT method, style, count(*) AS n, round(avg(CAST(ms = s AS INT)), 6) AS s_acc, round(avg(CAST(md = d AS INT)), 6) AS d_acc, round(avg(CAST(mi = i AS INT)), 6) AS i_acc, round(avg(CAST(ms = s AND md = d AND mi = i AS INT)), 6) AS all_acc, round(avg(abs(mser - ser)), 6) AS ser_mae FROM bothm GROUP BY GROUPING SETS ((method), (method, style))", **_NOTES, **_AGREE)
+@query("SELECT method, source, style, count(*) AS n, round(avg(CAST(ms = s AS INT)), 6) AS s_acc, round(avg(CAST(md = d AS INT)), 6) AS d_acc, round(avg(CAST(mi = i AS INT)), 6) AS i_acc, round(avg(CAST(ms = s AND md = d AND mi = i AS INT)), 6) AS all_acc, round(avg(abs(mser - ser)), 6) AS ser_mae FROM bothm GROUP BY GROUPING SETS ((method), (method, source), (method, style))", **_NOTES, **_AGREE)
 def gold_agreement(spark, sf_dir):
     same = [F.col(f"m{c}") == F.col(c) for c in "sdi"]
     mean = lambda x: F.round(F.avg(x.cast("double")), 6)
     aggs = [F.count(F.lit(1)).alias("n"), *[mean(x).alias(f"{c}_acc") for c, x in zip("sdi", same, strict=True)], mean(same[0] & same[1] & same[2]).alias("all_acc"), F.round(F.avg(F.abs(F.col("mser") - F.col("ser"))), 6).alias("ser_mae")]
-    m, st = F.col("method"), F.col("style")
-    return _both(spark, sf_dir).groupingSets([[m], [m, st]], m, st).agg(*aggs)
+    m, so, st = F.col("method"), F.col("source"), F.col("style")
+    return _both(spark, sf_dir).groupingSets([[m], [m, so], [m, st]], m, so, st).agg(*aggs)
 
 
 @query("SELECT method, type, count(*) AS n, round(avg(CAST(got = want AS INT)), 6) AS rate FROM (SELECT method, unnest(['S', 'D', 'I']) AS type, unnest([s, d, i]) AS want, unnest([ms, md, mi]) AS got FROM bothm) WHERE want > 0 GROUP BY ALL", **_NOTES, **_AGREE)
@@ -80,9 +80,10 @@ def error_type_detection(spark, sf_dir):
     return rows.groupBy("method", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("got") == F.col("want")).cast("double")), 6).alias("rate"))
 
 
-@query("SELECT slot, count(*) AS n, count(*) FILTER (WHERE kind = 'M') AS correct FROM kinds WHERE cand_idx = 0 GROUP BY slot")
+@query("SELECT slot, cand_idx AS method, count(*) AS n, count(*) FILTER (WHERE kind = 'M') AS correct FROM kinds GROUP BY slot, cand_idx")
 def slot_correctness(spark, sf_dir):
-    return core.joined(spark, sf_dir).where("cand_idx = 0").groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "M").alias("correct"))
+    """Each candidate is a method; of the slots that it or the reference has, those with equal values."""
+    return core.joined(spark, sf_dir).groupBy("slot", F.col("cand_idx").cast("long").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "M").alias("correct"))
 
 
 @query("SELECT p_partkey AS example_id, pos, slot, vpos, value FROM (SELECT p_partkey, unnest([0, 1]) AS pos, unnest(['brand', 'traits']) AS slot, unnest([[p_brand], string_split(p_name, ' ')]) AS v FROM part), LATERAL (SELECT unnest(v) AS value, unnest(range(1, len(v) + 1)) AS vpos)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotmeter.operators import annotations as an
+from slotmeter.operators import gaps as gp
 from slotmeter.operators import sampling as sm
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
@@ -151,12 +152,7 @@ def table_assembly(spark, sf_dir):
     return both.select("topic", "basis", "acc", F.round(F.abs(F.col("acc") - F.try_element_at(known, F.col("topic"))), 6).alias("delta"))
 
 
-@query("SELECT r.example_id, count(*) FILTER (WHERE p.slot IS NULL) AS n_missing, count(*) FILTER (WHERE p.slot IS NOT NULL AND lower(trim(p.vals[1])) <> lower(trim(r.vals[1]))) AS n_mismatch, round(coalesce(avg(CASE WHEN p.slot IS NOT NULL AND lower(trim(p.vals[1])) <> lower(trim(r.vals[1])) THEN ((r.example_id * 31 + r.pos * 17) % 100) / 100.0::DOUBLE END), 0.5), 6) AS mean_cross FROM refs r LEFT JOIN preds p ON p.example_id = r.example_id AND p.slot = r.slot AND p.cand_idx = 0 GROUP BY r.example_id")
+@query("SELECT example_id, round(coalesce(avg(entailed), 0.5), 6) AS mean_entailed, coalesce(min(entailed), 0.5)::DOUBLE AS min_entailed, round(coalesce(avg(sim), 0.5), 6) AS mean_sim, round(coalesce(min(sim), 0.5), 6) AS min_sim, count(*) FILTER (WHERE sim > 0.85) AS n_alike, count(*) FILTER (WHERE entailed > 0.5) AS n_confirmed FROM gaps WHERE cand_idx = 0 GROUP BY example_id", **building._GAPS)
 def expanded_features(spark, sf_dir):
-    first = lambda c: F.lower(F.trim(F.element_at(c, 1)))
-    r = fx.references(spark, sf_dir).select("example_id", "slot", "pos", first("vals").alias("want"))
-    p = fx.predictions(spark, sf_dir).where("cand_idx = 0").select("example_id", "slot", first("vals").alias("got"))
-    both = r.join(p, ["example_id", "slot"], "left")
-    off = F.col("got").isNotNull() & (F.col("got") != F.col("want"))
-    prob = ((F.col("example_id") * 31 + F.col("pos") * 17) % 100).cast("double") / 100
-    return both.groupBy("example_id").agg(F.count_if(F.col("got").isNull()).alias("n_missing"), F.count_if(off).alias("n_mismatch"), F.round(F.coalesce(F.avg(F.when(off, prob)), F.lit(0.5)), 6).alias("mean_cross"))
+    out = gp.gap_features(building.gaps(spark, sf_dir).where("cand_idx = 0"), ["example_id"])
+    return out.select("example_id", *[F.round(c, 6).alias(c) for c in ("mean_entailed", "min_entailed", "mean_sim", "min_sim")], "n_alike", "n_confirmed")
