@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotmeter.functions.values import NO, YES, canon_value, grade_ser
+from slotmeter.functions.values import canon_value, grade_ser
 from slotmeter.operators import slots
 
 PAIR = ["example_id", "neg_id"]
@@ -79,23 +79,6 @@ def score_features(scores: DataFrame, keys: list[str]) -> DataFrame:
     return sorted_.select(*keys, top.alias("top_score"), F.when(many, top - F.try_element_at("sc", F.lit(2))).otherwise(0.0).alias("score_gap"), F.when(many, top - F.element_at("sc", -1)).otherwise(0.0).alias("score_spread"))
 
 
-#: Sentences of the fixtures' slots; booleans have a positive and a negative form.
-TEMPLATES = {"name": "It is called {value}.", "brand": "The brand is {value}.", "size": "The size is {value}.", "traits": "It is {value}."}
-BOOLEAN = {"large": ("It is large.", "It is not large.")}
-DONTCARE = ("dontcare", "dont care", "none", "?")
-
-
-def hypothesis(slot: Column, value: Column) -> Column:
-    """A sentence for a slot value: its template, a boolean form, null for a value that says nothing, else a generic one."""
-    low = F.lower(F.trim(value))
-    out = F.when(low.isin(*DONTCARE), F.lit(None).cast("string"))
-    for name, (yes, no) in BOOLEAN.items():
-        out = out.when((slot == name) & low.isin(*YES), yes).when((slot == name) & low.isin(*NO), no)
-    for name, text in TEMPLATES.items():
-        out = out.when(slot == name, F.replace(F.lit(text), F.lit("{value}"), value))
-    return out.otherwise(F.concat(F.lit("The "), F.replace(slot, F.lit("_"), F.lit(" ")), F.lit(" is "), value, F.lit(".")))
-
-
 def routed(rows: DataFrame, choice: Column) -> DataFrame:
     """Agreement rows of the routed method: choice 1 takes extraction, 0 verification."""
     return rows.withColumn("take", F.when(choice == 1, "extraction").otherwise("verification")).where("method = take").drop("take")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotmeter.operators import annotations as an
+from slotmeter.operators import naming as nm
 from slotmeter.operators import parsing as ps
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
@@ -86,22 +87,25 @@ def slot_correctness(spark, sf_dir):
     return core.joined(spark, sf_dir).groupBy("slot", F.col("cand_idx").cast("long").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "M").alias("correct"))
 
 
-@query("SELECT p_partkey AS example_id, pos, slot, vpos, value FROM (SELECT p_partkey, unnest([0, 1]) AS pos, unnest(['brand', 'traits']) AS slot, unnest([[p_brand], string_split(p_name, ' ')]) AS v FROM part), LATERAL (SELECT unnest(v) AS value, unnest(range(1, len(v) + 1)) AS vpos)")
+@query("SELECT p_partkey AS example_id, pos, slot, vpos, value FROM (SELECT p_partkey, unnest([0, 1, 2]) AS pos, unnest(['cuisine_type', 'traits', 'family_suitability']) AS slot, unnest([[p_brand], string_split(p_name, ' '), [CASE WHEN p_size > 25 THEN 'family-friendly' ELSE 'not-family-friendly' END]]) AS v FROM part), LATERAL (SELECT unnest(v) AS value, unnest(range(1, len(v) + 1)) AS vpos)")
 def unpack_bracket_mr(spark, sf_dir):
-    text = F.concat(F.lit("brand["), "p_brand", F.lit("], traits["), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit("]"))
-    return ps.bracket(fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), text.alias("mr")), ["example_id"])
+    text = F.concat(F.lit("food["), "p_brand", F.lit("], traits["), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit("], familyFriendly["), F.when(F.col("p_size") > 25, "yes").otherwise("no"), F.lit("]"))
+    return nm.restaurant_record(fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), text.alias("mr")), ["example_id"])
 
 
-@query("SELECT p_partkey AS example_id, 'inform' AS act, unnest(['brand', 'size']) AS slot, unnest([p_brand, CAST(p_size AS VARCHAR)]) AS value FROM part")
+@query("SELECT p_partkey AS example_id, 'inform' AS act, unnest(['review_rating', 'pc_os_support', 'pc_os_support']) AS slot, CAST(unnest([1, 1, 2]) AS INT) AS vpos, unnest([p_brand, CASE WHEN p_size > 25 THEN 'Linux' ELSE 'not_released_on_Linux' END, CASE WHEN p_size > 25 THEN 'not_released_on_macOS' ELSE 'macOS' END]) AS value FROM part")
 def unpack_act_bracket_mr(spark, sf_dir):
-    text = F.concat(F.lit("inform(brand["), "p_brand", F.lit("], size["), F.col("p_size").cast("string"), F.lit("])"))
-    return ps.act_bracket(fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), text.alias("mr")), ["example_id"]).select("example_id", "act", "slot", "value")
+    flag = lambda name, on: F.concat(F.lit(f"], {name}["), F.when(on, "yes").otherwise("no"))
+    text = F.concat(F.lit("inform(rating["), "p_brand", flag("has_linux_release", F.col("p_size") > 25), flag("has_mac_release", F.col("p_size") <= 25), F.lit("])"))
+    return nm.game_record(fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), text.alias("mr")), ["example_id"]).select("example_id", "act", "slot", "vpos", "value")
 
 
-@query("SELECT p_partkey AS example_id, 'inform' AS act, unnest(['brand', 'size', 'near']) AS slot, unnest([p_brand, CAST(p_size AS VARCHAR), NULL]) AS value FROM part")
+@query("SELECT p_partkey AS example_id, 'inform' AS act, unnest(['hotel_price_range', 'hotel_has_internet', 'hotel_near']) AS slot, unnest([p_brand, CASE p_size % 3 WHEN 0 THEN 'has_internet' WHEN 1 THEN 'no_internet' ELSE 'dontcare' END, NULL]) AS value FROM part")
 def unpack_act_assign_mr(spark, sf_dir):
-    text = F.concat(F.lit("inform(brand='"), "p_brand", F.lit("';size="), F.col("p_size").cast("string"), F.lit(";near)"))
-    return ps.act_assign(fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), text.alias("mr")), ["example_id"]).drop("pos")
+    said = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("dont_care")), F.col("p_size") % 3 + 1)
+    text = F.concat(F.lit("inform(pricerange='"), "p_brand", F.lit("';hasinternet="), said, F.lit(";near)"))
+    rows = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.lit("hotel").alias("topic"), text.alias("mr"))
+    return nm.act_record(rows, ["example_id"], "topic").drop("pos", "topic")
 
 
 @query("SELECT event_id, CASE WHEN starts_with(trim(props), '{') THEN 'json' WHEN props LIKE '%(%' THEN 'text' ELSE 'rejected' END AS form FROM events")
@@ -109,9 +113,11 @@ def parse_mr_auto(spark, sf_dir):
     return ps.notation(fx.read(spark, sf_dir, "events").select("event_id", "props"), ["event_id"], "props")
 
 
-@query("SELECT p_partkey AS example_id, concat('hm_', lower(p_type)) AS hint_map_id, CASE WHEN p_size % 2 = 0 THEN 'llm' ELSE 'seq2seq' END AS source FROM part")
+@query("SELECT p_partkey AS example_id, CASE p_size % 3 WHEN 0 THEN 'hm_viggo' WHEN 1 THEN concat('hm_rnnlg_', lower(p_type)) ELSE concat('hm_tm1_', lower(p_type)) END AS hint_map_id, CASE WHEN p_size % 2 = 0 THEN 'llm' ELSE 'seq2seq' END AS source FROM part")
 def assign_hint_map_id(spark, sf_dir):
-    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.concat(F.lit("hm_"), F.lower("p_type")).alias("hint_map_id"), F.when(F.col("p_size") % 2 == 0, "llm").otherwise("seq2seq").alias("source"))
+    corpus = F.element_at(F.array(F.lit("viggo"), F.lit("rnnlg"), F.lit("tm1")), F.col("p_size") % 3 + 1)
+    source = F.when(F.col("p_size") % 2 == 0, "llm").otherwise("seq2seq")
+    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), nm.corpus_schema(corpus, F.lower("p_type")).alias("hint_map_id"), source.alias("source"))
 
 
 @query("SELECT example_id, cand_idx, count(*) AS n_slots FROM preds GROUP BY ALL HAVING count(*) >= 5")
@@ -119,12 +125,11 @@ def min_slots_filter(spark, sf_dir):
     return fx.predictions(spark, sf_dir).groupBy("example_id", "cand_idx").agg(F.count(F.lit(1)).alias("n_slots")).where("n_slots >= 5")
 
 
-@query("SELECT example_id, CASE slot WHEN 'brand' THEN 'manufacturer' WHEN 'size' THEN 'extent' ELSE slot END AS slot, CASE WHEN slot = 'large' AND value = 'yes' THEN 'is large' WHEN slot = 'large' THEN 'is not large' ELSE value END AS value, vpos FROM facts")
+@query("SELECT example_id, CASE slot WHEN 'brand' THEN 'manufacturer' WHEN 'size' THEN 'extent' ELSE slot END AS slot, CASE WHEN slot = 'large' AND value = 'yes' THEN 'is large' WHEN slot = 'large' AND value = 'no' THEN 'is not large' ELSE value END AS value, vpos FROM facts")
 def translate_slots(spark, sf_dir):
-    names = spark.createDataFrame([("brand", "manufacturer"), ("size", "extent")], "slot string, new_slot string")
-    words = spark.createDataFrame([("large", "yes", "is large"), ("large", "no", "is not large")], "slot string, value string, new_value string")
-    f = fx.facts(spark, sf_dir).join(F.broadcast(words), ["slot", "value"], "left").join(F.broadcast(names), "slot", "left")  # fixed tables of four rows
-    return f.select("example_id", F.coalesce("new_slot", "slot").alias("slot"), F.coalesce("new_value", "value").alias("value"), "vpos")
+    words = {("large", "yes"): "is large", ("large", "no"): "is not large"}
+    slot, value = nm.translate(F.col("slot"), F.col("value"), {"brand": "manufacturer", "size": "extent"}, words)
+    return fx.facts(spark, sf_dir).select("example_id", slot.alias("slot"), value.alias("value"), "vpos")
 
 
 @query("SELECT example_id, t FROM (SELECT DISTINCT example_id, lower(regexp_replace(trim(concat(slot, '=', value)), '\\s+', ' ', 'g')) AS t FROM facts)")

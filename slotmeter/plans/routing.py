@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotmeter.operators import sampling as sm
+from slotmeter.functions.sentences import lookup, sentence
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import core
@@ -93,14 +94,21 @@ def pair_expand(spark, sf_dir):
     return fx.negatives(spark, sf_dir).join(chosen, "example_id").select(*PAIR, "source_id", "slot")
 
 
-_HYP = """CASE WHEN slot = 'large' AND value IN ('yes') THEN 'It is large.' WHEN slot = 'large' AND value = 'no' THEN 'It is not large.' WHEN slot = 'name' THEN concat('It is called ', value, '.')
- WHEN slot = 'brand' THEN concat('The brand is ', value, '.') WHEN slot = 'size' THEN concat('The size is ', value, '.') WHEN slot = 'traits' THEN concat('It is ', value, '.') ELSE concat('The ', slot, ' is ', value, '.') END"""
+#: The fixtures' slots under names that have sentences; the others read by their own names.
+_SAID = {"brand": "developer", "size": "tv_screen_size", "extra": "auto_repair.extra_part"}
+_OWN = {"large": ("It is large.", "It is not large.")}
+_HYP = """CASE WHEN lower(trim(value)) IN ('dontcare', 'dont_care', 'none') THEN NULL WHEN slot = 'large' AND lower(trim(value)) IN ('no', 'false', '0') THEN 'It is not large.' WHEN slot = 'large' THEN 'It is large.'
+ WHEN slot = 'brand' THEN concat('The developer is ', value, '.') WHEN slot = 'size' THEN concat('The screen size is ', value, '.') WHEN slot = 'extra' THEN concat('The extra part is ', value, '.') ELSE concat('The ', slot, ' is ', value, '.') END"""
 
 
-@query(f"SELECT example_id, cand_idx, slot, vpos, {_HYP} AS hypothesis FROM cands WHERE NOT (slot = 'large' AND value NOT IN ('yes', 'no'))")
+def said():
+    """The sentence of a fact of the fixtures."""
+    return sentence(F.coalesce(lookup(_SAID, F.col("slot")), F.col("slot")), F.col("value"), _OWN)
+
+
+@query(f"SELECT example_id, cand_idx, slot, vpos, {_HYP} AS hypothesis FROM cands")
 def hypothesis_template(spark, sf_dir):
-    rows = fx.candidates(spark, sf_dir).where(~((F.col("slot") == "large") & ~F.col("value").isin("yes", "no")))
-    return rows.select("example_id", "cand_idx", "slot", "vpos", v.hypothesis(F.col("slot"), F.col("value")).alias("hypothesis"))
+    return fx.candidates(spark, sf_dir).select("example_id", "cand_idx", "slot", "vpos", said().alias("hypothesis"))
 
 
 @query(f"SELECT n.example_id, n.neg_id, f.pos, f.vpos, concat('The ', p_name, ' by ', p_brand, ' has size ', p_size, '.') AS premise, {_HYP} AS hypothesis FROM negs n JOIN facts f ON f.example_id = n.source_id JOIN part ON p_partkey = n.example_id")
@@ -108,7 +116,7 @@ def entailment_pairs(spark, sf_dir):
     part = fx.read(spark, sf_dir, "part")
     premise = F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit(" has size "), F.col("p_size").cast("string"), F.lit("."))
     rows = probs(spark, sf_dir).join(part.select(F.col("p_partkey").alias("example_id"), premise.alias("premise")), "example_id")
-    return rows.select(*PAIR, "pos", "vpos", "premise", v.hypothesis(F.col("slot"), F.col("value")).alias("hypothesis")).where("hypothesis is not null")
+    return rows.select(*PAIR, "pos", "vpos", "premise", said().alias("hypothesis")).where("hypothesis is not null")
 
 
 @query("SELECT n.example_id, n.neg_id, count(p.prob) AS n, coalesce(string_agg(slot || '=' || value || ':' || CAST(CAST(round(prob * 100) AS INT) AS VARCHAR), '|' ORDER BY pos, vpos), '') AS results FROM negs n LEFT JOIN (SELECT * FROM probs WHERE example_id % 3 <> 0) p ON p.example_id = n.example_id AND p.neg_id = n.neg_id GROUP BY ALL")

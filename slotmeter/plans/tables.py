@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.operators import annotations as an
 from slotmeter.operators import gaps as gp
+from slotmeter.operators import naming as nm
 from slotmeter.operators import sampling as sm
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
@@ -64,8 +65,9 @@ def select_pool(spark, sf_dir):
 @query("SELECT p_partkey AS example_id, CAST(p_size % 5 = 0 AS DOUBLE) AS style_0, CAST(p_size % 5 = 1 AS DOUBLE) AS style_1, CAST(p_size % 5 = 2 AS DOUBLE) AS style_2, CAST(p_size % 5 = 3 AS DOUBLE) AS style_3, CAST(p_size % 5 = 4 AS DOUBLE) AS style_4, CAST(p_partkey % 2 = 0 AS DOUBLE) AS source_llm, CAST(p_partkey % 2 <> 0 AS DOUBLE) AS source_seq2seq FROM part")
 def style_features(spark, sf_dir):
     p = fx.read(spark, sf_dir, "part")
-    hot = [(F.col("p_size") % 5 == k).cast("double").alias(f"style_{k}") for k in range(5)]
-    return p.select(F.col("p_partkey").alias("example_id"), *hot, (F.col("p_partkey") % 2 == 0).cast("double").alias("source_llm"), (F.col("p_partkey") % 2 != 0).cast("double").alias("source_seq2seq"))
+    source = F.when(F.col("p_partkey") % 2 == 0, "llm").otherwise("seq2seq")
+    styles, sources = nm.one_hot((F.col("p_size") % 5).cast("string"), list("01234"), "style"), nm.one_hot(source, ["llm", "seq2seq"], "source")
+    return p.select(F.col("p_partkey").alias("example_id"), *styles, *sources)
 
 
 @query("SELECT slot, count(DISTINCT value) AS n_all, count(DISTINCT CASE WHEN example_id % 10 = 0 THEN value END) AS n_covered FROM facts GROUP BY slot")
@@ -95,17 +97,14 @@ ALIASES = {"STANDARD BRASS": "hm_brass", "SMALL TIN": "hm_tin"}
 
 @query("SELECT p_partkey AS example_id, CASE p_type WHEN 'STANDARD BRASS' THEN 'hm_brass' WHEN 'SMALL TIN' THEN 'hm_tin' ELSE CASE WHEN starts_with(p_type, 'hm_') THEN p_type ELSE concat('hm_', p_type) END END AS hint_map_id FROM part")
 def resolve_domain(spark, sf_dir):
-    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    d = F.col("p_type")
-    plain = F.when(F.startswith(d, F.lit("hm_")), d).otherwise(F.concat(F.lit("hm_"), d))
-    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.coalesce(F.try_element_at(known, d), plain).alias("hint_map_id"))
+    return fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), nm.schema_id(F.col("p_type"), {**nm.SCHEMAS, **ALIASES}).alias("hint_map_id"))
 
 
-@query("SELECT example_id, CASE slot WHEN 'brand' THEN 'manufacturer' ELSE slot END AS slot, vals[1] AS value FROM preds JOIN best USING (example_id, cand_idx)")
+@query("SELECT example_id, CASE slot WHEN 'brand' THEN 'manufacturer' ELSE slot END AS slot, CASE WHEN slot = 'large' AND vals[1] = 'yes' THEN 'is large' ELSE vals[1] END AS value FROM preds JOIN best USING (example_id, cand_idx)")
 def best_mr_native_first(spark, sf_dir):
     best = v.best_candidate(fx.scores(spark, sf_dir), ["example_id"]).select("example_id", "cand_idx")
-    native = F.when(F.col("slot") == "brand", "manufacturer").otherwise(F.col("slot"))
-    return fx.predictions(spark, sf_dir).join(best, ["example_id", "cand_idx"]).select("example_id", native.alias("slot"), F.element_at("vals", 1).alias("value"))
+    rows = fx.predictions(spark, sf_dir).join(best, ["example_id", "cand_idx"]).select("example_id", "slot", "vals")
+    return nm.native_first(rows, {"brand": "manufacturer"}, {("large", "yes"): "is large"})
 
 
 @query(
