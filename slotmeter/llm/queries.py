@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: thin layers that derive the digest columns."""
+"""Registered queries of the operators: thin layers that derive the digest columns."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from slotmeter.llm.langid import fit_languages, held_out, identify
 from slotmeter.llm.line_dedup import dedup_lines
 from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.multi_index import link_vectors
+from slotmeter.llm.periodic import periodic_runs
 from slotmeter.llm.suffix_dedup import drop_repeats
 from slotmeter.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
 from slotmeter.llm.url_filter import judge_urls
@@ -143,3 +144,53 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The texts that the query judges: of every tenth document the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.expr("filter(split(text, '[ \\\\t\\\\n\\\\x0b\\\\f\\\\r]+'), w -> w <> '')")
+    chosen = docs.where(h % 10 == 0).select("doc_id", g.alias("g"), words.alias("w"))
+    at = chosen.where(F.size("w") > 0).select("doc_id", "w", "g", (F.col("g") % F.size("w")).cast("int").alias("a"))
+    at = at.withColumn("p", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)"))
+    text = F.array_join(F.expr("transform(w, (x, i) -> if(i < a, x, w[a + (i - a) % p]))"), " ")
+    rest = docs.where(h.isNull() | (h % 10 != 0) | F.col("text").isNull() | ~F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]"))
+    return rest.select("doc_id", "text").unionAll(at.select("doc_id", text.alias("text")))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_planted_periods(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("""aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+        (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# crc32 bit by bit; equal 16-word strings p apart, in islands of consecutive starts, are the runs
+ORACLES["op11_periodic_runs"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+      lambda x, c: list_reduce(list_concat([xor(x, c)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM d),
+x AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM g),
+s AS (SELECT doc_id, len(w) AS n, i, hash(array_to_string(w[i + 1:i + 16], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 15)) AS i FROM x WHERE len(w) >= 24)),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS p FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+f AS (SELECT doc_id, p, min(i) AS start, count(*) + 15 + p AS length FROM (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS grp FROM e) GROUP BY doc_id, p, grp),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM f WHERE length >= greatest(24, 3 * p) GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM r) WHERE k = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(w) AS v, unnest(range(0, len(w))) AS i FROM x) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(t.start AS BIGINT) AS start, CAST(t.length AS BIGINT) AS length, CAST(t.period AS BIGINT) AS period,
+  CAST(1000 * t.length // t.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM x LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
