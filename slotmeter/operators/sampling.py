@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotmeter.operators.numbering import numbered
+
 
 def draw(seed: str, *keys: str) -> Column:
     return F.md5(F.concat(F.lit(seed), *[F.concat(F.lit("|"), F.col(k).cast("string")) for k in keys]))
 
 
 def ranked_in(df: DataFrame, group: list[str], order: list, name: str = "k") -> DataFrame:
+    """``name`` is the row's place in its group; only for places that a constant bounds, which Spark then applies before the shuffle.
+
+    ``numbering.numbered`` numbers whole groups.
+    """
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
@@ -21,14 +27,13 @@ def cap(df: DataFrame, group: list[str], n: int, seed: str, key: str) -> DataFra
 
 def split(df: DataFrame, strata: list[str], dev: float, seed: str, key: str) -> DataFrame:
     """Add side: the first floor(n * dev) hash-ordered rows of each stratum are dev, the rest test."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    return ranked_in(df, strata, [draw(seed, key), key]).withColumn("side", F.when(F.col("k") <= F.floor(n * dev), "dev").otherwise("test")).drop("k")
+    placed = numbered(df, strata, [draw(seed, key), key], "k", "n")
+    return placed.withColumn("side", F.when(F.col("k") <= F.floor(F.col("n") * dev), "dev").otherwise("test")).drop("k", "n")
 
 
 def hard_pool(df: DataFrame, group: list[str], size: str, share: float, n: int, seed: str, key: str) -> DataFrame:
     """Of the largest ``share`` of each group (one at least), n hash-chosen rows."""
-    total = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    pool = ranked_in(df.withColumn("total", total), group, [F.desc(size), key]).where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("total") * share)))
+    pool = numbered(df, group, [F.desc(size), key], "k", "total").where(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("total") * share)))
     return cap(pool.drop("k", "total"), group, n, seed, key)
 
 
@@ -38,14 +43,15 @@ def quota(df: DataFrame, group: str, sub: str, n: int, seed: str, key: str) -> D
     w = Window.partitionBy(group)
     subs = subs.withColumns({"j": F.row_number().over(w.orderBy(sub)), "m": F.count(F.lit(1)).over(w)})
     subs = subs.withColumn("want", F.floor(F.lit(n) / F.col("m")) + (F.col("j") <= n % F.col("m")).cast("int"))
-    ranked = ranked_in(df, [group, sub], [draw(seed, key), key])
+    ranked = ranked_in(df, [group, sub], [draw(seed, key), key]).where(F.col("k") <= n)
     return ranked.join(subs.select(group, sub, "want"), [group, sub]).where(F.col("k") <= F.col("want")).drop("k", "want")
 
 
 def balance(df: DataFrame, group: str, label: str, anchor: int, most: int, seed: str, key: str) -> DataFrame:
     """Each label of a group cut to the group's number of ``anchor`` labels, at most ``most``; none of those, nothing."""
-    n = F.count_if(F.col(label) == anchor).over(Window.partitionBy(group))
-    return ranked_in(df.withColumn("n_anchor", n), [group, label], [draw(seed, key), key]).where(F.col("k") <= F.least("n_anchor", F.lit(most))).drop("k", "n_anchor")
+    anchors = df.where(F.col(label) == anchor).groupBy(group).agg(F.count(F.lit(1)).alias("n_anchor"))
+    few = ranked_in(df, [group, label], [draw(seed, key), key]).where(F.col("k") <= most)
+    return few.join(anchors, group).where(F.col("k") <= F.col("n_anchor")).drop("k", "n_anchor")
 
 
 def precedence(df: DataFrame, key: str) -> DataFrame:

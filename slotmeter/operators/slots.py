@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from slotmeter.functions.values import canon_value, strip, value_equal
 
 
-def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Add rn, a zero-based row number in each group, and n, the group's size."""
-    w = Window.partitionBy(group)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy(order)) - 1, "n": F.count(F.lit(1)).over(w)})
-
-
 def slot_table(facts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key and slot: pos, values in order, is_list, and the canonical value."""
     grouped = facts.groupBy(*keys, "slot").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "vpos", "value"))).alias("v"))

@@ -18,7 +18,7 @@ from slotmeter.operators import verify as v
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import routing
 from slotmeter.plans.registering import registry
-from slotmeter.plans.work import folder, written
+from slotmeter.sources.work import folder, written
 
 QUERIES, ORACLES, query = registry()
 PAIR = v.PAIR

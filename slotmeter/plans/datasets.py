@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.operators import ranking as rk
 from slotmeter.operators import sampling as sm
+from slotmeter.operators.numbering import numbered
 from slotmeter.operators import significance as sg
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
@@ -132,7 +133,7 @@ def quota_sample(spark, sf_dir):
 
 @query("SELECT doc_id, format('{}_{}_{:03d}', source[1:3], lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id)) AS id FROM documents")
 def assign_ids(spark, sf_dir):
-    rows = sm.ranked_in(_docs(spark, sf_dir), ["source", "lang"], ["doc_id"])
+    rows = numbered(_docs(spark, sf_dir), ["source", "lang"], ["doc_id"])
     return rows.select("doc_id", F.format_string("%s_%s_%03d", F.substring("source", 1, 3), "lang", "k").alias("id"))
 
 
@@ -151,7 +152,7 @@ def pick_one_reference(spark, sf_dir):
 @query("SELECT doc_id, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, md5(concat('sort|', doc_id)), doc_id) AS place FROM (SELECT doc_id, lang, length(text) AS n FROM documents)")
 def sort_by_length(spark, sf_dir):
     rows = fx.read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("n"))
-    return sm.ranked_in(rows, ["lang"], [F.desc("n"), sm.draw("sort", "doc_id"), "doc_id"], "place").select("doc_id", "n", "place")
+    return numbered(rows, ["lang"], [F.desc("n"), sm.draw("sort", "doc_id"), "doc_id"], "place").select("doc_id", "n", "place")
 
 
 _PARTS = {"parted": "SELECT conv_id, CASE WHEN conv_id % 10 IN (0, 1) THEN 'test' WHEN conv_id % 10 = 2 THEN 'dev' ELSE 'train' END AS part FROM conversations UNION ALL SELECT conv_id, 'train' FROM conversations WHERE conv_id % 10 = 1 UNION ALL SELECT conv_id, 'dev' FROM conversations WHERE conv_id % 5 = 0"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotmeter.plans import core, notation, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
-from slotmeter.plans.work import folder
+from slotmeter.sources.work import folder
 from slotmeter.sources import readers, writers
 
 QUERIES, ORACLES, query = registry()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from slotmeter.functions.values import NO, YES
 from slotmeter.operators import slots
+from slotmeter.operators.numbering import numbered
+from slotmeter.sources.work import written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,12 +54,23 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.withColumn("score", ((F.col("example_id") * 37 + F.col("cand_idx") * 101) % 300).cast("double") / 100)
 
 
+_NEGATIVES: dict[tuple[str, str], DataFrame] = {}
+
+
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(example_id, topic, neg_id, source_id): five examples of the same topic, the first itself."""
-    ranked = slots.numbered(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic")), "topic", "example_id")
+    """(example_id, topic, neg_id, source_id): five examples of the same topic, the first itself; written once for a folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _NEGATIVES:
+        _NEGATIVES[at] = written(_negatives(spark, sf_dir))
+    return _NEGATIVES[at]
+
+
+def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
+    ranked = numbered(part, ["topic"], ["example_id"], "rn", "n").withColumn("rn", F.col("rn") - 1)
     five = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("neg_id")).withColumn("want", (F.col("rn") + F.col("neg_id") * 7) % F.col("n"))
     other = ranked.select("topic", F.col("rn").alias("want"), F.col("example_id").alias("source_id"))
-    return five.join(other, ["topic", "want"]).select("example_id", "topic", "neg_id", "source_id")
+    return five.join(other.hint("merge"), ["topic", "want"]).select("example_id", "topic", "neg_id", "source_id")
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from slotmeter.operators import verify as v
 from slotmeter.plans import core, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
-from slotmeter.plans.work import folder
+from slotmeter.sources.work import folder
 
 QUERIES, ORACLES, query = registry()
 
