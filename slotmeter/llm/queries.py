@@ -16,6 +16,7 @@ from slotmeter.llm.line_dedup import dedup_lines
 from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.multi_index import link_vectors
 from slotmeter.llm.periodic import periodic_runs
+from slotmeter.llm.phrases import collocations
 from slotmeter.llm.suffix_dedup import drop_repeats
 from slotmeter.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
 from slotmeter.llm.url_filter import judge_urls
@@ -194,3 +195,26 @@ SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(t.start AS
   CAST(1000 * t.length // t.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM x LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)) GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+parts AS (SELECT lang, a, k, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c),
+live AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.lang = c.lang AND parts.phrase = c.phrase AND 100 * parts.a >= 100 * c.a)),
+cuts AS (SELECT live.*, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM live, (SELECT unnest([1, 2, 3, 4]) AS j) WHERE j < k),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, l.a AS l, r.a AS r, n.n, 1000 * CAST(cuts.a AS HUGEINT) * n.n // (CAST(l.a AS HUGEINT) * r.a) AS score, j
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS t FROM s) WHERE t = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) WHERE rank <= 2000
+"""
