@@ -16,6 +16,7 @@ from slotmeter.llm.line_dedup import dedup_lines
 from slotmeter.llm.minhash import near_duplicates
 from slotmeter.llm.multi_index import link_vectors
 from slotmeter.llm.periodic import periodic_runs
+from slotmeter.llm.personal import KINDS, find_personal
 from slotmeter.llm.phrases import collocations
 from slotmeter.llm.suffix_dedup import drop_repeats
 from slotmeter.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
@@ -197,6 +198,21 @@ FROM x LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN kept USIN
 """
 
 
+@_query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone and base_sha256 are those of the base spans; spans has the method's as well."""
+    found = find_personal(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def written(spans):
+        ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+        return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint) as n_{name}") for k, name in enumerate(KINDS)]
+    spans = written(F.concat("base", "added"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 @_query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
