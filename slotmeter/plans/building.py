@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotmeter.functions.values import grade_ser, value_equal
 from slotmeter.operators import gaps as gp
 from slotmeter.operators import aligning as al
+from slotmeter.operators import negatives as ng
 from slotmeter.operators import parsing as ps
 from slotmeter.operators import routers as ro
 from slotmeter.operators import sampling as sm
@@ -15,6 +16,7 @@ from slotmeter.operators import scorers as sc
 from slotmeter.operators import significance as sg
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
+from slotmeter.operators.numbering import numbered
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import routing
 from slotmeter.plans.registering import registry
@@ -82,60 +84,75 @@ def value_gap_analysis(spark, sf_dir):
     return gp.gap_table(gaps(spark, sf_dir), [], ["slot"], ["topic"])
 
 
-@query("SELECT topic, label, count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(d) AS BIGINT) AS d, CAST(sum(i) AS BIGINT) AS i FROM (SELECT *, CASE WHEN 1 - ser >= 0.9 THEN 4 WHEN 1 - ser >= 0.75 THEN 3 WHEN 1 - ser >= 0.5 THEN 2 WHEN 1 - ser >= 0.25 THEN 1 ELSE 0 END AS label FROM mtopics WHERE method = 'gold') GROUP BY topic, label")
-def negative_stats(spark, sf_dir):
+_LABELLED = {"labelled": "SELECT example_id, topic, s, d, i, CASE WHEN 1 - ser >= 0.9 THEN 4 WHEN 1 - ser >= 0.75 THEN 3 WHEN 1 - ser >= 0.5 THEN 2 WHEN 1 - ser >= 0.25 THEN 1 ELSE 0 END AS label FROM mtopics WHERE method = 'gold'"}
+
+
+def _labelled(spark, sf_dir):
     rows = v.method_counts(fx.negatives(spark, sf_dir), routing.methods(spark, sf_dir, ("gold",)), routing.given(spark, sf_dir))
-    return rows.groupBy("topic", grade_ser(F.col("ser")).alias("label")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "sdi"])
+    return rows.select("example_id", "topic", "s", "d", "i", grade_ser(F.col("ser")).alias("label"))
 
 
-#: Records that an example looks at, at most; the ends of the rounds, after each of which only examples with open grades go on.
-TRIES = 1001
-ROUNDS = (16, 128, TRIES)
-_GRADED = {
-    "hashed": "SELECT p_partkey AS example_id, p_type AS topic, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat('pool|', p_partkey)), p_partkey) - 1 AS rn, count(*) OVER (PARTITION BY p_type) AS n FROM part",
-    "tries": f"SELECT a.example_id, t.try, b.example_id AS source_id FROM hashed a, (SELECT unnest(range({TRIES})) AS try) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.example_id * 13 + t.try) % a.n WHERE t.try < a.n",
+@query("SELECT topic, label, count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(d) AS BIGINT) AS d, CAST(sum(i) AS BIGINT) AS i FROM labelled GROUP BY GROUPING SETS ((topic, label), (topic), (label), ())", **_LABELLED)
+def negative_stats(spark, sf_dir):
+    """Negatives and their errors by topic and grade, with the totals of each and of all (null)."""
+    return _labelled(spark, sf_dir).cube("topic", "label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "sdi"])
+
+
+@query("SELECT topic, n_negatives, n_labels, count(*) AS n_examples FROM (SELECT topic, example_id, count(*) AS n_negatives, count(DISTINCT label) AS n_labels FROM labelled GROUP BY topic, example_id) GROUP BY GROUPING SETS ((topic, n_negatives, n_labels), (n_negatives, n_labels))", **_LABELLED)
+def negatives_per_example(spark, sf_dir):
+    """How many examples have so many negatives of so many grades, by topic and over all (null)."""
+    per = _labelled(spark, sf_dir).groupBy("topic", "example_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("topic", "example_id").agg(F.sum("n").alias("n_negatives"), F.count(F.lit(1)).alias("n_labels"))
+    return per.groupingSets([["topic", "n_negatives", "n_labels"], ["n_negatives", "n_labels"]], "topic", "n_negatives", "n_labels").agg(F.count(F.lit(1)).alias("n_examples"))
+
+
+_GRADE = "CASE WHEN 1 - ser >= 0.9 THEN 4 WHEN 1 - ser >= 0.75 THEN 3 WHEN 1 - ser >= 0.5 THEN 2 WHEN 1 - ser >= 0.25 THEN 1 ELSE 0 END"
+_GRADE_F1 = "CASE WHEN f1 >= 0.9 THEN 6 WHEN f1 >= 0.8 THEN 5 WHEN f1 >= 0.7 THEN 4 WHEN f1 >= 0.6 THEN 3 WHEN f1 >= 0.5 THEN 2 WHEN f1 >= 0.25 THEN 1 ELSE 0 END"
+_HASHED = {"hashed": "SELECT p_partkey AS example_id, p_type AS topic, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat('pool|', p_partkey)), p_partkey) - 1 AS rn, count(*) OVER (PARTITION BY p_type) AS n FROM part"}
+_TRIED = {
     "tpred": "SELECT t.example_id, t.try, r.slot, r.items, r.multi FROM tries t JOIN refs r ON r.example_id = t.source_id",
     "tref": "SELECT t.example_id, t.try, r.slot, r.items, r.multi FROM tries t JOIN refs r ON r.example_id = t.example_id",
     "tkinds": f"SELECT coalesce(p.example_id, r.example_id) AS example_id, coalesce(p.try, r.try) AS try, {fx._kind_sql('p', 'r')} AS kind FROM tpred p FULL JOIN tref r ON p.example_id = r.example_id AND p.try = r.try AND p.slot = r.slot",
-    "tsers": fx._tally_sql("example_id, try", "tkinds", "tries"),
+    "counted": "SELECT e.example_id, e.try, e.source_id, count(*) FILTER (WHERE kind = 'M') AS m, count(*) FILTER (WHERE kind = 'S') AS s, count(*) FILTER (WHERE kind = 'D') AS d, count(*) FILTER (WHERE kind = 'I') AS i FROM tries e LEFT JOIN tkinds USING (example_id, try) GROUP BY ALL",
+    "written": "SELECT example_id AS source_id, string_agg(concat('(', slot, ': ', array_to_string(vals, '; '), ')'), '; ' ORDER BY pos) AS mr FROM refs GROUP BY example_id",
 }
+_BY_TOPIC = _HASHED | {"tries": "SELECT a.example_id, t.try, b.example_id AS source_id FROM hashed a, (SELECT unnest(range(1001)) AS try) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.example_id * 13 + t.try) % a.n WHERE t.try < a.n"} | _TRIED
+_BY_ALL = {"hashed": "SELECT p_partkey AS example_id, row_number() OVER (ORDER BY md5(concat('pool|', p_partkey)), p_partkey) - 1 AS rn, count(*) OVER () AS n FROM part"}
+_BY_ALL |= {"tries": "SELECT a.example_id, t.try, b.example_id AS source_id FROM hashed a, (SELECT unnest(range(1001)) AS try) t JOIN hashed b ON b.rn = (a.example_id * 13 + t.try) % a.n WHERE t.try < a.n"} | _TRIED
+_FIRST = "SELECT example_id, label, try, source_id, s, d, i, mr FROM (SELECT *, row_number() OVER (PARTITION BY example_id, label ORDER BY try) AS k FROM ({}) ) JOIN written USING (source_id) WHERE k = 1"
+
 
+def _graded(spark, sf_dir, **how):
+    """One row for each example and grade it has a negative of, with the negative's record as text."""
+    records = written(ng.packed(fx.references(spark, sf_dir), ["example_id", "topic"]))
+    one = F.transform("record", lambda x: F.concat(F.lit("("), x["slot"], F.lit(": "), F.array_join(x["vals"], "; "), F.lit(")")))
+    return ng.graded_negatives(records, **how).select("example_id", "label", "try", "source_id", "s", "d", "i", F.array_join(one, "; ").alias("mr"))
 
-@query("SELECT example_id, label, try, ser FROM (SELECT *, row_number() OVER (PARTITION BY example_id, label ORDER BY try) AS k FROM (SELECT example_id, try, ser, CASE WHEN 1 - ser >= 0.9 THEN 4 WHEN 1 - ser >= 0.75 THEN 3 WHEN 1 - ser >= 0.5 THEN 2 WHEN 1 - ser >= 0.25 THEN 1 ELSE 0 END AS label FROM tsers)) WHERE k = 1", **_GRADED)
+
+@query(_FIRST.format(f"SELECT *, {_GRADE} AS label FROM (SELECT *, CAST(s + d + i AS DOUBLE) / greatest(m + s + d, 1) AS ser FROM counted)"), **_BY_TOPIC)
 def graded_negative_sample(spark, sf_dir):
-    """Each example looks at a run of a hash-ordered pool of its topic; the first record of each grade stays.
+    """Each example looks at a run of a hash-ordered pool of its topic; the first record of each grade of 1 - SER stays."""
+    return _graded(spark, sf_dir)
 
-    In rounds: examples that have a record of every grade look no further.
-    """
-    part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
-    pool = written(sm.ranked_in(part, ["topic"], [sm.draw("pool", "example_id"), "example_id"], "rn"))
-    size = pool.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    refs, keys = written(fx.references(spark, sf_dir).select("example_id", "slot", "vals", "canon")), ["example_id", "try"]
-    open_, found, start = part.join(F.broadcast(size), "topic"), None, 0  # a row for each topic
-    for end in ROUNDS:
-        last = F.least(F.lit(end), F.col("n").cast("int")) - 1
-        tries = open_.where(last >= start).select("topic", "example_id", "n", F.explode(F.sequence(F.lit(start), last)).alias("try"))
-        tries = tries.withColumn("rn", (F.col("example_id") * 13 + F.col("try")) % F.col("n") + 1)
-        tries = written(tries.join(pool.select("topic", "rn", F.col("example_id").alias("source_id")).hint("merge"), ["topic", "rn"]).select("example_id", "try", "source_id"))
-        pred = tries.join(refs.withColumnRenamed("example_id", "source_id").hint("merge"), "source_id")
-        counted = slots.error_counts(tries, slots.slot_join(pred, tries.join(refs.hint("merge"), "example_id"), keys), keys)
-        graded = counted.groupBy("example_id", grade_ser(F.col("ser")).alias("label")).agg(F.min(F.struct("try", "ser")).alias("m"))
-        first = graded.select("example_id", "label", F.col("m.try").cast("long").alias("try"), "m.ser")
-        first = written(first if found is None else first.join(found.hint("merge"), ["example_id", "label"], "left_anti"))
-        found = first if found is None else found.unionByName(first)
-        done = found.groupBy("example_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 5").select("example_id")
-        open_, start = open_.join(done.hint("merge"), "example_id", "left_anti"), end
-    return found
-
-
-@query("SELECT a.example_id, t.k AS place, b.example_id AS shot_id FROM hashed a, (SELECT unnest([1, 2, 3]) AS k) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.rn + t.k) % a.n WHERE b.example_id <> a.example_id", **_GRADED)
+
+@query(
+    _FIRST.format(f"""SELECT *, {_GRADE_F1} AS label FROM (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1
+  FROM (SELECT *, CAST(m AS DOUBLE) / greatest(m + s + i, 1) AS p, CAST(m AS DOUBLE) / greatest(m + s + d, 1) AS r FROM counted))"""),
+    **_BY_ALL,
+)
+def graded_negative_f1(spark, sf_dir):
+    """The same over one pool of all topics, by the seven grades of slot F1."""
+    return _graded(spark, sf_dir, rubric="f1", pool=None)
+
+
+@query("SELECT a.example_id, t.k AS place, b.example_id AS shot_id FROM hashed a, (SELECT unnest([1, 2, 3]) AS k) t JOIN hashed b ON b.topic = a.topic AND b.rn = (a.rn + t.k) % a.n WHERE b.example_id <> a.example_id", **_HASHED)
 def fewshot_attach(spark, sf_dir):
     """Three other examples of the same schema: the next ones in hash order, so no topic is joined with itself in full."""
     part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
-    pool = sm.ranked_in(part, ["topic"], [sm.draw("pool", "example_id"), "example_id"], "rn").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("topic")))
+    pool = numbered(part, ["topic"], [sm.draw("pool", "example_id"), "example_id"], "rn", "n")
     want = pool.select("topic", "example_id", F.col("rn").alias("own"), "n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("place"))
     want = want.withColumn("rn", (F.col("own") - 1 + F.col("place")) % F.col("n") + 1)
-    both = want.join(pool.select("topic", "rn", F.col("example_id").alias("shot_id")), ["topic", "rn"]).where("shot_id <> example_id")
+    both = want.join(pool.select("topic", "rn", F.col("example_id").alias("shot_id")).hint("merge"), ["topic", "rn"]).where("shot_id <> example_id")
     return both.select("example_id", "place", "shot_id")
 
 
