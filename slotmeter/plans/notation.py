@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slotmeter.operators import annotations as an
 from slotmeter.operators import naming as nm
 from slotmeter.operators import parsing as ps
+from slotmeter.operators import resumable as rs
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import core, routing
@@ -155,11 +156,19 @@ def plural_forms(spark, sf_dir):
     return fx.facts(spark, sf_dir).where("slot = 'traits'").select("example_id", "vpos", ps.plural(F.lower("value")).alias("plural"))
 
 
-@query("SELECT c.conv_id, c.turn, c.text FROM conversations c WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn AND d.conv_id % 3 = 0)")
+@query("SELECT conv_id, turn, CAST((length(text) * 7) % 300 AS DOUBLE) AS score, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM conversations WHERE role = 'assistant'")
 def resumable_scoring(spark, sf_dir):
-    c = fx.read(spark, sf_dir, "conversations")
-    done = c.where("conv_id % 3 = 0").select("conv_id", "turn")
-    return c.where("role = 'assistant'").join(done, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "text")
+    """A first run scores every third conversation; the second is given all turns and scores, in batches, what is not there.
+
+    A formula stands for the model. run says which run scored a turn.
+    """
+    turns = fx.read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    place, keys = folder(spark), ["conv_id", "turn"]
+    score = lambda rows: rows.select(*keys, (F.length("text") * 7 % 300).cast("double").alias("score"))
+    rs.score_resumable(turns.where("conv_id % 3 = 0"), keys, score, place)
+    rs.score_resumable(turns, keys, score, place, batch_rows=-(-turns.count() // 3))
+    kinds = ", ".join(f"{k} {turns.schema[k].dataType.simpleString()}" for k in keys)
+    return rs.results(spark, place, f"{kinds}, score double").select(*keys, "score", F.col("run").cast("int").alias("run"))
 
 
 _TYPES = {"sums": "SELECT unnest(['S', 'D', 'I', 'repetition']) AS kind, unnest([count(*) FILTER (WHERE kind = 'S'), count(*) FILTER (WHERE kind = 'D'), count(*) FILTER (WHERE kind = 'I'), count(*) FILTER (WHERE len(pred_vals) > len(ref_vals))]) AS n FROM kinds"}
