@@ -50,6 +50,41 @@ def stars(p: Column) -> Column:
     return out.otherwise("n.s.")
 
 
+def outcome_patterns(rows: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
+    """(right, given, n): how many keys have the outcomes ``right`` of the methods ``given``, as bits in the order of ``methods``.
+
+    rows: keys, method, ok (0, 1 or boolean; null: not given); of repeated outcomes one that is right counts.
+    One row a key is all that is shuffled; what comes out has at most 4 ** len(methods) rows, whatever the input.
+    """
+    if len(methods) > 62:
+        raise ValueError("at most 62 methods")
+    bit = F.lit(None).cast("long")
+    for k, m in reversed(list(enumerate(methods))):
+        bit = F.when(F.col("method") == m, F.lit(1 << k)).otherwise(bit)
+    known = rows.where(F.col("method").isin(*methods) & F.col("ok").isNotNull()).withColumn("_bit", bit)
+    each = known.groupBy(*keys).agg(F.coalesce(F.bit_or(F.when(F.col("ok").cast("boolean"), F.col("_bit"))), F.lit(0)).alias("right"), F.bit_or("_bit").alias("given"))
+    return each.groupBy("right", "given").agg(F.count(F.lit(1)).alias("n"))
+
+
+def method_pairs(patterns: DataFrame, methods: list[str]) -> DataFrame:
+    """One row for each two methods, in order: accuracies, the table of paired outcomes, chi-square, p-values and stars.
+
+    Counts only the keys that both methods have. statistic is the corrected chi-square (0 without discordant
+    keys), p_value its p, p_exact the binomial below 25 discordant keys and p_value else; stars go by p_exact.
+    """
+    both = [F.struct(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), F.lit(1 << i).alias("x"), F.lit(1 << j).alias("y")) for i, a in enumerate(methods) for j, b in enumerate(methods) if i < j]
+    each = patterns.select("right", "given", "n", F.inline(F.array(*both))).where((F.col("given").bitwiseAND(F.col("x")) > 0) & (F.col("given").bitwiseAND(F.col("y")) > 0))
+    a, b = (F.col("right").bitwiseAND(F.col(c)) > 0 for c in "xy")
+    cell = lambda when, name: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(name)
+    out = each.groupBy("method_a", "method_b").agg(F.sum("n").alias("n"), cell(a & b, "both_correct"), cell(a & ~b, "a_only"), cell(~a & b, "b_only"), cell(~a & ~b, "both_wrong"))
+    off = F.col("a_only") + F.col("b_only")
+    chi2 = F.when(off > 0, F.pow((F.abs(F.col("a_only") - F.col("b_only")) - 1).cast("double"), F.lit(2.0)) / off).otherwise(0.0)
+    share = lambda c: F.round((F.col("both_correct") + F.col(c)) / F.col("n"), 6)
+    out = out.withColumns({"a_acc": share("a_only"), "b_acc": share("b_only"), "n_discordant": off, "statistic": chi2})
+    out = out.withColumns({"p_value": F.when(off > 0, chi2_p(F.col("statistic"))).otherwise(1.0), "p_exact": mcnemar_p(F.col("a_only"), F.col("b_only"))})
+    return out.withColumn("stars", stars(F.col("p_exact")))
+
+
 def signs(keys: np.ndarray, flips: int) -> np.ndarray:
     """Signs (+1, -1) of each key in each flip: bits of a hash of key and flip, the same wherever a row lies."""
     words = np.arange(-(-flips // 64), dtype=np.uint64)

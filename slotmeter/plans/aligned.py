@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.operators import aligning as al
 from slotmeter.operators import parsing as ps
+from slotmeter.operators import rules as ru
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import building, routing
@@ -127,3 +128,85 @@ def derive_slot_topic(spark, sf_dir):
     k, w = F.col("example_id") % 4, F.col("value")
     raw = F.when(k == 0, F.concat(F.lit("shop."), w, F.lit(".accept"))).when(k == 1, F.lit("shop.b.c.d")).when(k == 2, w).otherwise(F.lit("shop.b.b.b.reject"))
     return f.select("example_id", "vpos", ps.dialog_slot(raw).alias("slot"), ps.dialog_topic(F.concat(F.lit("shop-1-"), F.lower(w), F.lit("-2x")), F.lit(None).cast("string")).alias("topic"))
+
+
+#: Each part as a restaurant, a laptop or a game: the topic, a text with planted alternatives, and its record.
+_TOPICS = ("restaurants", "laptop", "games")
+
+
+def domain_texts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(texts: example_id, topic, text; facts: example_id, pos, slot, value) of three families of corpora, from the parts' values."""
+    part = fx.read(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 3).withColumn("j", F.floor(F.col("p_partkey") / 3) % 4)
+    pick = lambda *values: F.element_at(al.texts(*values), (F.col("j") + 1).cast("int"))
+    first = F.substring_index("p_name", " ", 1)
+    price, cost = pick("cheap", "high", "moderate", "cheap"), pick("an affordable", "a costly", "a reasonable", "an expensive")
+    place = F.concat(F.lit("The "), "p_name", F.lit(" is "), cost, F.lit(" pub by the "), pick("river", "station", "river", "river"), F.lit(", with "), pick("Japanese", "british", "no", "Indian"), F.lit(" food near "), first, F.lit(". It is "), pick("", "not ", "", "never "), F.lit("family friendly."))
+    goods = F.concat(F.lit("the "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" has a "), pick("3.5 hour", "7 hour", "3.5 hour", "9 hour"), F.lit(" battery , is "), pick("thin and light", "light , thin", "thin", "light"), F.lit(" , costs "), pick("little", "a budget price", "an average price", "a low price"), F.lit(" and is "), pick("not ", "", "", ""), F.lit("for business"))
+    game = F.concat("p_name", F.lit(" came out in '"), F.lpad((F.col("p_size") % 30).cast("string"), 2, "0"), F.lit(" as "), pick("an rpg", "a racing game", "a shoot em up", "a tactical one"), F.lit(". "), "p_name", F.lit(" is "), pick("single player", "fun with friends", "without friends", "great"), F.lit(", rated "), pick("T", "M", "E", "T"), F.lit(" and "), pick("awesome", "dull", "okay", "solid"), F.lit("."))
+    text = F.when(F.col("k") == 0, place).when(F.col("k") == 1, goods).otherwise(game)
+    topic = F.element_at(al.texts(*_TOPICS), (F.col("k") + 1).cast("int"))
+
+    def facts(*pairs):
+        return F.array(*[F.struct(F.lit(n).alias("pos"), F.lit(s).alias("slot"), v.alias("value")) for n, (s, v) in enumerate(pairs)])
+
+    records = (
+        F.when(F.col("k") == 0, facts(("name", F.lower("p_name")), ("near", F.lower(first)), ("pricerange", price), ("area", F.lit("riverside")), ("food", pick("Japanese", "English", "Thai", "Indian")), ("eattype", F.lit("pub")), ("familyfriendly", pick("yes", "no", "no", "yes"))))
+        .when(F.col("k") == 1, facts(("name", F.concat(F.lower("p_name"), F.lit(" "), F.col("p_size").cast("string"))), ("battery", F.lit("3.5 hour")), ("design", F.lit("light and thin")), ("pricerange", F.lit("cheap")), ("isforbusinesscomputing", pick("false", "true", "false", "true")), ("warranty", F.lit("dontcare"))))
+        .otherwise(facts(("name", F.col("p_name")), ("release_year", F.concat(F.lit("20"), F.lpad((F.col("p_size") % 30).cast("string"), 2, "0"))), ("genres", pick("role-playing", "driving/racing", "shooter, tactical", "tactical")), ("has_multiplayer", pick("no", "yes", "no", "yes")), ("esrb", F.lit("T (for Teen)")), ("rating", pick("excellent", "poor", "good", "good"))))
+    )
+    return part.select(F.col("p_partkey").alias("example_id"), topic.alias("topic"), text.alias("text")), part.select(F.col("p_partkey").alias("example_id"), F.inline(records))
+
+
+def ruled(spark, sf_dir) -> DataFrame:
+    texts, facts = domain_texts(spark, sf_dir)
+    return ru.find_by_rules(texts, facts, ru.rule_table(spark), ["example_id"])
+
+
+@query(None)
+def realize_domains(spark, sf_dir):
+    """Where the rules of three families find each value; tests/test_domain_rules.py has a plain version."""
+    return ruled(spark, sf_dir).select("example_id", "topic", "pos", "slot", "value", "at", "duplicate")
+
+
+@query(None)
+def errors_per_text(spark, sf_dir):
+    """Slots of each text that are not found or stand twice, with their number."""
+    found = ru.text_errors(ruled(spark, sf_dir), ["example_id"])
+    return found.select("example_id", "n_slots", "n_errors", F.array_join("missing", "|").alias("missing"), F.array_join("duplicates", "|").alias("duplicates"))
+
+
+_MASKING = {
+    "named": """SELECT p_partkey AS example_id, lower(concat('The ', p_name, ' by ', p_brand, ' is near the ', split_part(p_name, ' ', 1), CASE WHEN p_partkey % 3 = 0 THEN concat(' of ', p_brand, ' and ', p_name) ELSE '' END)) AS text,
+    list_sort([{'n': -length(p_name), 'pos': 0, 'slot': 'name', 'value': lower(p_name)}, {'n': -length(split_part(p_name, ' ', 1)), 'pos': 1, 'slot': 'near', 'value': lower(split_part(p_name, ' ', 1))}, {'n': -length(p_brand), 'pos': 2, 'slot': 'brand', 'value': lower(p_brand)}]) AS e FROM part""",
+    "m0": "SELECT *, text AS t0 FROM named",
+    **{
+        f"m{k}": rf"SELECT *, regexp_matches(t{k - 1}, p{k}) AS hit{k}, CASE WHEN regexp_matches(t{k - 1}, p{k}) THEN length(string_split_regex(t{k - 1}, p{k})[1]) END AS at{k}, len(regexp_extract_all(t{k - 1}, p{k})) AS n{k}, regexp_replace(t{k - 1}, p{k}, repeat('_', length(e[{k}].value)), 'g') AS t{k} FROM (SELECT *, concat('\b', regexp_escape(e[{k}].value), '\b') AS p{k} FROM m{k - 1})"
+        for k in (1, 2, 3)
+    },
+}
+
+
+@query(
+    """SELECT example_id, t3 AS text, e[k].slot AS slot, CASE k WHEN 1 THEN at1 WHEN 2 THEN at2 ELSE at3 END AS at,
+  e[k].slot <> 'name' AND CASE k WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE n3 END > 1 AS duplicate FROM m3, (SELECT unnest([1, 2, 3]) AS k)""",
+    **_MASKING,
+)
+def mask_entities(spark, sf_dir):
+    """Names masked in texts, the longest first: where each is, whether it is there twice, and none inside another."""
+    first = F.substring_index("p_name", " ", 1)
+    again = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" of "), "p_brand", F.lit(" and "), "p_name")).otherwise("")
+    text = F.lower(F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit(" is near the "), first, again))
+    one = lambda n, slot, v: F.struct(F.lit(n).alias("pos"), F.lit(slot).alias("slot"), F.lower(v).alias("value"))
+    masked = ru.mask_names(text, F.array(one(0, "name", F.col("p_name")), one(1, "near", first), one(2, "brand", F.col("p_brand"))), al.texts("name", "near", "brand"))
+    rows = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), masked.alias("m"))
+    return rows.select("example_id", "m.text", F.inline("m.found")).select("example_id", "text", "slot", "at", "duplicate")
+
+
+@query("SELECT example_id, value, array_to_string(items, '|') AS items, CASE WHEN len(list_filter(items, lambda x: strpos(text, x) = 0)) = 0 THEN list_min(list_transform(items, lambda x: strpos(text, x) - 1)) ELSE -1 END AS start FROM lists", lists="SELECT p_partkey AS example_id, lower(concat(p_name, ' by ', p_brand)) AS text, lower(concat(split_part(p_name, ' ', 1), CASE p_partkey % 4 WHEN 0 THEN ', ' WHEN 1 THEN ' and ' WHEN 2 THEN ' with ' ELSE ' or ' END, split_part(p_name, ' ', 2), CASE WHEN p_partkey % 5 = 0 THEN ' , and brass' ELSE '' END)) AS value, list_filter([lower(split_part(p_name, ' ', 1)), lower(split_part(p_name, ' ', 2)), CASE WHEN p_partkey % 5 = 0 THEN 'and brass' ELSE '' END], lambda x: x <> '') AS items FROM part")
+def match_list(spark, sf_dir):
+    """Lists in prose: their items, and the leftmost where all are in the text."""
+    a, b = F.substring_index("p_name", " ", 1), F.try_element_at(F.split("p_name", " "), F.lit(2))
+    joint = F.element_at(F.array(*map(F.lit, (", ", " and ", " with ", " or "))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    value = F.lower(F.concat(a, joint, b, F.when(F.col("p_partkey") % 5 == 0, " , and brass").otherwise("")))
+    rows = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.lower(F.concat("p_name", F.lit(" by "), "p_brand")).alias("text"), value.alias("value"))
+    return rows.select("example_id", "value", F.array_join(ru.conjunction_items(F.col("value")), "|").alias("items"), ru.conjunction(F.col("text"), F.col("value")).cast("long").alias("start"))

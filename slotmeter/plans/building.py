@@ -224,19 +224,6 @@ def match_verbatim(spark, sf_dir):
     return both.select("example_id", "slot", "vpos", F.col("m.pos").cast("long").alias("pos"), "m.duplicate")
 
 
-@query("SELECT r.example_id, r.slot, len(list_filter(r.vals, lambda x: contains(s.text, lower(x)))) = len(r.vals) AS all_found FROM refs r JOIN surf s USING (example_id) WHERE is_list", **_SURFACE)
-def match_list(spark, sf_dir):
-    both = fx.references(spark, sf_dir).where("is_list").join(_surface(spark, sf_dir), "example_id")
-    return both.select("example_id", "slot", F.forall("vals", lambda x: F.contains(F.col("text"), F.lower(x))).alias("all_found"))
-
-
-@query("SELECT p_partkey AS example_id, replace(replace(text, lower(p_name), repeat('_', length(p_name))), lower(p_brand), repeat('_', length(p_brand))) AS text FROM part JOIN surf ON example_id = p_partkey", **_SURFACE)
-def mask_entities(spark, sf_dir):
-    names = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.array(F.lower("p_name"), F.lower("p_brand")).alias("names"))
-    masked = F.aggregate("names", F.col("text"), lambda t, x: F.replace(t, x, F.repeat(F.lit("_"), F.length(x))))
-    return names.join(_surface(spark, sf_dir), "example_id").select("example_id", masked.alias("text"))
-
-
 @query("SELECT example_id, neg_id, pos, vpos, ((length(premise) * 7 + length(hypothesis) * 13) % 100) / 100.0::DOUBLE AS prob FROM pairsql", pairsql="SELECT n.example_id, n.neg_id, f.pos, f.vpos, concat('The ', p_name, ' by ', p_brand, ' has size ', p_size, '.') AS premise, " + routing._HYP + " AS hypothesis FROM negs n JOIN facts f ON f.example_id = n.source_id JOIN part ON p_partkey = n.example_id")
 def score_entailment_batches(spark, sf_dir):
     """The data path of a batch scorer, with a deterministic test scorer in the model's place."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from slotmeter.operators import ranking as rk
 from slotmeter.operators import sampling as sm
 from slotmeter.operators.numbering import numbered
-from slotmeter.operators import significance as sg
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
 
@@ -229,15 +228,6 @@ def length_histogram(spark, sf_dir):
     return both.groupBy("lang", F.least(place, F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n11, n10, n01, n00, round(CASE WHEN n10 + n01 > 0 THEN power(abs(n10 - n01) - 1, 2) / CAST(n10 + n01 AS DOUBLE) ELSE 0 END, 6) AS chi2, CASE WHEN power(abs(n10 - n01) - 1, 2) / nullif(n10 + n01, 0) > 10.827566 THEN '***' WHEN power(abs(n10 - n01) - 1, 2) / nullif(n10 + n01, 0) > 6.634897 THEN '**' WHEN power(abs(n10 - n01) - 1, 2) / nullif(n10 + n01, 0) > 3.841459 THEN '*' ELSE 'n.s.' END AS stars FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS n11, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n10, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS n01, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS n00 FROM labels)")
-def mcnemar(spark, sf_dir):
-    cell = lambda a, b: F.count_if((F.col("quality") == a) & (F.col("toxic") == b)).alias(f"n{a}{b}")
-    out = fx.read(spark, sf_dir, "labels").agg(cell(1, 1), cell(1, 0), cell(0, 1), cell(0, 0))
-    off, all_ = F.abs(F.col("n10") - F.col("n01")) - 1, F.col("n10") + F.col("n01")
-    out = out.withColumn("chi2", F.round(F.when(all_ > 0, F.pow(off.cast("double"), F.lit(2.0)) / all_).otherwise(0.0), 6))
-    return out.withColumn("stars", sg.stars(sg.mcnemar_p(F.col("n10"), F.col("n01"))))
-
-
 @query(
     "SELECT a, b, round(c / CAST(x.n + y.n - c AS DOUBLE), 6) AS jaccard FROM (SELECT a.example_id AS a, b.example_id AS b, count(*) AS c FROM tok a JOIN tok b ON a.topic = b.topic AND a.t = b.t AND a.example_id <> b.example_id AND b.example_id % 50 = 0 GROUP BY ALL) p JOIN tn x ON x.example_id = a JOIN tn y ON y.example_id = b",
     tok="SELECT DISTINCT example_id, topic, lower(regexp_replace(trim(concat(slot, '=', value)), '\\s+', ' ', 'g')) AS t FROM facts WHERE true",

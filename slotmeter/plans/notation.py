@@ -197,17 +197,6 @@ def streaming_error_tallies(spark, sf_dir):
     return every.groupBy("kind").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("SELECT method, example_id, neg_id, all_ok, CAST(all_ok AS DOUBLE) AS fraction FROM agree WHERE method <> 'fusion'")
-def routing_method_vectors(spark, sf_dir):
-    return routing.agreed(spark, sf_dir, ("gold", "extraction", "verification")).select("method", *v.PAIR, "all_ok", F.col("all_ok").cast("double").alias("fraction"))
-
-
-@query("SELECT topic, count(*) FILTER (WHERE take = 1) AS n_extraction, count(*) FILTER (WHERE take = 0) AS n_verification FROM (SELECT example_id, topic, CAST(max(score) >= 2.5 AS INT) AS take FROM scored GROUP BY ALL) GROUP BY topic")
-def routing_counts(spark, sf_dir):
-    top = fx.scores(spark, sf_dir).groupBy("example_id", "topic").agg((F.max("score") >= 2.5).alias("take"))
-    return top.groupBy("topic").agg(F.count_if("take").alias("n_extraction"), F.count_if(~F.col("take")).alias("n_verification"))
-
-
 @query("SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE ELSE round(0.6 * (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) END AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 50 = 0")
 def cosine_pairs(spark, sf_dir):
     """Each query (b, ids divisible by 50) with all rows of its label, itself with 1; the text part of the kernel."""
