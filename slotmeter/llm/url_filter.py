@@ -17,7 +17,7 @@ from slotmeter.llm.common import ascii_lower
 
 #: The contract's rules: (host/path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "n_params", "has_fragment", "n_hyphens", "suffix_n", "suffix_blocked", "suffix_allowed", "top_blocked", "top_allowed", "section_blocked", "section_allowed")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "n_params", "has_fragment", "n_hyphens", "suffix_n", "suffix_blocked", "suffix_allowed", "top_blocked", "top_allowed")
 #: Suffix tables of up to so many rows are broadcast (about 5 MB); larger ones are joined by key.
 BROADCAST_ROWS = 50_000
 #: Bound of the labelled sample that the trees are fitted on, and the urls that the common shares weigh in a suffix's.
@@ -67,7 +67,6 @@ def lexical(df: DataFrame) -> DataFrame:
             "n_hyphens": F.length(F.regexp_replace(host, "[^-]", "")).cast("double"),
             "suffix": F.substring_index(host, ".", -2),
             "top": F.substring_index(host, ".", -1),
-            "section": F.concat(F.substring_index(host, ".", -2), F.lit("/"), F.substring_index(F.substr("path", F.lit(2)), "/", 1)),
         }
     )
 
@@ -96,8 +95,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """id, host, path, rule (null if none fits), verdict and block_score (null where a rule decides).
 
     The trees are fitted on a hash-chosen sample of about ``max_train`` rule-decided rows; suffix
-    statistics come from all rows: how many urls have the suffix, the top-level name, or the suffix
-    with a first path segment, and which shares of them rules block and allow. A null url has empty host and path and is judged by the trees
+    statistics come from all rows: how many urls have the suffix or the top-level name, and which shares
+    of them rules block and allow. Nothing the trees see restates a rule's path. A null url has empty host and path and is judged by the trees
     like any other. Rows with repeated or null ids are judged alone. If no row is decided by a rule,
     the rest is allowed; if all decided rows agree, the rest follows them. Other columns are not read.
     """
@@ -116,7 +115,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     shares, every = (blocked / total, (n - blocked) / total), lexical(base)
 
     def features(df: DataFrame, train: bool) -> DataFrame:
-        for key in ("suffix", "top", "section"):
+        for key in ("suffix", "top"):
             df = _with_statistics(df, every, key, shares, train)
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 

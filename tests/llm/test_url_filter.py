@@ -1,7 +1,11 @@
+import math
+import re
+from collections import Counter
+
 import duckdb
 from pyspark.sql import functions as F
 
-from slotmeter.llm.url_filter import RULES, judge_urls
+from slotmeter.llm.url_filter import RULES, host_of, judge_urls, lexical, path_of
 
 SF = "/root/testdata/sf0.01"
 #: Host, path and rule of the contract in SQL.
@@ -24,16 +28,40 @@ def test_host_path_and_rule_as_in_sql(spark):
     assert all((r["verdict"] == "block") == (r["block_score"] >= 0.5) for r in rows if not r["rule"])
 
 
-def test_held_out_accuracy(spark):
-    """Ruled pages whose rule is taken away are judged by trees that did not learn from them."""
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    ruled = {r["page_id"]: r["verdict"] for r in judge_urls(pages).where("rule is not null").collect()}
-    rows = judge_urls(pages, unseen=F.coalesce(F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(5)) == 0, F.lit(False))).where("rule is null").collect()
+def accuracy(pages, ruled, unseen):
+    """(right, majority, rows) of ruled pages whose rule is taken away, judged by trees that did not learn from them."""
+    rows = judge_urls(pages, unseen=F.coalesce(unseen, F.lit(False))).where("rule is null").collect()
     got = {r["page_id"]: r["verdict"] for r in rows if r["page_id"] in ruled}
-    right = sum(got[i] == ruled[i] for i in got) / len(got)
     most = max(sum(ruled[i] == v for i in got) for v in ("allow", "block")) / len(got)
-    print("held-out accuracy", right, "majority", most, len(got))
-    assert len(got) > 100 and right > 0.95
+    return sum(got[i] == ruled[i] for i in got) / len(got), most, len(got)
+
+
+def test_held_out_accuracy_and_scores_that_differ(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    every = judge_urls(pages).collect()
+    ruled = {r["page_id"]: r["verdict"] for r in every if r["rule"]}
+    scores = {r["block_score"] for r in every if not r["rule"]}
+    by_url = accuracy(pages, ruled, F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(5)) == 0)
+    by_suffix = {x: accuracy(pages, ruled, F.substring_index("host", ".", -2) == x) for x in ("example.com", "example.net", "example.org")}
+    print("different scores", len(scores), "held-out urls", by_url, "held-out suffixes", by_suffix)
+    assert len(scores) > 10 and len(ruled) > 100
+    assert by_url[2] > 100 and by_url[0] > by_url[1] + 0.05
+
+
+def test_features_are_their_plain_versions(spark):
+    urls = ["http://a-b.c-1.example.com/x//y2/z?p=1&q=&&r#f", "x", "", "https://é.net/ü?=", "ftp://a/" + "ab" * 200, "://?#", "http://h/a?b?c&d#e?f&g"]
+    got = lexical(spark.createDataFrame([(u,) for u in urls], "url string").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})).collect()
+    for r in got:
+        u, h, p = r["url"], r["host"], r["path"]
+        query = re.match(r"(?s)[^?#]*\?([^#]*)", u)
+        n = max(len(u), 1)
+        want = {
+            "length": len(u), "host_length": len(h), "path_length": len(p), "depth": len([x for x in p.split("/") if x]), "labels": len(h.split(".")),
+            "digit_ratio": sum(c in "0123456789" for c in u) / n, "entropy": -sum(c / n * math.log2(c / n) for c in Counter(u).values()),
+            "n_params": len([x for x in (query[1] if query else "").split("&") if x]), "has_fragment": "#" in u, "n_hyphens": h.count("-"),
+        }
+        assert all(abs(r[k] - float(v)) < 1e-9 for k, v in want.items()), (u, want, r)
+        assert r["suffix"] == ".".join(h.split(".")[-2:]) and r["top"] == h.split(".")[-1]
 
 
 def test_edge_cases(spark):
