@@ -199,14 +199,15 @@ def _pairs_numbered(blocks: DataFrame, table: DataFrame, ranges: int) -> DataFra
 def _words_numbered(blocks: DataFrame, level: DataFrame) -> DataFrame:
     """(block, ids): each block's words as numbers of ``level`` (lang, phrase, id)."""
     asked = blocks.select("block", "lang", F.posexplode("words").alias("place", "phrase"))
-    found = asked.join(level.select("lang", "phrase", "id").hint("merge"), ["lang", "phrase"])
+    # every word of a block gets its number or none, so what the join gives follows the text, not how many words are frequent
+    found = asked.join(level.select("lang", "phrase", "id").hint("merge"), ["lang", "phrase"], "left")
     told = found.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
     both = blocks.select("block", "codes").join(told.hint("merge"), "block").select("block", "codes", "known.place", "known.id")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codes = unpack(batch.column(1)[0].as_py(), np.int32)[0]
-        place, known = (batch.column(k)[0].values.to_numpy(zero_copy_only=False) for k in (2, 3))
-        ids = np.full(max(int(codes.max()), int(place.max())) + 2, GAP, np.int64)
+        place, known = batch.column(2)[0].values.to_numpy(), batch.column(3)[0].values.fill_null(GAP).to_numpy()
+        ids = np.full(len(place), GAP, np.int64)
         ids[place] = known
         out = _without_long_gaps(np.where(codes >= 0, ids[codes], GAP))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(out)], pa.binary())], names=["block", "ids"])
