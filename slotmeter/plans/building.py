@@ -15,10 +15,11 @@ from slotmeter.operators import sampling as sm
 from slotmeter.operators import scorers as sc
 from slotmeter.operators import significance as sg
 from slotmeter.operators import slots
+from slotmeter.operators import units as un
 from slotmeter.operators import verify as v
 from slotmeter.operators.numbering import numbered
 from slotmeter.plans import fixtures as fx
-from slotmeter.plans import routing
+from slotmeter.plans import protocols, routing
 from slotmeter.plans.registering import registry
 from slotmeter.sources.work import folder, written
 
@@ -232,14 +233,16 @@ def score_entailment_batches(spark, sf_dir):
 
 
 #: Columns that the learnt routers see.
-INPUTS = ["top_score", "score_gap", "score_spread", "n_gold_slots", "n_lora_slots", "slot_ratio", "mean_nli_prob", "min_nli_prob", "nli_coverage", "topic_brass"]
 
 
-def router_rows(spark, sf_dir) -> DataFrame:
-    """Features, label, the cost of a wrong choice and the side of every pair, written once: statistics, fit and choice read it."""
-    features = routing.QUERIES["routing_features"](spark, sf_dir)
-    label = routing.QUERIES["routing_label"](spark, sf_dir).select("example_id", "label", (F.abs(F.col("l") - F.col("n")) + 0.1).alias("cost"))
-    return written(features.join(label, "example_id").join(routing.sides(spark, sf_dir), "example_id"))
+def router_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """(rows, inputs): features, label, the cost of a wrong choice and the side of every pair, written once; the inputs' names."""
+    features, agreed = protocols.unit_tables(spark, sf_dir)
+    topics = un.topics_of(features)
+    units = un.with_topics(features, topics).drop("topic").join(un.labels(agreed).hint("merge"), un.UNIT).where("protocol = 'pair'")
+    cost = F.abs(F.col("lora_count") - F.col("nli_count")) + 0.1
+    rows = units.withColumns({"neg_id": F.col("unit"), "cost": cost}).join(routing.sides(spark, sf_dir).hint("merge"), "example_id")
+    return written(rows), [*un.BASE, *[f"topic_{t}" for t in topics]]
 
 
 def _chosen(rows: DataFrame, router: ro.Router) -> DataFrame:
@@ -249,8 +252,8 @@ def _chosen(rows: DataFrame, router: ro.Router) -> DataFrame:
 @query(None)
 def logistic_router(spark, sf_dir):
     """Choices on test pairs, with the accuracy on dev pairs beside them."""
-    rows = router_rows(spark, sf_dir)
-    chosen = _chosen(rows, ro.logistic(rows.where("side = 'dev'"), INPUTS))
+    rows, inputs = router_rows(spark, sf_dir)
+    chosen = _chosen(rows, ro.logistic(rows.where("side = 'dev'"), inputs))
     dev = chosen.where("side = 'dev'").agg(F.round(F.avg((F.col("choice") == F.col("label")).cast("double")), 6).alias("dev_accuracy"))
     return chosen.where("side = 'test'").drop("side", "label").join(F.broadcast(dev))  # one row
 
@@ -261,8 +264,8 @@ def boosted_router(spark, sf_dir):
 
     With a fifth of the operator's default trees: these features are few.
     """
-    rows = router_rows(spark, sf_dir)
-    panel = ro.boosted_panel(rows.where("side = 'dev'"), INPUTS, "cost", [(depth, trees // 5, step) for depth, trees, step in ro.BOOSTED])
+    rows, inputs = router_rows(spark, sf_dir)
+    panel = ro.boosted_panel(rows.where("side = 'dev'"), inputs, "cost", [(depth, trees // 5, step) for depth, trees, step in ro.BOOSTED])
     name, router, accuracy = max(panel, key=lambda x: x[2])
     return _chosen(rows, router).where("side = 'test'").select(*PAIR, "choice", "p", F.lit(name).alias("router"), F.lit(round(accuracy, 6)).alias("dev_accuracy"))
 
@@ -270,8 +273,8 @@ def boosted_router(spark, sf_dir):
 @query(None)
 def save_load_router(spark, sf_dir):
     """A router's files read back give its choices: rows where both differ, and all."""
-    rows = router_rows(spark, sf_dir)
-    router, path = ro.logistic(rows.where("side = 'dev'"), INPUTS), folder(spark)
+    rows, inputs = router_rows(spark, sf_dir)
+    router, path = ro.logistic(rows.where("side = 'dev'"), inputs), folder(spark)
     router.save(spark, path)
     again = ro.load(spark, path).route(rows).select(*PAIR, F.col("choice").alias("again"))
     both = router.route(rows).join(again.hint("merge"), PAIR)
@@ -281,6 +284,6 @@ def save_load_router(spark, sf_dir):
 @query(None)
 def route_saved(spark, sf_dir):
     """A saved router applied to feature rows."""
-    rows, path = router_rows(spark, sf_dir), folder(spark)
-    ro.logistic(rows.where("side = 'dev'"), INPUTS).save(spark, path)
+    (rows, inputs), path = router_rows(spark, sf_dir), folder(spark)
+    ro.logistic(rows.where("side = 'dev'"), inputs).save(spark, path)
     return ro.load(spark, path).route(rows.where("side = 'test'")).select(*PAIR, "choice", F.round("p", 6).alias("p"))

@@ -227,40 +227,3 @@ def entailment_sweep(spark, sf_dir):
     same = [F.col(c) == F.col(f"g_{c}") for c in "sdi"]
     flags = {f"{c}_ok": x.cast("int") for c, x in zip("sdi", same, strict=True)} | {"all_ok": (same[0] & same[1] & same[2]).cast("int"), "err": F.col("g_ser") - F.col("ser")}
     return v.tally(both.withColumns(flags), [["t"]])
-
-
-@query(
-    """SELECT n.example_id, n.neg_id, sc[1] AS top_score, round(sc[1] - sc[2], 6) AS score_gap, round(sc[1] - sc[4], 6) AS score_spread, g.n AS n_gold_slots, coalesce(x.n, 0) AS n_lora_slots,
-  round(coalesce(x.n, 0) / CAST(greatest(g.n, 1) AS DOUBLE), 6) AS slot_ratio, round(p.mean_p, 6) AS mean_nli_prob, p.min_p AS min_nli_prob, round(p.cover, 6) AS nli_coverage, CAST(n.topic LIKE '%BRASS%' AS DOUBLE) AS topic_brass
-  FROM negs n JOIN scores4 s ON s.example_id = n.example_id JOIN (SELECT example_id, neg_id, count(*) AS n FROM neg_refs GROUP BY ALL) g ON g.example_id = n.example_id AND g.neg_id = n.neg_id
-  LEFT JOIN (SELECT example_id, neg_id, count(*) AS n FROM extr_m GROUP BY ALL) x ON x.example_id = n.example_id AND x.neg_id = n.neg_id
-  JOIN (SELECT example_id, neg_id, avg(prob) AS mean_p, min(prob) AS min_p, avg(CAST(prob > 0.5 AS INT)) AS cover FROM smax GROUP BY ALL) p ON p.example_id = n.example_id AND p.neg_id = n.neg_id"""
-)
-def routing_features(spark, sf_dir):
-    pairs = fx.negatives(spark, sf_dir)
-    count = lambda t, name: t.groupBy(*PAIR).agg(F.count(F.lit(1)).alias(name))
-    g = given(spark, sf_dir)
-    p = g.select(*PAIR, "slot").join(v.slot_probability(probs(spark, sf_dir), PAIR), [*PAIR, "slot"], "left").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
-    p = p.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_gold_slots"), F.round(F.avg("prob"), 6).alias("mean_nli_prob"), F.min("prob").alias("min_nli_prob"), F.round(F.avg((F.col("prob") > 0.5).cast("double")), 6).alias("nli_coverage"))
-    x = count(methods(spark, sf_dir, ("extraction",))["extraction"], "n_lora_slots")
-    s = v.score_features(fx.scores(spark, sf_dir), ["example_id"])
-    out = pairs.join(s, "example_id").join(x, PAIR, "left").join(p, PAIR, "left").fillna({"n_lora_slots": 0, "n_gold_slots": 0, "mean_nli_prob": 0.5, "min_nli_prob": 0.5, "nli_coverage": 0.0})
-    ratio = F.round(F.col("n_lora_slots") / F.greatest("n_gold_slots", F.lit(1)), 6)
-    return out.select(*PAIR, "top_score", F.round("score_gap", 6).alias("score_gap"), F.round("score_spread", 6).alias("score_spread"), "n_gold_slots", "n_lora_slots", ratio.alias("slot_ratio"), "mean_nli_prob", "min_nli_prob", "nli_coverage", F.contains("topic", F.lit("BRASS")).cast("double").alias("topic_brass"))
-
-
-@query(
-    f"""SELECT method, {_TALLY} FROM (SELECT method, s_ok, d_ok, i_ok, all_ok, err FROM agree WHERE method <> 'fusion'
-  UNION ALL SELECT 'score', s_ok, d_ok, i_ok, all_ok, err FROM agree JOIN choice USING (example_id) WHERE method = CASE WHEN take = 1 THEN 'extraction' ELSE 'verification' END
-  UNION ALL SELECT 'oracle', s_ok, d_ok, i_ok, all_ok, err FROM (SELECT *, row_number() OVER (PARTITION BY example_id, neg_id ORDER BY all_ok DESC, method) AS k FROM agree WHERE method <> 'fusion') WHERE k = 1) GROUP BY method""",
-    **_CHOICE,
-)
-def method_comparison(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = agreed(spark, sf_dir, ("gold", "extraction", "verification"))
-    top = v.score_features(fx.scores(spark, sf_dir), ["example_id"]).select("example_id", "top_score")
-    score = v.routed(rows.join(top, "example_id"), (F.col("top_score") >= 2.5).cast("int")).drop("top_score").withColumn("method", F.lit("score"))
-    w = Window.partitionBy(*PAIR).orderBy(F.desc("all_ok"), "method")
-    oracle = rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k").withColumn("method", F.lit("oracle"))
-    return v.tally(rows.unionByName(score).unionByName(oracle), [["method"]])

@@ -117,13 +117,6 @@ def span_dedupe(spark, sf_dir):
     return an.spans_shortest(spans, ["example_id"])
 
 
-@query("SELECT example_id, neg_id, count(*) FILTER (WHERE method = 'extraction' AND all_ok = 1) AS lora_correct, count(*) FILTER (WHERE method = 'verification' AND all_ok = 1) AS nli_correct FROM agree GROUP BY example_id, neg_id")
-def build_units(spark, sf_dir):
-    right = lambda m: F.count_if((F.col("method") == m) & (F.col("all_ok") == 1))
-    rows = routing.agreed(spark, sf_dir, ("gold", "extraction", "verification"))
-    return rows.groupBy(*v.PAIR).agg(right("extraction").alias("lora_correct"), right("verification").alias("nli_correct"))
-
-
 @query("SELECT p_partkey AS example_id, lower(concat('The ', p_name, ' by ', p_brand)) AS surface_form, p_brand AS manufacturer, p_size % 5 AS style FROM part")
 def preprocess_style_examples(spark, sf_dir):
     p = fx.read(spark, sf_dir, "part")
