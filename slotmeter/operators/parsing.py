@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotmeter.functions.values import listed, strip
+from slotmeter.operators.slots import parse_record
 
 
 def bracket(df: DataFrame, keys: list[str], text: str = "mr") -> DataFrame:
@@ -46,10 +47,34 @@ def dialog_topic(instruction: Column, vertical: Column) -> Column:
     return F.coalesce(F.array_join(tokens, "_"), F.replace(vertical, F.lit(" "), F.lit("_")))
 
 
-def notation(df: DataFrame, keys: list[str], text: str = "mr") -> DataFrame:
-    """(keys, form): json for an object, text for a parenthesised record, else rejected."""
+def any_record(df: DataFrame, keys: list[str], text: str = "mr") -> DataFrame:
+    """(keys, form, pos, slot, vpos, value, error): each row's record, whichever way it is written.
+
+    form: json (begins with a brace), text (a parenthesised record) or rejected. A JSON object has a slot for
+    each name, in order, with a value or a list of values (null stays null, an empty list gives a slot
+    without value, what is nested stays JSON). Rows that are neither, or no valid JSON, or that repeat a name,
+    give one row with error and no slot; a record without slots, one row with neither. Null is rejected.
+    Every row is parsed by its own form only, and rejected rows stay.
+    """
     t = strip(F.col(text))
-    return df.select(*keys, F.when(F.startswith(t, F.lit("{")), "json").when(F.contains(t, F.lit("(")), "text").otherwise("rejected").alias("form"))
+    form = F.when(F.startswith(t, F.lit("{")), "json").when(F.startswith(t, F.lit("<LIST>")) | F.contains(t, F.lit("(")), "text").otherwise("rejected")
+    read = df.select(*keys, t.alias("_t"), form.alias("form"))
+    good = F.try_parse_json("_t").isNotNull()
+    json = read.where("form = 'json'").select(*keys, "form", "_t", F.coalesce(good, F.lit(False)).alias("_good"))
+    pairs = json.where("_good").select(*keys, "form", F.posexplode_outer(F.from_json("_t", "map<string,variant>")).alias("pos", "slot", "_v"))
+    is_list = F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY"))
+    several = F.when(is_list, F.try_variant_get("_v", "$", "array<string>"))
+    values = F.when(F.size(several) > 0, several).when(is_list, F.array(F.lit(None).cast("string"))).otherwise(F.array(F.try_variant_get("_v", "$", "string")))
+    none = F.lit(None).cast("string")
+    found = pairs.select(*keys, "form", "pos", "slot", F.posexplode(values).alias("vpos", "value")).select(*keys, "form", "pos", "slot", F.when(F.col("slot").isNotNull(), F.col("vpos") + 1).alias("vpos"), "value", none.alias("error"))
+    written = read.where("form = 'text'").select(*keys, F.replace("_t", F.lit("</LIST>"), F.lit("")).alias("_t"))
+    facts = parse_record(written, keys, "_t")
+    same = [F.col(f"`{k}`") for k in keys]
+    facts = written.select(*keys).join(facts.select(*[c.alias(f"_k{i}") for i, c in enumerate(same)], "pos", "slot", "vpos", "value").hint("merge"), [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(same)], "left")
+    facts = facts.select(*keys, F.lit("text").alias("form"), "pos", "slot", "vpos", "value", none.alias("error"))
+    bad = json.where("not _good").select(*keys, "form", F.lit("not a JSON object").alias("error")).unionByName(read.where("form = 'rejected'").select(*keys, "form", F.lit("neither a JSON object nor a record").alias("error")))
+    bad = bad.select(*keys, "form", F.lit(None).cast("int").alias("pos"), none.alias("slot"), F.lit(None).cast("int").alias("vpos"), none.alias("value"), "error")
+    return found.unionByName(facts).unionByName(bad)
 
 
 #: Clitics that become tokens of their own, in this order.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotmeter.plans import core, notation, routing
 from slotmeter.plans import fixtures as fx
+from slotmeter.plans import routing
 from slotmeter.plans.registering import registry
 from slotmeter.sources.work import folder
 from slotmeter.sources import readers, writers
@@ -34,10 +37,31 @@ def read_hint_maps(spark, sf_dir):
     return readers.hint_maps(spark, [files("old maker"), files("new maker")])
 
 
-@query("SELECT DISTINCT lang AS part, source AS file FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+_PART = "CASE p_size % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END"
+
+
+@query(f"SELECT p_name AS surface_form, p_type AS topic, concat('b', p_size % 6) AS file, part FROM part p, LATERAL (SELECT {_PART} AS part UNION ALL SELECT 'prompt' AS part WHERE p_size % 6 = 5)")
 def read_manifest(spark, sf_dir):
-    parts = fx.read(spark, sf_dir, "documents").where("lang is not null and source is not null").groupBy("lang").agg(F.collect_set("source").alias("files"))
-    return readers.manifest(spark, _documents(parts.select(F.to_json(F.create_map("lang", "files")))))
+    """Examples in six files, three parts and one that shares a file, read in one scan and tagged by the manifest."""
+    place = folder(spark)
+    mr = F.to_json(F.struct(F.lit("inform").alias("dact"), F.create_map(F.lit("brand"), F.array("p_brand")).alias("slots")))
+    part = fx.read(spark, sf_dir, "part").select(F.concat(F.lit("b"), (F.col("p_size") % 6).cast("string")).alias("f"), F.struct(F.col("p_name").alias("surface_form"), mr.alias("mr"), F.col("p_type").alias("topic")).alias("e"))
+    lists = part.groupBy("f", F.pmod(F.xxhash64("e.surface_form", "e.mr"), F.lit(64))).agg(F.to_json(F.collect_list("e")).alias("value"))
+    lists.select("f", "value").write.partitionBy("f").option("maxRecordsPerFile", 1).text(f"{place}/files")
+    files = {"train": ["b0", "b3"], "dev": ["b1", "b4"], "test": ["b2", "b5"], "prompt": ["b5"]}
+    rows = spark.createDataFrame([(json.dumps({k: [f"f={x}" for x in v] for k, v in files.items()}),)], "value string")
+    found = readers.tagged_examples(spark, _documents(rows), f"{place}/files")
+    return found.select("surface_form", "topic", F.replace("file", F.lit("f="), F.lit("")).alias("file"), "part")
+
+
+@query("SELECT example_id, neg_id, CAST(row_number() OVER (PARTITION BY example_id, neg_id ORDER BY pos, vpos) - 1 AS INT) AS idx, slot, value, prob FROM probs")
+def read_keyed_entailment(spark, sf_dir):
+    """Entailment results of every pair, written as files of records and read back."""
+    triple = F.array("slot", "value", F.col("prob").cast("string"))
+    per = routing.probs(spark, sf_dir).groupBy("example_id", "neg_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vpos", triple.alias("t")))).alias("r"))
+    one = F.struct(F.col("example_id").alias("ex_idx"), F.col("neg_id").alias("neg_idx"), F.col("r.t").alias("results"))
+    parts = per.groupBy(F.pmod(F.xxhash64("example_id"), F.lit(64))).agg(F.collect_list(one).alias("records"))
+    return readers.keyed_entailment(spark, _documents(parts.select(F.to_json(F.struct("records")))))
 
 
 @query("SELECT concat('name[', p_name, '], brand[', p_brand, ']') AS mr, concat('It says \"', p_name, '\", twice') AS ref FROM part")

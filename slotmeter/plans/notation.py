@@ -109,9 +109,24 @@ def unpack_act_assign_mr(spark, sf_dir):
     return nm.act_record(rows, ["example_id"], "topic").drop("pos", "topic")
 
 
-@query("SELECT event_id, CASE WHEN starts_with(trim(props), '{') THEN 'json' WHEN props LIKE '%(%' THEN 'text' ELSE 'rejected' END AS form FROM events")
+@query(
+    """SELECT event_id, 'json' AS form, 0 AS pos, 'k' AS slot, 1 AS vpos, json_extract_string(props, '$.k') AS value, NULL AS error FROM events WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, 'json', p, s, v, x, NULL FROM (SELECT event_id, unnest([0, 1, 1, 2]) AS p, unnest(['kind', 'tags', 'tags', 'none']) AS s, unnest([1, 1, 2, 1]) AS v, unnest([event_type, event_type, '[x', NULL]) AS x FROM events WHERE event_id % 5 = 1)
+  UNION ALL SELECT event_id, 'text', p, s, v, x, NULL FROM (SELECT event_id, unnest([0, 1, 1]) AS p, unnest(['kind', 'user', 'user']) AS s, unnest([1, 1, 2]) AS v, unnest([event_type, CAST(user_id AS VARCHAR), 'x']) AS x FROM events WHERE event_id % 5 = 2)
+  UNION ALL SELECT event_id, 'json', NULL, NULL, NULL, NULL, 'not a JSON object' FROM events WHERE event_id % 5 = 3
+  UNION ALL SELECT event_id, 'rejected', NULL, NULL, NULL, NULL, 'neither a JSON object nor a record' FROM events WHERE event_id % 5 = 4"""
+)
 def parse_mr_auto(spark, sf_dir):
-    return ps.notation(fx.read(spark, sf_dir, "events").select("event_id", "props"), ["event_id"], "props")
+    """Events written in five ways, two of them wrong: the record of each row, or why it has none."""
+    way, kind = F.col("event_id") % 5, F.col("event_type")
+    text = (
+        F.when(way == 0, F.concat(F.lit("  "), "props"))
+        .when(way == 1, F.concat(F.lit('{"kind": "'), kind, F.lit('", "tags": ["'), kind, F.lit('", "[x"], "none": null}')))
+        .when(way == 2, F.concat(F.lit("<LIST>(kind: "), kind, F.lit("); (user: "), F.col("user_id").cast("string"), F.lit("; x)</LIST>")))
+        .when(way == 3, F.substr("props", F.lit(1), F.length("props") - 1))
+        .otherwise(kind)
+    )
+    return ps.any_record(fx.read(spark, sf_dir, "events").select("event_id", text.alias("mr")), ["event_id"])
 
 
 @query("SELECT p_partkey AS example_id, CASE p_size % 3 WHEN 0 THEN 'hm_viggo' WHEN 1 THEN concat('hm_rnnlg_', lower(p_type)) ELSE concat('hm_tm1_', lower(p_type)) END AS hint_map_id, CASE WHEN p_size % 2 = 0 THEN 'llm' ELSE 'seq2seq' END AS source FROM part")

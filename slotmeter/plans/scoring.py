@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.operators import scorers as sc
 from slotmeter.operators import slots
+from slotmeter.operators.selection import facility_location
 from slotmeter.operators import verify as v
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import routing
@@ -99,24 +100,6 @@ def scorer_comparison(spark, sf_dir):
     return acc.groupBy("scorer").agg(F.max(F.when(F.col("t") == 0.5, F.col("acc"))).alias("fixed_acc"), F.max_by("t", F.struct("acc", -F.col("t"))).alias("best_t"), F.max("acc").alias("best_acc"))
 
 
-def facility_location(kernel: DataFrame, k: int) -> DataFrame:
-    """(topic, place, j, gain): k candidates of each topic, chosen greedily.
-
-    kernel (topic, i, j, k): similarity of row i to candidate j. A round adds to each topic the candidate
-    with the largest sum of max(k_ij - best so far of i, 0), the smallest of equal ones; one job a round.
-    """
-    spark, picks = kernel.sparkSession, None
-    best = kernel.select("topic", "i").distinct().withColumn("best", F.lit(0.0))
-    for place in range(1, k + 1):
-        open_ = kernel if picks is None else kernel.join(F.broadcast(picks.select("topic", "j")), ["topic", "j"], "left_anti")  # k rows a topic
-        gains = open_.join(best.hint("merge"), ["topic", "i"]).groupBy("topic", "j").agg(F.round(F.sum(F.greatest(F.col("k") - F.col("best"), F.lit(0.0))), 6).alias("gain"))
-        top = written(gains.groupBy("topic").agg(F.max(F.struct("gain", -F.col("j"))).alias("m")).select("topic", F.lit(place).alias("place"), (-F.col("m.col2")).alias("j"), "m.gain"))
-        picks = top if picks is None else picks.unionByName(top)
-        chosen = kernel.join(F.broadcast(top.select("topic", "j")), ["topic", "j"]).select("topic", "i", "k")
-        best = written(best.join(chosen.hint("merge"), ["topic", "i"], "left").select("topic", "i", F.greatest("best", F.coalesce("k", F.lit(0.0))).alias("best")))
-    return picks
-
-
 @query(None)
 def facility_location_select(spark, sf_dir):
     """Three of a label's candidate vectors (ids divisible by 50) that stand best for all its vectors, by (cosine + 1) / 2."""

@@ -8,6 +8,7 @@ from slotmeter.operators import annotations as an
 from slotmeter.operators import gaps as gp
 from slotmeter.operators import naming as nm
 from slotmeter.operators import sampling as sm
+from slotmeter.operators import selection as sel
 from slotmeter.operators import slots
 from slotmeter.operators import verify as v
 from slotmeter.plans import building, core, notation, routing
@@ -54,12 +55,11 @@ def argmax_first(spark, sf_dir):
     return v.first_best(acc, ["topic"], "acc", "cand_idx")
 
 
-@query("SELECT example_id, part FROM (SELECT p_partkey AS example_id, CASE WHEN k <= 10 THEN 'dev' WHEN k <= 50 THEN 'train' WHEN k <= 130 THEN 'prompt' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat('pool|', p_partkey)), p_partkey) AS k FROM part)) WHERE part IS NOT NULL")
+@query("SELECT example_id, topic, pool FROM (SELECT p_partkey AS example_id, p_type AS topic, CASE WHEN k <= 8 THEN 'train' WHEN k <= 12 THEN 'dev' WHEN k <= 44 THEN 'train_prompts' WHEN k <= 60 THEN 'dev_prompts' WHEN k <= 65 THEN 'inference' END AS pool FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY md5(concat('pool|', p_partkey)), p_partkey) AS k FROM part)) WHERE pool IS NOT NULL")
 def select_pool(spark, sf_dir):
+    """Eight train and four dev examples of each topic, four times as many prompts, five for inference; none twice."""
     part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
-    rows = sm.ranked_in(part, ["topic"], [sm.draw("pool", "example_id"), "example_id"])
-    which = F.when(F.col("k") <= 10, "dev").when(F.col("k") <= 50, "train").when(F.col("k") <= 130, "prompt")
-    return rows.select("example_id", which.alias("part")).where("part is not null")
+    return sel.draw_pools(part, "topic", "example_id", sel.pool_sizes(8, 4), "pool")
 
 
 @query("SELECT p_partkey AS example_id, CAST(p_size % 5 = 0 AS DOUBLE) AS style_0, CAST(p_size % 5 = 1 AS DOUBLE) AS style_1, CAST(p_size % 5 = 2 AS DOUBLE) AS style_2, CAST(p_size % 5 = 3 AS DOUBLE) AS style_3, CAST(p_size % 5 = 4 AS DOUBLE) AS style_4, CAST(p_partkey % 2 = 0 AS DOUBLE) AS source_llm, CAST(p_partkey % 2 <> 0 AS DOUBLE) AS source_seq2seq FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,30 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("part", "files")).select("part", F.explode("files").alias("file"))
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as the scan names it, with one slash after the scheme."""
+    known = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(known).toUri().toString())
+
+
+def tagged_examples(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """examples() of all files of a manifest in one scan, with part and file as the manifest names them.
+
+    A row's part comes from the file that holds it; a file of several parts gives its rows to each. Files may be
+    folders of files; relative ones are under ``base``. The list of files is on the driver, which plans the scan.
+    """
+    listed = [(r["part"], r["file"]) for r in manifest(spark, path).collect()]
+    full = {f: f if re.match(r"^(/|[a-z0-9]+:)", f) or not base else f"{base.rstrip('/')}/{f}" for _, f in listed}
+    if not listed:
+        return spark.createDataFrame([], EXAMPLE + ", dact string, part string, file string")
+    names = spark.createDataFrame([(p, f, _uri(spark, full[f])) for p, f in listed], "part string, file string, uri string")
+    rows = spark.read.schema(EXAMPLE).option("multiLine", True).json(sorted(set(full.values()))).select("*", F.regexp_replace("_metadata.file_path", r"^([a-z0-9]+):/+", "$1:/").alias("held"))
+    held = rows.select("*", F.explode(F.array("held", F.regexp_replace("held", "/[^/]*$", ""))).alias("uri"))
+    slots = F.coalesce(F.get_json_object("mr", "$.slots"), F.col("mr"))
+    found = held.join(F.broadcast(names), "uri").withColumns({"dact": F.get_json_object("mr", "$.dact"), "mr": slots})  # a row for each listed file
+    return found.select(*[c.split()[0] for c in EXAMPLE.split(", ")], "dact", "part", "file")
+
+
 def corpus_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(mr, ref) of a corpus file with a header."""
     return spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("escape", '"').csv(path).select("mr", "ref")
@@ -66,6 +92,17 @@ def keyed_scores(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("ex_idx").alias("example_id"), F.col("neg_idx").alias("neg_id"), F.posexplode("pred_scores").alias("idx", "score"))
 
 
+def keyed_entailment(spark: SparkSession, path: str) -> DataFrame:
+    """(example_id, neg_id, idx, slot, value, prob) of a file of per-pair entailment results: triples of slot, value, probability.
+
+    Pairs without results are absent.
+    """
+    rows = spark.read.option("multiLine", True).schema("records array<struct<ex_idx long, neg_idx int, results array<array<string>>>>").json(path)
+    each = rows.select(F.inline("records")).select(F.col("ex_idx").alias("example_id"), F.col("neg_idx").alias("neg_id"), F.posexplode("results").alias("idx", "r"))
+    part = lambda k: F.try_element_at("r", F.lit(k))
+    return each.select("example_id", "neg_id", "idx", part(1).alias("slot"), part(2).alias("value"), part(3).try_cast("double").alias("prob"))
+
+
 def run_sweep(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """The predictions of each run's newest checkpoint under ``base``/run=<name><parameter>/checkpoint=<number>.
 

@@ -11,7 +11,7 @@ from slotmeter.operators import aligning as al
 from slotmeter.operators import parsing as ps
 from slotmeter.operators import significance as sg
 from slotmeter.operators.routers import coefficients, load, logistic
-from slotmeter.plans.scoring import facility_location
+from slotmeter.operators.selection import draw_pools, facility_location, pool_sizes
 
 RESTAURANT = [("name", "verbatim", [], [], {}), ("eatType", "categorical", [], [], {}), ("food", "food", [], [], {}), ("priceRange", "scalar", ["price", "cost"], [], {"cheap": [["low"], ["inexpensive"]]}), ("familyFriendly", "boolean", ["family", "kids"], ["adult"], {}), ("release_year", "year", [], [], {})]
 SCHEMA = "slot string, kind string, stems array<string>, antonyms array<string>, alternatives map<string, array<array<string>>>"
@@ -122,6 +122,18 @@ def test_facility_location(spark):
             assert got[t, place] == taken[-1]
 
 
+def test_pools_are_drawn_from_what_is_left(spark):
+    sizes = pool_sizes(3, 2)
+    assert sizes == [("train", 3), ("dev", 2), ("train_prompts", 12), ("dev_prompts", 8), ("inference", 5)]
+    rows = spark.range(50).select("id", F.when(F.col("id") < 40, "a").otherwise("b").alias("topic"))
+    got = draw_pools(rows, "topic", "id", sizes, "s").collect()
+    assert len({r["id"] for r in got}) == len(got) == 40 and sorted(r["pool"] for r in got if r["topic"] == "b") == ["dev"] * 2 + ["train"] * 3 + ["train_prompts"] * 5
+    assert all(sum(r["pool"] == name for r in got if r["topic"] == "a") == n for name, n in sizes)
+    kernel = spark.createDataFrame([("a", i, j, float(i % 7 == j % 7)) for i in range(40) for j in (7, 8, 9, 14)], "topic string, i long, j long, k double")
+    best = draw_pools(rows, "topic", "id", sizes, "s", kernel).collect()
+    assert {r["id"] for r in best if r["pool"] == "train"} == {7, 8, 9} and len({r["id"] for r in best}) == len(best)
+
+
 def test_saved_router(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, *map(float, x), int(x[0] - x[1] > 0.2)) for i, x in enumerate(rng.normal(size=(200, 2)))]
