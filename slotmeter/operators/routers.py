@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -69,15 +71,37 @@ def coefficients(router: Router) -> list[tuple[str, float]]:
     return sorted(found, key=lambda x: -abs(x[1]))
 
 
-def boosted_panel(rows: DataFrame, inputs: list[str], cost: str, configs=BOOSTED) -> list[tuple[str, Router, float]]:
-    """(name, router, accuracy on ``rows``) of each configuration, plain and weighted by the column ``cost``."""
+def importances(router: Router) -> list[tuple[str, float]]:
+    """Inputs and importances of a boosted router by falling size, then name."""
+    found = zip(router.inputs, router.model.stages[0].featureImportances.toArray().tolist(), strict=True)
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def boosted_panel(rows: DataFrame, inputs: list[str], cost: str, configs=BOOSTED) -> list[tuple[str, Router]]:
+    """(name, router) of each configuration, plain and weighted by the column ``cost``, fitted side by side on ``rows``.
+
+    The scaled rows are kept in memory or on disk while the fits read them; each fit is its own chain of jobs.
+    """
     base, table, _, _ = _prepared(rows, inputs)
+    table = table.select("features", F.col("_row.label").cast("double").alias("label"), F.lit(1.0).alias("plain"), F.col(f"_row.{cost}").cast("double").alias("weighted")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(one: tuple) -> tuple[str, Router]:
+        (depth, trees, step), kind = one
+        fitted = GBTClassifier(weightCol=kind, maxDepth=depth, maxIter=trees, stepSize=step, seed=42).fit(table)
+        return f"depth {depth}, {trees} trees, step {step}, {kind}", Router(PipelineModel([fitted]), inputs, base.means, base.deviations)
+
+    wanted = [(c, kind) for c in configs for kind in ("plain", "weighted")]
+    try:
+        with ThreadPoolExecutor(len(wanted)) as pool:
+            return list(pool.map(fit, wanted))
+    finally:
+        table.unpersist()
+
+
+def panel_accuracy(panel: list[tuple[str, Router]], rows: DataFrame, side: str = "side") -> list[tuple[str, Router, dict[str, float]]]:
+    """(name, router, accuracy by side) of each router of a panel."""
     out = []
-    for depth, trees, step in configs:
-        for kind, weight in (("plain", F.lit(1.0)), ("weighted", F.col(f"_row.{cost}").cast("double"))):
-            train = table.select("features", F.col("_row.label").cast("double").alias("label"), weight.alias("weight"))
-            fitted = GBTClassifier(weightCol="weight", maxDepth=depth, maxIter=trees, stepSize=step, seed=42).fit(train)
-            router = Router(PipelineModel([fitted]), inputs, base.means, base.deviations)
-            right = router.route(rows).agg(F.avg((F.col("choice") == F.col("label")).cast("double"))).head()[0]
-            out.append((f"depth {depth}, {trees} trees, step {step}, {kind}", router, right))
+    for name, router in panel:
+        found = router.route(rows).groupBy(side).agg(F.avg((F.col("choice") == F.col("label")).cast("double")).alias("acc")).collect()  # a row for each side
+        out.append((name, router, {r[side]: r["acc"] for r in found}))
     return out
