@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from slotmeter.functions.values import strip
 
-#: Words that mean yes or no, and values that say nothing.
-POSITIVE = ("yes", "true", "1", "has_internet", "accepts_credit_cards", "pets_allowed", "has_usb_port", "on_steam", "business_oriented", "family-friendly", "child_friendly")
+#: Words that mean no, and values that say nothing.
 NEGATIVE = ("no", "false", "0", "no_internet", "no_credit_cards", "no_pets_allowed", "no_usb_port", "not_on_steam", "not_business_oriented", "not-family-friendly", "not_child_friendly")
 DONTCARE = ("dontcare", "dont_care", "none")
 #: Prefixes that a readable slot name leaves out, one of each line.

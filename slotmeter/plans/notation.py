@@ -14,6 +14,7 @@ from slotmeter.plans import core, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
 from slotmeter.sources.work import folder
+from slotmeter.streaming import tallies as tl
 
 QUERIES, ORACLES, query = registry()
 
@@ -191,25 +192,11 @@ _TYPES = {"sums": "SELECT unnest(['S', 'D', 'I', 'repetition']) AS kind, unnest(
 
 @query("SELECT kind, n FROM sums WHERE n > 0", **_TYPES)
 def streaming_error_tallies(spark, sf_dir):
-    """Running counts of substitutions, deletions, insertions and repetitions over a stream of compared slots.
-
-    The stream reads files as they come; each micro-batch gives the new totals, which foreachBatch
-    writes as files under the batch's number, so nothing is held on the driver and a repeated batch
-    overwrites itself. Here it runs to the end of what is there; the newest totals are the result.
-    """
+    """Running counts of substitutions, deletions, insertions and repetitions over a stream of compared slots, to the end of what is there."""
     place = folder(spark)
     compared = core.joined(spark, sf_dir).select("kind", (F.size("pred_vals") > F.size("ref_vals")).alias("more"))
     compared.write.parquet(f"{place}/in")
-    stream = spark.readStream.schema(compared.schema).parquet(f"{place}/in")
-    kinds = F.array_compact(F.array(F.when(F.col("kind") != "M", F.col("kind")), F.when(F.col("more"), F.lit("repetition"))))
-    counted = stream.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-    def keep(totals, number: int) -> None:
-        totals.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
-
-    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.schema("kind string, n long, batch long").parquet(f"{place}/out")
-    return every.groupBy("kind").agg(F.max_by("n", "batch").alias("n"))
+    return tl.running_totals(tl.error_kinds(spark.readStream.schema(compared.schema).parquet(f"{place}/in")), "kind", place)
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE ELSE round(0.6 * (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) END AS k FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 50 = 0")
