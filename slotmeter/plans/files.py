@@ -11,7 +11,7 @@ from slotmeter.plans import core, notation, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import routing
 from slotmeter.plans.registering import registry
-from slotmeter.sources.work import folder
+from slotmeter.sources.work import folder, written
 from slotmeter.sources import readers, writers
 
 QUERIES, ORACLES, query = registry()
@@ -107,11 +107,16 @@ def write_metric_tsv(spark, sf_dir):
     return spark.read.option("header", True).option("sep", "\t").csv(path)
 
 
-@query("SELECT example_id, cand_idx, s, d, i FROM sers")
+@query("SELECT example_id, cand_idx, s, d, i, CAST(round(mean, 6) AS DOUBLE) AS mean_ser, 0.5::DOUBLE AS threshold FROM sers JOIN (SELECT cand_idx, avg(ser) AS mean FROM sers GROUP BY cand_idx) USING (cand_idx)")
 def write_details_json(spark, sf_dir):
+    """Decision records and a summary object, written and read back, each record beside its candidate's summary."""
     path = folder(spark)
-    writers.details_json(core.counts(spark, sf_dir).select("example_id", "cand_idx", "s", "d", "i"), path)
-    return spark.read.schema("example_id long, cand_idx int, s long, d long, i long").json(path)
+    counts = written(core.counts(spark, sf_dir).select("example_id", "cand_idx", "s", "d", "i", "ser"))
+    summary = counts.groupBy("cand_idx").agg(F.round(F.avg("ser"), 6).alias("mean_ser"))
+    writers.details_with_summary(counts.drop("ser"), summary, path, threshold=0.5)
+    told = spark.read.schema("threshold double, summary array<struct<cand_idx:int,mean_ser:double>>").json(f"{path}/summary").select("threshold", F.inline("summary"))
+    rows = spark.read.schema("example_id long, cand_idx int, s long, d long, i long").json(f"{path}/examples")
+    return rows.join(told.hint("merge"), "cand_idx").select("example_id", "cand_idx", "s", "d", "i", "mean_ser", "threshold")
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")

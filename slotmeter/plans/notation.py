@@ -13,6 +13,7 @@ from slotmeter.operators import verify as v
 from slotmeter.plans import core, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
+from slotmeter.sources import writers
 from slotmeter.sources.work import folder
 from slotmeter.streaming import tallies as tl
 
@@ -160,11 +161,33 @@ def subset_filter(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr")).select("doc_id", "lang")
 
 
-@query("SELECT example_id, concat(string_agg(concat(slot, '[', array_to_string(vals, ', '), ']'), ', ' ORDER BY pos)) AS mr, '' AS has_error, '' AS error_details FROM refs GROUP BY example_id")
+_TASKS = {"tasks": """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'llm' ELSE 'seq2seq' END AS source, concat('run', p_size % 3) AS experiment, concat('style', p_size % 5) AS style, mr, concat('The ', p_name, ' by ', p_brand, '.') AS text
+  FROM part JOIN (SELECT example_id, string_agg(concat(slot, '[', array_to_string(vals, ', '), ']'), ', ' ORDER BY pos) AS mr FROM refs GROUP BY example_id) r ON r.example_id = p_partkey"""}
+
+
+def _tasks(spark, sf_dir):
+    record = fx.references(spark, sf_dir).groupBy("example_id").agg(F.collect_list(F.struct("pos", "slot", "vals")).alias("record"))
+    name = lambda prefix, n: F.concat(F.lit(prefix), (F.col("p_size") % n).cast("string"))
+    text = F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit("."))
+    part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.when(F.col("p_size") % 2 == 0, "llm").otherwise("seq2seq").alias("source"), name("run", 3).alias("experiment"), name("style", 5).alias("style"), text.alias("text"))
+    return part.join(record.hint("merge"), "example_id").select(F.col("example_id").alias("id"), "source", "experiment", "style", writers.readable_record().alias("mr"), "text")
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, source, experiment, style, mr, text, NULL AS has_error, NULL AS error_details FROM tasks", **_TASKS)
 def export_annotation_tasks(spark, sf_dir):
-    one = F.concat("slot", F.lit("["), F.array_join("vals", ", "), F.lit("]"))
-    rows = fx.references(spark, sf_dir).groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("t")))).alias("v"))
-    return rows.select("example_id", F.array_join("v.t", ", ").alias("mr"), F.lit("").alias("has_error"), F.lit("").alias("error_details"))
+    """Worklists with tabs and empty answers, written and read back."""
+    path = folder(spark)
+    _tasks(spark, sf_dir).withColumns({"has_error": F.lit(""), "error_details": F.lit("")}).write.option("sep", "\t").option("header", True).csv(path)
+    return spark.read.option("header", True).option("sep", "\t").csv(path)
+
+
+@query("SELECT id, concat('=== ID: ', id, ' ===', chr(10), 'Source: ', source, ' | Experiment: ', experiment, ' | Personality: ', style, chr(10), chr(10), 'MR: ', mr, chr(10), chr(10), 'Generated text:', chr(10), text, chr(10), chr(10), 'Has error (YES/NO): ______', chr(10), 'Error details: ______', chr(10), chr(10), '===', chr(10)) AS block FROM tasks", **_TASKS)
+def export_annotation_blocks(spark, sf_dir):
+    """The same worklists as blocks of text, written, read back as whole files and taken apart."""
+    path = folder(spark)
+    writers.worklist_text(_tasks(spark, sf_dir), path)
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)(?<=^===\n)\n")).alias("block")).where("block <> ''")
+    return blocks.select(F.regexp_extract("block", r"^=== ID: (\d+) ===", 1).cast("long").alias("id"), "block")
 
 
 @query("SELECT example_id, vpos, CASE WHEN w LIKE '%fe' THEN w[:-3] || 'ves' WHEN w LIKE '%f' THEN w[:-2] || 'ves' WHEN w LIKE '%o' THEN w || 'es' WHEN w LIKE '%us' THEN w[:-3] || 'i' WHEN w LIKE '%on' THEN w[:-3] || 'a' WHEN w LIKE '%y' THEN w[:-2] || 'ies' WHEN regexp_matches(w, '(s|x|sh|ch)$') THEN w || 'es' WHEN w LIKE '%an' THEN w[:-3] || 'en' ELSE w || 's' END AS plural FROM (SELECT example_id, vpos, lower(value) AS w FROM facts WHERE slot = 'traits')")

@@ -10,11 +10,12 @@ from slotmeter.operators import naming as nm
 from slotmeter.operators import sampling as sm
 from slotmeter.operators import selection as sel
 from slotmeter.operators import slots
+from slotmeter.operators import units as un
 from slotmeter.operators import verify as v
-from slotmeter.plans import building, core, notation, routing
+from slotmeter.plans import building, core, notation, protocols, routing
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans.registering import registry
-from slotmeter.sources import readers
+from slotmeter.sources import readers, writers
 
 QUERIES, ORACLES, query = registry()
 
@@ -124,11 +125,17 @@ def preprocess_style_examples(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("example_id"), text.alias("surface_form"), F.col("p_brand").alias("manufacturer"), (F.col("p_size") % 5).alias("style"))
 
 
-@query("SELECT example_id, neg_id, printf('%.6f', top_score) AS top_score, printf('%.6f', top_score - sc[2]) AS score_gap FROM (SELECT n.example_id, n.neg_id, sc[1] AS top_score, sc FROM negs n JOIN scores4 s ON s.example_id = n.example_id)")
+_COLUMNS = ["top_score", "score_gap", "score_spread", "n_gold_slots", "n_lora_slots", "slot_ratio", "mean_nli_prob", "min_nli_prob", "nli_coverage"]
+
+
+@query("SELECT CAST(example_id AS VARCHAR) AS example_id, CAST(unit AS VARCHAR) AS neg_id, CAST(label AS VARCHAR) AS label, CAST(lora_count AS VARCHAR) AS lora_correct, CAST(nli_count AS VARCHAR) AS nli_correct, " + ", ".join(f"printf('%.6f', {c}) AS {c}" for c in _COLUMNS) + " FROM ufeats JOIN ulabels USING (protocol, example_id, unit) WHERE protocol = 'pair'", **protocols._UNITS)
 def write_feature_table(spark, sf_dir):
-    s = v.score_features(fx.scores(spark, sf_dir), ["example_id"])
-    rows = fx.negatives(spark, sf_dir).join(s, "example_id")
-    return rows.select(*v.PAIR, *[F.format_string("%.6f", c).alias(c) for c in ("top_score", "score_gap")])
+    """The features and labels of all pairs as a table with tabs and six digits, in key order, read back."""
+    features, agreed = protocols.unit_tables(spark, sf_dir)
+    rows = features.join(un.labels(agreed).hint("merge"), un.UNIT).where("protocol = 'pair'")
+    path = building.folder(spark)
+    writers.feature_tsv(rows.select("example_id", F.col("unit").alias("neg_id"), "label", F.col("lora_count").alias("lora_correct"), F.col("nli_count").alias("nli_correct"), *_COLUMNS), path, ["example_id", "neg_id"])
+    return spark.read.option("header", True).option("sep", "\t").csv(path)
 
 
 #: A published table to compare with, by topic.
