@@ -31,7 +31,7 @@ def gold_counts(every: DataFrame, errors: DataFrame, sizes: DataFrame, keys: lis
     """(keys, s, d, i, n_ref, ser) from annotated errors and record sizes."""
     n = lambda t: F.count_if(F.col("type") == t).alias(t.lower())
     counted = errors.groupBy(*keys).agg(n("S"), n("D"), n("I"))
-    out = every.select(*keys).join(counted, keys, "left").join(sizes, keys, "left").fillna(0, ["s", "d", "i", "n_ref"])
+    out = every.select(*keys).join(counted.hint("merge"), keys, "left").join(sizes.hint("merge"), keys, "left").fillna(0, ["s", "d", "i", "n_ref"])
     return out.withColumn("ser", F.round((F.col("s") + F.col("d") + F.col("i")).cast("double") / F.greatest("n_ref", F.lit(1)), 6))
 
 

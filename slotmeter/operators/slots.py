@@ -65,14 +65,14 @@ def slot_join(pred: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:
     p = pred.select(*on, F.col("vals").alias("pred_vals"), F.col("canon").alias("p"))
     r = ref.select(*on, F.col("vals").alias("ref_vals"), F.col("canon").alias("r"))
     kind = F.when(F.col("p").isNull(), "D").when(F.col("r").isNull(), "I").when(value_equal(F.col("p"), F.col("r")), "M").otherwise("S")
-    return p.join(r, on, "full_outer").select(*on, kind.alias("kind"), "pred_vals", "ref_vals")
+    return p.join(r.hint("merge"), on, "full_outer").select(*on, kind.alias("kind"), "pred_vals", "ref_vals")
 
 
 def error_counts(every: DataFrame, joined: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, s, d, i, m, n_ref, ser) for every key, also those without any slot."""
     n = lambda kinds: F.count_if(F.col("kind").isin(*kinds))
     counted = joined.groupBy(*keys).agg(*[n(k).alias(k.lower()) for k in "SDIM"])
-    out = every.select(*keys).join(counted, keys, "left").fillna(0, ["s", "d", "i", "m"])
+    out = every.select(*keys).join(counted.hint("merge"), keys, "left").fillna(0, ["s", "d", "i", "m"])
     out = out.withColumn("n_ref", F.col("s") + F.col("d") + F.col("m"))
     return out.withColumn("ser", F.round((F.col("s") + F.col("d") + F.col("i")).cast("double") / F.greatest("n_ref", F.lit(1)), 6))
 

@@ -33,7 +33,7 @@ def slot_probability(probs: DataFrame, keys: list[str]) -> DataFrame:
 def fuse(extracted: DataFrame, given: DataFrame, probability: DataFrame, keys: list[str], reject: float = 0.15, add: float = 0.5) -> DataFrame:
     """Keep an extracted slot at ``reject`` or more, add a missing one at ``add`` or more, pass slots outside the record."""
     x = extracted.select(*keys, "slot", F.col("vals").alias("xv"), F.col("canon").alias("xc"))
-    g = given.select(*keys, "slot", F.col("vals").alias("gv"), F.col("canon").alias("gc")).join(probability, [*keys, "slot"], "left").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
+    g = given.select(*keys, "slot", F.col("vals").alias("gv"), F.col("canon").alias("gc")).join(probability.hint("merge"), [*keys, "slot"], "left").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
     both = x.join(g, [*keys, "slot"], "full_outer")
     keep = F.col("gv").isNull() | (F.col("xv").isNotNull() & (F.col("prob") >= reject)) | (F.col("xv").isNull() & (F.col("prob") >= add))
     return both.where(keep).select(*keys, "slot", F.coalesce("xv", "gv").alias("vals"), F.when(F.col("xv").isNotNull(), F.col("xc")).otherwise(F.col("gc")).alias("canon"))
@@ -50,13 +50,13 @@ def method_counts(pairs: DataFrame, methods: dict[str, DataFrame], given: DataFr
     ref = given.select(*PAIR, "slot", "vals", "canon", F.explode(F.array(*map(F.lit, names))).alias("method"))
     keys = [*PAIR, "method"]
     counted = slots.error_counts(every, slots.slot_join(pred, ref, keys), keys)
-    return counted.join(pairs.select(*PAIR, "topic"), PAIR)
+    return counted.join(pairs.select(*PAIR, "topic").hint("merge"), PAIR)
 
 
 def agreement(counts: DataFrame) -> DataFrame:
     """(pair, topic, method, s_ok, d_ok, i_ok, all_ok, err, label) of each method against method 'gold'."""
     gold = counts.where("method = 'gold'").select(*PAIR, *[F.col(c).alias(f"g_{c}") for c in ("s", "d", "i", "ser")])
-    both = counts.where("method <> 'gold'").join(gold, PAIR)
+    both = counts.where("method <> 'gold'").join(gold.hint("merge"), PAIR)
     same = {c: F.col(c) == F.col(f"g_{c}") for c in "sdi"}
     flags = {f"{c}_ok": same[c].cast("int") for c in "sdi"} | {"all_ok": (same["s"] & same["d"] & same["i"]).cast("int")}
     out = both.withColumns(flags | {"err": F.col("g_ser") - F.col("ser"), "label": grade_ser(F.col("g_ser"))})

@@ -48,7 +48,7 @@ def fusion_sweep(spark, sf_dir):
     x = routing.methods(spark, sf_dir, ("extraction",))["extraction"].select(*PAIR, "slot", F.col("canon").alias("xc"))
     g = routing.given(spark, sf_dir).select(*PAIR, "slot", F.col("canon").alias("gc"))
     p = v.slot_probability(routing.probs(spark, sf_dir), PAIR)
-    state = x.join(g.join(p, [*PAIR, "slot"], "left"), [*PAIR, "slot"], "full_outer").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
+    state = x.join(g.join(p.hint("merge"), [*PAIR, "slot"], "left"), [*PAIR, "slot"], "full_outer").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
     hx, hg = F.col("xc").isNotNull(), F.col("gc").isNotNull()
     same = F.coalesce(value_equal(F.col("xc"), F.col("gc")), F.lit(False))
     grid = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a")) for r in range(1, 6) for a in range(3, 8)])
@@ -161,7 +161,7 @@ def fewshot_attach(spark, sf_dir):
 def build_prompt_column(spark, sf_dir):
     mr = slots.write_record(fx.references(spark, sf_dir), ["example_id"])
     text = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.concat(F.lit("The "), "p_name", F.lit(" by "), "p_brand").alias("text"))
-    return text.join(mr, "example_id").select("example_id", F.concat(F.lit("Text:\n"), "text", F.lit("\nMR:\n"), "mr", F.lit("\nScore:\n")).alias("prompt"))
+    return text.join(mr.hint("merge"), "example_id").select("example_id", F.concat(F.lit("Text:\n"), "text", F.lit("\nMR:\n"), "mr", F.lit("\nScore:\n")).alias("prompt"))
 
 
 @query(None)

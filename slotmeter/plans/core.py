@@ -50,7 +50,7 @@ def canon_value_loose(spark, sf_dir):
 @query(f"SELECT p.example_id, p.cand_idx, p.slot, {fx.equal_sql('p', 'r')} AS same FROM preds p JOIN refs r ON p.example_id = r.example_id AND p.slot = r.slot")
 def value_equal(spark, sf_dir):
     p, r = fx.predictions(spark, sf_dir), fx.references(spark, sf_dir).select("example_id", "slot", F.col("canon").alias("other"))
-    return p.join(r, ["example_id", "slot"]).select("example_id", "cand_idx", "slot", values.value_equal(F.col("canon"), F.col("other")).alias("same"))
+    return p.join(r.hint("merge"), ["example_id", "slot"]).select("example_id", "cand_idx", "slot", values.value_equal(F.col("canon"), F.col("other")).alias("same"))
 
 
 @query("""SELECT doc_id, trim(split_part(split_part(concat('Q### Response:', chr(10), text), concat('### Response:', chr(10)), 2), '</LIST>', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer
@@ -86,7 +86,7 @@ def ser_counts(spark, sf_dir):
     both = joined(spark, sf_dir)
     named = both.where("kind <> 'M'").groupBy("example_id", "cand_idx").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(":"), "slot"))), ",").alias("errors"))
     counted = slots.error_counts(fx.scores(spark, sf_dir), both, KEYS)
-    return counted.join(named, ["example_id", "cand_idx"], "left").select("example_id", "cand_idx", "s", "d", "i", "n_ref", "ser", "errors")
+    return counted.join(named.hint("merge"), ["example_id", "cand_idx"], "left").select("example_id", "cand_idx", "s", "d", "i", "n_ref", "ser", "errors")
 
 
 @query("SELECT example_id, cand_idx, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, f1 FROM prf")
@@ -181,7 +181,7 @@ def _legacy(spark, sf_dir):
     """Reference values beside the predicted values of their slot."""
     p = fx.predictions(spark, sf_dir).select("example_id", "cand_idx", "slot", F.col("vals").alias("pred_vals"))
     r = _wanted(spark, sf_dir).select("example_id", "cand_idx", "slot", F.col("vals").alias("ref_vals"))
-    return r.join(p, ["example_id", "cand_idx", "slot"], "left")
+    return r.join(p.hint("merge"), ["example_id", "cand_idx", "slot"], "left")
 
 
 #: The punctuation that is taken off the edges of reference values.
@@ -200,7 +200,7 @@ _LEGACY = {"leg": "SELECT r.example_id, r.cand_idx, r.slot, r.vals AS ref_vals,
 @query("SELECT p.slot, count(*) AS n FROM preds p WHERE p.slot IN ('extra', 'name') AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.example_id = p.example_id AND r.slot = p.slot) GROUP BY p.slot")
 def legacy_hallucination(spark, sf_dir):
     wanted = fx.predictions(spark, sf_dir).where(F.col("slot").isin("extra", "name"))
-    return wanted.join(fx.references(spark, sf_dir), ["example_id", "slot"], "left_anti").groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(fx.references(spark, sf_dir).hint("merge"), ["example_id", "slot"], "left_anti").groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT slot, sum(n)::BIGINT AS n FROM (SELECT slot, count(*) AS n FROM leg WHERE pred_vals IS NULL GROUP BY slot UNION ALL SELECT slot, count(*) AS n FROM legv WHERE pred_vals IS NOT NULL AND NOT ({_SQL_AFFIX}) GROUP BY slot) GROUP BY slot", **_LEGACY)

@@ -104,7 +104,7 @@ def stratified_split(spark, sf_dir):
 def pair_split(spark, sf_dir):
     part = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), F.col("p_type").alias("topic"))
     side = sm.split(part, ["topic"], 0.5, "split", "example_id").select("example_id", "side")
-    return fx.negatives(spark, sf_dir).join(side, "example_id").select("example_id", "neg_id", "side")
+    return fx.negatives(spark, sf_dir).join(side.hint("merge"), "example_id").select("example_id", "neg_id", "side")
 
 
 @query(
@@ -195,7 +195,7 @@ def slot_multiset_diff(spark, sf_dir):
     a = fx.facts(spark, sf_dir).groupBy("example_id", "slot").agg(F.count(F.lit(1)).alias("n"))
     b = fx.candidates(spark, sf_dir).where("cand_idx = 0").groupBy("example_id", "slot").agg(F.count(F.lit(1)).alias("m"))
     left = F.col("n") - F.coalesce("m", F.lit(0))
-    return a.join(b, ["example_id", "slot"], "left").select("example_id", "slot", left.alias("missing")).where("missing > 0")
+    return a.join(b.hint("merge"), ["example_id", "slot"], "left").select("example_id", "slot", left.alias("missing")).where("missing > 0")
 
 
 @query("SELECT topic, slot, value, count(*) AS n FROM facts GROUP BY ALL")

@@ -65,7 +65,7 @@ _AGREE = {"bothm": "SELECT m.example_id, m.topic, m.cand_idx % 2 AS method, p.p_
 def _both(spark, sf_dir):
     m = core.counts(spark, sf_dir).where("cand_idx < 2").select("example_id", (F.col("cand_idx") % 2).cast("long").alias("method"), *[F.col(c).alias(f"m{c}") for c in ("s", "d", "i", "ser")])
     style = fx.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("example_id"), (F.col("p_size") % 5).alias("style"), F.when(F.col("p_size") % 2 == 0, "llm").otherwise("seq2seq").alias("source"))
-    return m.join(gold(spark, sf_dir), "example_id").join(style, "example_id")
+    return m.join(gold(spark, sf_dir).hint("merge"), "example_id").join(style.hint("merge"), "example_id")
 
 
 @query("SELECT method, source, style, count(*) AS n, round(avg(CAST(ms = s AS INT)), 6) AS s_acc, round(avg(CAST(md = d AS INT)), 6) AS d_acc, round(avg(CAST(mi = i AS INT)), 6) AS i_acc, round(avg(CAST(ms = s AND md = d AND mi = i AS INT)), 6) AS all_acc, round(avg(abs(mser - ser)), 6) AS ser_mae FROM bothm GROUP BY GROUPING SETS ((method), (method, source), (method, style))", **_NOTES, **_AGREE)
@@ -230,6 +230,6 @@ def cosine_pairs(spark, sf_dir):
     e = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"), norm.alias("norm"))
     a, b = e.select("label", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), e.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = a.join(b, "label").where("a is not null")
+    both = a.join(b.hint("merge"), "label").where("a is not null")
     k = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round(0.6 * (dot / (F.col("na") * F.col("nb")) + 1) / 2, 5))
     return both.select("a", "b", k.alias("k"))

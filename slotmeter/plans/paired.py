@@ -58,7 +58,7 @@ _EXACT = "least(1.0, list_sum(list_filter(list_transform(range(0, d + 1), lambda
 
 
 @query(
-    f"""SELECT method_a, method_b, n, a_acc, b_acc, both_correct, a_only, b_only, both_wrong, d AS n_discordant, round(chi2, 6) AS statistic, round(p, 6) AS p_value, round(e, 6) AS p_exact,
+    f"""SELECT method_a, method_b, n, a_acc, b_acc, both_correct, a_only, b_only, both_wrong, d AS n_discordant, round(chi2, 6) AS statistic, round(p, 6) + 0.0 AS p_value, round(e, 6) + 0.0 AS p_exact,
   CASE WHEN e < 0.001 THEN '***' WHEN e < 0.01 THEN '**' WHEN e < 0.05 THEN '*' ELSE 'n.s.' END AS stars
   FROM (SELECT *, CASE WHEN d = 0 THEN 1.0 WHEN d < 25 THEN {_EXACT} ELSE p END AS e FROM (SELECT *, {_P} AS p FROM cells))""",
     **_VECTORS,

@@ -19,12 +19,12 @@ PAIR = v.PAIR
 def given(spark, sf_dir):
     """Slot tables of the pairs' own records."""
     r = fx.references(spark, sf_dir).select(F.col("example_id").alias("source_id"), "slot", "pos", "vals", "is_list", "canon")
-    return fx.negatives(spark, sf_dir).join(r, "source_id")
+    return fx.negatives(spark, sf_dir).join(r.hint("merge"), "source_id")
 
 
 def probs(spark, sf_dir):
     f = fx.facts(spark, sf_dir).select(F.col("example_id").alias("source_id"), "pos", "slot", "vpos", "value")
-    both = fx.negatives(spark, sf_dir).join(f, "source_id")
+    both = fx.negatives(spark, sf_dir).join(f.hint("merge"), "source_id")
     return both.withColumn("prob", ((F.col("example_id") * 31 + F.col("pos") * 17) % 100).cast("double") / 100)
 
 
@@ -33,9 +33,9 @@ def methods(spark, sf_dir, which=("gold", "extraction", "verification", "fusion"
     made = {}
     refs = fx.references(spark, sf_dir)
     best = v.best_candidate(fx.scores(spark, sf_dir), ["example_id"]).select("example_id", "cand_idx")
-    extraction = pairs.join(fx.predictions(spark, sf_dir).join(best, ["example_id", "cand_idx"]), "example_id")
+    extraction = pairs.join(fx.predictions(spark, sf_dir).join(best.hint("merge"), ["example_id", "cand_idx"]).hint("merge"), "example_id")
     if "gold" in which:
-        made["gold"] = pairs.join(refs, "example_id")
+        made["gold"] = pairs.join(refs.hint("merge"), "example_id")
     if "extraction" in which:
         made["extraction"] = extraction
     if "verification" in which:
@@ -62,7 +62,7 @@ def best_candidate_by_score(spark, sf_dir):
 def first_or_earliest_best(spark, sf_dir):
     out = v.best_candidate(fx.scores(spark, sf_dir), ["example_id"], latest=False)
     first = fx.scores(spark, sf_dir).groupBy("example_id").agg(F.min("cand_idx").alias("first_idx"))
-    return out.join(first, "example_id")
+    return out.join(first.hint("merge"), "example_id")
 
 
 @query("SELECT example_id, cand_idx, f1 FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY f1 DESC, cand_idx DESC) AS k FROM prf) WHERE k = 1")
@@ -90,8 +90,8 @@ def score_features(spark, sf_dir):
 @query("SELECT example_id, neg_id, source_id, slot FROM (SELECT n.example_id, n.neg_id, n.source_id, p.slot FROM negs n JOIN best b ON b.example_id = n.example_id JOIN preds p ON p.example_id = b.example_id AND p.cand_idx = b.cand_idx)")
 def pair_expand(spark, sf_dir):
     best = v.best_candidate(fx.scores(spark, sf_dir), ["example_id"]).select("example_id", "cand_idx")
-    chosen = fx.predictions(spark, sf_dir).join(best, ["example_id", "cand_idx"]).select("example_id", "slot")
-    return fx.negatives(spark, sf_dir).join(chosen, "example_id").select(*PAIR, "source_id", "slot")
+    chosen = fx.predictions(spark, sf_dir).join(best.hint("merge"), ["example_id", "cand_idx"]).select("example_id", "slot")
+    return fx.negatives(spark, sf_dir).join(chosen.hint("merge"), "example_id").select(*PAIR, "source_id", "slot")
 
 
 #: The fixtures' slots under names that have sentences; the others read by their own names.
@@ -124,7 +124,7 @@ def entailment_map_back(spark, sf_dir):
     scored = probs(spark, sf_dir).where("example_id % 3 <> 0")
     text = F.concat("slot", F.lit("="), "value", F.lit(":"), F.round(F.col("prob") * 100).cast("int").cast("string"))
     grouped = scored.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("pos", "vpos", text.alias("t")))).alias("v"))
-    out = fx.negatives(spark, sf_dir).select(*PAIR).join(grouped, PAIR, "left")
+    out = fx.negatives(spark, sf_dir).select(*PAIR).join(grouped.hint("merge"), PAIR, "left")
     return out.select(*PAIR, F.coalesce(F.size("v"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join("v.t", "|"), F.lit("")).alias("results"))
 
 
@@ -168,7 +168,7 @@ _CHOICE = {"choice": "SELECT example_id, CAST(max(score) >= 2.5 AS INT) AS take
 def evaluate_decisions(spark, sf_dir):
     rows = agreed(spark, sf_dir, ("gold", "extraction", "verification"))
     top = v.score_features(fx.scores(spark, sf_dir), ["example_id"]).select("example_id", "top_score")
-    return v.tally(v.routed(rows.join(top, "example_id"), (F.col("top_score") >= 2.5).cast("int")), [[], ["topic"]])
+    return v.tally(v.routed(rows.join(top.hint("merge"), "example_id"), (F.col("top_score") >= 2.5).cast("int")), [[], ["topic"]])
 
 
 #: Score thresholds of the routing sweep.
@@ -223,7 +223,7 @@ def entailment_sweep(spark, sf_dir):
     found = v.recover(probs(spark, sf_dir).select("*", grid), keys, F.col("t"))
     counted = slots.error_counts(pairs.select(*PAIR, grid), slots.slot_join(found, given(spark, sf_dir).select("*", grid), keys), keys)
     gold = v.method_counts(pairs, methods(spark, sf_dir, ("gold",)), given(spark, sf_dir)).select(*PAIR, *[F.col(c).alias(f"g_{c}") for c in ("s", "d", "i", "ser")])
-    both = counted.join(gold, PAIR)
+    both = counted.join(gold.hint("merge"), PAIR)
     same = [F.col(c) == F.col(f"g_{c}") for c in "sdi"]
     flags = {f"{c}_ok": x.cast("int") for c, x in zip("sdi", same, strict=True)} | {"all_ok": (same[0] & same[1] & same[2]).cast("int"), "err": F.col("g_ser") - F.col("ser")}
     return v.tally(both.withColumns(flags), [["t"]])

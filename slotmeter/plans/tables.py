@@ -45,7 +45,7 @@ def duplicate_mentions(spark, sf_dir):
     from pyspark.sql import Window
 
     shared = F.count(F.lit(1)).over(Window.partitionBy("example_id", "value"))
-    both = fx.facts(spark, sf_dir).withColumn("n", shared).join(building._surface(spark, sf_dir), "example_id")
+    both = fx.facts(spark, sf_dir).withColumn("n", shared).join(building._surface(spark, sf_dir).hint("merge"), "example_id")
     found = F.regexp_count("text", F.concat(F.lit(r"\b\Q"), F.lower("value"), F.lit(r"\E\b")))
     return both.select("example_id", "slot", "vpos", ((found > 1) & (F.col("n") == 1)).alias("duplicate"))
 
@@ -89,7 +89,7 @@ def pool_mr_build(spark, sf_dir):
 def annotation_left_join(spark, sf_dir):
     n = an.parse_errors(notation.notes(spark, sf_dir), ["example_id"], "note").groupBy("example_id").agg(F.count(F.lit(1)).alias("n"))
     count = F.coalesce("n", F.lit(0))
-    return notation.notes(spark, sf_dir).join(n, "example_id", "left").select("example_id", count.alias("n_errors"), (count > 0).alias("has_error"))
+    return notation.notes(spark, sf_dir).join(n.hint("merge"), "example_id", "left").select("example_id", count.alias("n_errors"), (count > 0).alias("has_error"))
 
 
 #: Domain names that stand for schemas.
@@ -104,7 +104,7 @@ def resolve_domain(spark, sf_dir):
 @query("SELECT example_id, CASE slot WHEN 'brand' THEN 'manufacturer' ELSE slot END AS slot, CASE WHEN slot = 'large' AND vals[1] = 'yes' THEN 'is large' ELSE vals[1] END AS value FROM preds JOIN best USING (example_id, cand_idx)")
 def best_mr_native_first(spark, sf_dir):
     best = v.best_candidate(fx.scores(spark, sf_dir), ["example_id"]).select("example_id", "cand_idx")
-    rows = fx.predictions(spark, sf_dir).join(best, ["example_id", "cand_idx"]).select("example_id", "slot", "vals")
+    rows = fx.predictions(spark, sf_dir).join(best.hint("merge"), ["example_id", "cand_idx"]).select("example_id", "slot", "vals")
     return nm.native_first(rows, {"brand": "manufacturer"}, {("large", "yes"): "is large"})
 
 
