@@ -36,3 +36,10 @@ def test_jaccard_pairs_shuffle_no_pairs_and_keep_copies_and_ids_of_two_topics(sp
     got = found.collect()
     assert len(got) == len(shared) and {(r["a"], r["b"]): r["jaccard"] for r in got} == {(a, b): round(c / (size[a] + size[b] - c), 6) for (a, b), c in shared.items()}
     assert "hashpartitioning(a#" not in plan(registry.QUERIES["jaccard_pairs"](spark, SF))
+
+
+def test_examples_are_dealt_to_tasks_before_they_become_facts(spark, monkeypatch):
+    monkeypatch.setattr(fx, "EXAMPLES", 20)
+    assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() < 10
+    assert fx.facts(spark, SF).rdd.getNumPartitions() == 10 and fx.candidates(spark, SF).rdd.getNumPartitions() == 10
+    assert "hashpartitioning(example_id#" in plan(fx.predictions(spark, SF)) and plan(fx.predictions(spark, SF)).count("Exchange") == 1
