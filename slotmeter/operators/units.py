@@ -8,7 +8,7 @@ routers and reports are written once, with ``protocol`` and ``unit`` (the record
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotmeter.operators import verify as v
@@ -20,19 +20,25 @@ BASE = ["top_score", "score_gap", "score_spread", "n_gold_slots", "n_lora_slots"
 MOST_TOPICS = 1000
 
 
-def features(scores: DataFrame, seen: DataFrame, extracted: DataFrame, probs: DataFrame) -> DataFrame:
-    """(UNIT, BASE): scores (UNIT, cand_idx, score), slots seen and extracted (UNIT, slot), probabilities (UNIT, slot, value, pos, vpos, prob).
+def features(scores: Column, seen: Column, extracted: Column) -> list[Column]:
+    """BASE, from a unit's scores (score, ..) from the best on, slots seen with their probabilities (slot, prob, ..), and its extracted record.
 
-    A unit is one that has scores. Seen slots without a probability count as 0.5; without seen slots mean
-    and least are 0.5 and coverage 0.
+    Without seen slots mean and least probability are 0.5 and coverage 0; gap and spread are 0 for a single candidate.
     """
-    known = seen.select(*UNIT, "slot").join(v.slot_probability(probs, UNIT).hint("merge"), [*UNIT, "slot"], "left").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
-    told = known.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_gold_slots"), F.avg("prob").alias("mean_nli_prob"), F.min("prob").alias("min_nli_prob"), F.avg((F.col("prob") > 0.5).cast("double")).alias("nli_coverage"))
-    found = extracted.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_lora_slots"))
-    out = v.score_features(scores, UNIT).join(told.hint("merge"), UNIT, "left").join(found.hint("merge"), UNIT, "left")
-    out = out.fillna({"n_gold_slots": 0, "n_lora_slots": 0, "mean_nli_prob": 0.5, "min_nli_prob": 0.5, "nli_coverage": 0.0})
-    out = out.withColumn("slot_ratio", F.col("n_lora_slots") / F.greatest("n_gold_slots", F.lit(1)))
-    return out.select(*UNIT, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in BASE])
+    top, probs, n, m = F.element_at(scores, 1)["score"], seen["prob"], F.size(seen), F.size(extracted)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / n
+    made = {
+        "top_score": top,
+        "score_gap": F.coalesce(top - F.try_element_at(scores, F.lit(2))["score"], F.lit(0.0)),
+        "score_spread": top - F.element_at(scores, -1)["score"],
+        "n_gold_slots": n,
+        "n_lora_slots": m,
+        "slot_ratio": m / F.greatest(n, F.lit(1)),
+        "mean_nli_prob": F.when(n > 0, mean(probs)).otherwise(0.5),
+        "min_nli_prob": F.coalesce(F.array_min(probs), F.lit(0.5)),
+        "nli_coverage": F.when(n > 0, mean(F.transform(probs, lambda p: (p > 0.5).cast("double")))).otherwise(0.0),
+    }
+    return [F.round(made[c].cast("double"), 6).alias(c) for c in BASE]
 
 
 def topics_of(rows: DataFrame, column: str = "topic") -> list[str]:

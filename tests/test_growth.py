@@ -43,3 +43,16 @@ def test_examples_are_dealt_to_tasks_before_they_become_facts(spark, monkeypatch
     assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() < 10
     assert fx.facts(spark, SF).rdd.getNumPartitions() == 10 and fx.candidates(spark, SF).rdd.getNumPartitions() == 10
     assert "hashpartitioning(example_id#" in plan(fx.predictions(spark, SF)) and plan(fx.predictions(spark, SF)).count("Exchange") == 1
+
+
+def test_agreement_counts_in_the_pairs_row_what_slot_joins_count(spark):
+    """Packed records against slot tables, and no row of a slot in the plan's shuffles."""
+    from slotmeter.operators import verify as v
+    from slotmeter.plans import routing
+
+    pairs = fx.negatives(spark, SF)
+    want = v.agreement(v.method_counts(pairs, routing.methods(spark, SF), routing.given(spark, SF)))
+    found = routing.agreed(spark, SF)
+    got = found.select(want.columns)
+    assert want.count() == got.count() == 3 * pairs.count() and want.exceptAll(got).isEmpty()
+    assert "slot#" not in "".join(x for x in plan(found).splitlines() if "Exchange" in x)
