@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from slotmeter.llm.langid import ByteGru, fit_languages, identify
+from slotmeter.llm.langid import ByteGru, count_words, fit_languages, identify
 from slotmeter.llm.queries import QUERIES
 
 
@@ -61,3 +61,20 @@ def test_gradients_are_right():
             down = loss()
             flat[k] += 1e-5
             assert abs((up - down) / 2e-5 - grad[name].reshape(-1)[k]) < 1e-4
+
+
+def test_every_word_and_every_labelled_text_counts(spark):
+    """What tells three languages apart stands at one place of long texts; the threshold is that of all whole texts."""
+    own = {"aa": "kuku baba dudu gaga", "bb": "xixi zeze vivi sese", "cc": "mol tor nol por"}
+    rows = [(f"{'lorem ' * (3000 + 7 * k)}{words} {'ipsum ' * (2000 - 9 * k)}", lang) for lang, words in own.items() for k in range(60)]
+    table = spark.createDataFrame([*rows, ("x" * 300, "cc"), (None, "aa"), ("kuku", None)], "text string, lang string")
+    counted = {(r["lang"], bytes(r["word"]).decode()): r["n"] for r in count_words(table.where("text is not null and lang is not null")).collect()}
+    assert counted["aa", "kuku"] == 60 and counted["aa", "lorem"] == sum(3000 + 7 * k for k in range(60))
+    assert counted["cc", "x" * 128] == 2 and counted["cc", "x" * 44] == 1 and ("aa", "xixi") not in counted
+    model = fit_languages(table)
+    asked = spark.createDataFrame([(lang, words) for lang, words in own.items()], "doc_id string, text string")
+    assert all(r["doc_id"] == r["lang_pred"] for r in identify(asked, model).collect())
+    scores = sorted(r["score"] for r in identify(table.where("text is not null and lang is not null").selectExpr("1 as doc_id", "text"), model).collect())
+    assert abs(model.least - 0.8 * scores[int(0.005 * len(scores))]) < 1e-4
+    again = fit_languages(table.repartition(7), threshold=False)
+    assert np.allclose(model.packed(), again.packed(), atol=1e-5)
