@@ -10,6 +10,7 @@ from slotmeter.operators import gaps as gp
 from slotmeter.operators import aligning as al
 from slotmeter.operators import negatives as ng
 from slotmeter.operators import parsing as ps
+from slotmeter.operators import records as rc
 from slotmeter.operators import routers as ro
 from slotmeter.operators import sampling as sm
 from slotmeter.operators import scorers as sc
@@ -45,22 +46,20 @@ def fusion_sweep(spark, sf_dir):
 
     n_confirm is the number of confirm thresholds above the reject threshold; the best pair is chosen on dev examples.
     """
-    x = routing.methods(spark, sf_dir, ("extraction",))["extraction"].select(*PAIR, "slot", F.col("canon").alias("xc"))
-    g = routing.given(spark, sf_dir).select(*PAIR, "slot", F.col("canon").alias("gc"))
-    p = v.slot_probability(routing.probs(spark, sf_dir), PAIR)
-    state = x.join(g.join(p.hint("merge"), [*PAIR, "slot"], "left"), [*PAIR, "slot"], "full_outer").withColumn("prob", F.coalesce("prob", F.lit(0.5)))
-    hx, hg = F.col("xc").isNotNull(), F.col("gc").isNotNull()
-    same = F.coalesce(value_equal(F.col("xc"), F.col("gc")), F.lit(False))
-    grid = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a")) for r in range(1, 6) for a in range(3, 8)])
-    each = state.select(*PAIR, hx.alias("hx"), hg.alias("hg"), "prob", same.alias("same"), F.inline(grid))
-    tr, ta = F.col("r") / 10, F.col("a") / 10
-    low = F.when(F.col("hx"), F.col("prob") < tr).otherwise(F.col("prob") < ta)
-    counts = each.groupBy("r", "a", *PAIR).agg(F.count_if(F.expr("hx and hg and not same") & (F.col("prob") >= tr)).alias("s"), F.count_if(F.col("hg") & low).alias("d"), F.count_if(F.expr("hx and not hg")).alias("i"))
-    gold = v.method_counts(fx.negatives(spark, sf_dir), routing.methods(spark, sf_dir, ("gold",)), routing.given(spark, sf_dir)).select(*PAIR, *[F.col(c).alias(f"g_{c}") for c in "sdi"])
-    ok = (F.col("s") == F.col("g_s")) & (F.col("d") == F.col("g_d")) & (F.col("i") == F.col("g_i"))
-    both = counts.join(gold.hint("merge"), PAIR).join(routing.sides(spark, sf_dir).hint("merge"), "example_id")
-    acc = lambda side: F.round(F.avg(F.when(F.col("side") == side, ok.cast("double"))), 6).alias(f"{side}_acc")
-    out = both.groupBy("r", "a").agg(acc("dev"), acc("test"))
+    rejects, adds = range(1, 6), range(3, 8)
+    records = routing.source_records(spark, sf_dir, routing.best_records(spark, sf_dir), routing.sides(spark, sf_dir).select("example_id", "side"))
+    source = records.select(F.col("example_id").alias("source_id"), F.col("gold").alias("given"), "facts")
+    rows = fx.negatives(spark, sf_dir).join(source.hint("merge"), "source_id").select("example_id", "given", rc.with_probability(F.col("given"), F.col("facts"), fx.prob).alias("probable"))
+    rows = rows.drop("given").join(records.where("side is not null").select("example_id", "gold", "side", rc.filled(F.col("extraction")).alias("x")).hint("merge"), "example_id")
+    rows = rows.select("side", F.size("x").alias("nx"), rc.counted(F.col("gold"), F.col("probable")).alias("g"), rc.meetings(F.col("x"), F.col("probable")).alias("m"))
+    wrong, lost, never, more = rc.fusion_counts(F.col("nx"), F.col("m"), [r / 10 for r in rejects], [a / 10 for a in adds])
+    counts = [c.alias(f"s{r}") for r, c in zip(rejects, wrong, strict=True)] + [c.alias(f"d{r}") for r, c in zip(rejects, lost, strict=True)] + [c.alias(f"e{a}") for a, c in zip(adds, never, strict=True)]
+    rows = rows.select("side", "g", more.alias("i"), *counts)
+    ok = lambda r, a: (F.array(F.col(f"s{r}"), F.col(f"d{r}") + F.col(f"e{a}"), F.col("i")) == F.col("g")).cast("double")
+    acc = lambda side, r, a: F.round(F.avg(F.when(F.col("side") == side, ok(r, a))), 6).alias(f"{side}{r}{a}")
+    points = [(r, a) for r in rejects for a in adds]
+    told = rows.agg(F.count(F.lit(1)).alias("n"), *[acc(side, r, a) for side in ("dev", "test") for r, a in points]).where("n > 0")
+    out = told.select(F.inline(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a"), F.col(f"dev{r}{a}").alias("dev_acc"), F.col(f"test{r}{a}").alias("test_acc")) for r, a in points])))
     n = F.size(F.filter(F.array(*map(F.lit, CONFIRM)), lambda c: c > F.col("r"))).cast("long")
     best = F.row_number().over(Window.orderBy(F.desc("dev_acc"), "r", "a")) == 1  # 25 rows
     return out.select("r", "a", "dev_acc", "test_acc", n.alias("n_confirm"), best.cast("int").alias("best"))
