@@ -2,6 +2,8 @@
 
 from itertools import permutations
 
+import numpy as np
+
 from slotmeter.plans import fixtures as fx
 from slotmeter.plans import registry
 
@@ -65,3 +67,36 @@ def test_sweeps_count_in_the_pairs_row(spark):
         shuffles = [x for x in plan(found).splitlines() if "Exchange" in x]
         assert shuffles and not any("slot#" in x or "hashpartitioning(r#" in x or "hashpartitioning(t#" in x for x in shuffles)
         assert "Generate" not in "".join(plan(found).split("Exchange hashpartitioning(example_id")[1:])
+
+
+def test_facility_location_stores_no_kernel(spark, tmp_path, monkeypatch):
+    """Few cells and many choose the same, as brute force does; tables between steps have a row a topic, never a row a pair."""
+    from slotmeter.operators import selection as sel
+    from slotmeter.plans import scoring
+
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i // 3 % 2 if i % 9 else None) for i in range(600)]
+    odd = [(1000, [0.0] * 4, 0), (1050, None, 0), (1100, [1.0, float("nan"), 0.0, 0.0], 1), (1101, [1.0, None, 0.0, 0.0], 1)]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want, sizes = {}, []
+    for t in (0, 1):
+        ids = np.array([i for i, _, label in rows if label == t])
+        x = np.array([v for _, v, label in rows if label == t], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        js = [n for n, i in enumerate(ids) if i % 50 == 0]
+        k = np.round((x @ x[js].T + 1) / 2, 9)
+        best, taken = np.zeros(len(ids)), []
+        for place in range(1, 4):
+            gain = [-1 if j in taken else round(np.maximum(k[:, j] - best, 0).sum(), 6) for j in range(len(js))]
+            taken.append(int(np.argmax(gain)))
+            best = np.maximum(best, k[:, taken[-1]])
+            want[t, place] = (int(ids[js[taken[-1]]]), max(gain))
+    for module in (sel, scoring):
+        if hasattr(module, "written"):
+            monkeypatch.setattr(module, "written", lambda df, write=module.written: (lambda t: sizes.append(t.count()) or t)(write(df)))
+    for block in (7, 2048):
+        monkeypatch.setattr(sel.facility_location_of_vectors, "__defaults__", (block,))
+        got = {(r["topic"], r["place"]): (r["j"], r["gain"]) for r in scoring.facility_location_select(spark, str(tmp_path)).collect()}
+        assert {at: j for at, (j, _) in got.items()} == {at: j for at, (j, _) in want.items()}
+        assert all(abs(gain - want[at][1]) < 2e-6 for at, (_, gain) in got.items())
+    assert sizes and max(sizes) <= 2
