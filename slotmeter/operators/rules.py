@@ -19,6 +19,10 @@ from slotmeter.operators import aligning as al
 from slotmeter.operators.parsing import normal_text, normal_tokens, tokenize
 
 _FACT = "struct<pos:int,slot:string,value:string>"
+#: Texts among which equal ones with equal records are looked at once; no more keys than these are held in a row.
+CHUNK = 2_000_000
+#: Texts of a task; a small file of them, or few different ones, would else be one task.
+TEXTS = 20_000
 _MASKED = "array<struct<pos:int,slot:string,value:string,at:int,duplicate:boolean>>"
 #: Words that divide a list written as prose.
 DIVIDERS = (",", "and", "or", "with")
@@ -112,13 +116,17 @@ def find_by_rules(texts: DataFrame, facts: DataFrame, rules: DataFrame, keys: li
     for: '?'); rules: by rule_table, of bounded size. Topics without a family are not looked at. In
     games a slot's trailing digits go, and 'da' entries are acts, not slots. A duplicate is a value that stands
     more than once, unless its slot or value is repeated in the record. Offsets are zero-based characters of
-    the normal text with names masked.
+    the normal text with names masked. Equal texts of a topic with equal records are looked at once in each
+    ``CHUNK`` of them, and every key gets its rows.
     """
     family = F.create_map(*[F.lit(x) for pair in FAMILY.items() for x in pair])
     names = F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), al.texts(*v))])
     known = texts.select(*keys, "topic", "text", F.try_element_at(family, F.col("topic")).alias("family")).where("family is not null")
     record = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "slot", F.coalesce("value", F.lit("?")).alias("value")))).alias("record"))
-    both = known.join(record.hint("merge"), keys)
+    n_texts = known.count()
+    chunk, tasks = F.pmod(F.xxhash64(*keys), F.lit(n_texts // CHUNK + 1)).alias("chunk"), max(known.sparkSession.sparkContext.defaultParallelism, -(-n_texts // TEXTS))
+    alike = known.join(record.hint("merge"), keys).groupBy(chunk, "topic", "family", "text", "record")
+    both, keys = alike.agg(F.collect_list(F.struct(*keys)).alias("same")).repartition(tasks, "chunk", "text", "record"), ["same"]
     games, acts = F.col("family") == "games", F.col("family") == "acts"
     as_game = F.transform(F.filter("record", lambda r: r["slot"] != "da"), lambda r: F.struct(r["pos"].alias("pos"), F.regexp_replace(r["slot"], r"^<\|(.*?)\|>$", "$1").alias("slot"), normal_value(r["value"], F.lit(False)).alias("value")))
     text = F.when(acts, normal_act_text(F.col("text"))).otherwise(normal_text(F.col("text")))
@@ -169,7 +177,8 @@ def find_by_rules(texts: DataFrame, facts: DataFrame, rules: DataFrame, keys: li
     at = F.coalesce("f.at", "special", F.when(fall, verbatim["pos"]).otherwise(F.col("ruled")))
     twice = F.when(F.col("f.at").isNotNull(), F.col("f.duplicate")).otherwise(fall & verbatim["duplicate"] & (F.col("same_slot") == 1))
     twice = twice & F.when(F.col("f.value") == "", F.col("n_acts") <= 1).otherwise(F.col("same_value") == 1)
-    return each.select(*keys, "topic", "f.pos", "f.slot", F.col("f.value").alias("value"), at.alias("at"), F.coalesce(twice, F.lit(False)).alias("duplicate"))
+    told = each.select(*keys, "topic", "f.pos", "f.slot", F.col("f.value").alias("value"), at.alias("at"), F.coalesce(twice, F.lit(False)).alias("duplicate"))
+    return told.select(F.inline("same"), "topic", "pos", "slot", "value", "at", "duplicate")
 
 
 def text_errors(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,6 +65,20 @@ def test_errors_per_text(spark):
     assert ru.find_by_rules(texts.limit(0), facts, ru.rule_table(spark), ["id"]).count() == 0
 
 
+def test_equal_texts_are_looked_at_once_and_every_key_has_its_rows(spark, monkeypatch):
+    cases = [c[:3] for c in CASES] * 3 + [(CASES[0][0], CASES[0][1], CASES[2][2])]
+    texts, facts = tables(spark, cases)
+    monkeypatch.setattr(ru, "CHUNK", 20)
+    found = ru.find_by_rules(texts, facts, ru.rule_table(spark), ["id"])
+    assert any("text#" in x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r["id"], Counter())[tuple(r)[1:]] += 1
+    n = len(CASES)
+    assert set(rows) == set(range(3 * n + 1)) and all(rows[k] == rows[k + n] == rows[k + 2 * n] for k in range(n))
+    assert sum(rows[3 * n].values()) == len(CASES[2][2]) and all(sum(rows[k].values()) == sum(s != "da" for s, _ in CASES[k][2]) for k in range(n))
+
+
 def masked(text, record, names):
     left, out = Counter(v for _, v in record), {}
     for k, (slot, value) in sorted(enumerate(record), key=lambda x: -len(x[1][1])):
