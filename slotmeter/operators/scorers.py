@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotmeter.sources.work import written
+
 
 def _batched(distinct: DataFrame, fn: Callable[[pd.DataFrame], list], out: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,6 +64,26 @@ def embed(texts: DataFrame, embedder, column: str = "text") -> DataFrame:
     return made.select("text", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
 
 
+#: Rows among which a pair of texts is looked up once.
+CHUNK = 200_000
+
+
+def similarities(pairs: DataFrame, embedder) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``similarity``, the cosine of their texts; 0 where a text is null. Each distinct text is embedded once.
+
+    Rows are dealt to chunks of about ``CHUNK``. A chunk asks once for each of its texts and pairs, and all joins are
+    by chunk, so a text that very many rows have is never one task; vectors meet distinct pairs only, not rows.
+    """
+    rows, own = written(pairs), pairs.columns
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*own), F.lit(rows.count() // CHUNK + 1)))
+    asked = written(dealt.where("a is not null and b is not null").select("chunk", "a", "b").distinct())
+    texts = asked.select("chunk", F.explode(F.array("a", "b")).alias("text")).distinct()
+    told = written(texts.join(written(embed(texts, embedder)).hint("merge"), "text"))
+    named = lambda c: told.select("chunk", F.col("text").alias(c), F.col("vector").alias(f"v{c}")).hint("merge")
+    found = asked.join(named("a"), ["chunk", "a"]).join(named("b"), ["chunk", "b"]).select("chunk", "a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
+    return dealt.join(found.hint("merge"), ["chunk", "a", "b"], "left").select(*own, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """The cosine of two unit vectors."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

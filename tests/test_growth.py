@@ -100,3 +100,27 @@ def test_facility_location_stores_no_kernel(spark, tmp_path, monkeypatch):
         assert {at: j for at, (j, _) in got.items()} == {at: j for at, (j, _) in want.items()}
         assert all(abs(gain - want[at][1]) < 2e-6 for at, (_, gain) in got.items())
     assert sizes and max(sizes) <= 2
+
+
+def test_a_frequent_text_is_no_hot_key_and_every_row_has_its_similarity(spark, monkeypatch):
+    """Joins of rows are by chunk and pair, not by a text; each distinct text is embedded once."""
+    from slotmeter.operators import scorers as sc
+
+    found = registry.QUERIES["embed_texts"](spark, SF)
+    shuffles = [x for x in plan(found).splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffles and all("chunk#" in x for x in shuffles)
+    monkeypatch.setattr(sc, "CHUNK", 30)
+    texts = ["yes", "", None, "abc", "cab", "xyz"]
+    rows = [(i, "yes" if i % 3 else texts[i % 6], texts[i // 6 % 6]) for i in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def letters(batch):
+        seen.add(len(batch))
+        return [[float(t.count(c)) for c in "abcyes"] for t in batch]
+
+    got = {r["id"]: r["similarity"] for r in sc.similarities(spark.createDataFrame(rows, "id long, a string, b string"), letters).collect()}
+    vector = lambda t: np.array([t.count(c) for c in "abcyes"], float)
+    norm = lambda t: 0.0 if t is None else np.linalg.norm(vector(t))
+    want = {i: vector(a) @ vector(b) / norm(a) / norm(b) if norm(a) and norm(b) else 0.0 for i, a, b in rows}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert seen.value == 5
