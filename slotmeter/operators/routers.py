@@ -13,8 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotmeter.sources.work import written
+
 #: Configurations of the boosted panel: depth, trees, step.
 BOOSTED = ((3, 100, 0.1), (4, 150, 0.1), (3, 200, 0.05))
+#: Distinct rows of a task while trees are fitted; each level of each tree is a job of as many tasks.
+ROWS = 50_000
 
 
 @dataclass
@@ -77,13 +81,23 @@ def importances(router: Router) -> list[tuple[str, float]]:
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
+def grouped(rows: DataFrame, inputs: list[str], *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(inputs, label, ``by``, n, sums): rows with equal inputs and label as one, with their number and the sums of other columns."""
+    keys = [F.col(f"`{c}`") for c in (*inputs, "label", *by)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+
+
 def boosted_panel(rows: DataFrame, inputs: list[str], cost: str, configs=BOOSTED) -> list[tuple[str, Router]]:
     """(name, router) of each configuration, plain and weighted by the column ``cost``, fitted side by side on ``rows``.
 
-    The scaled rows are kept in memory or on disk while the fits read them; each fit is its own chain of jobs.
+    Rows with equal inputs and label have equal gradients in every round, so they are fitted as one row that weighs what
+    they weigh together; no row is left out. These rows are written once, dealt to no more tasks than they need and kept in
+    memory or on disk while the fits read them; each fit is its own chain of jobs.
     """
-    base, table, _, _ = _prepared(rows, inputs)
-    table = table.select("features", F.col("_row.label").cast("double").alias("label"), F.lit(1.0).alias("plain"), F.col(f"_row.{cost}").cast("double").alias("weighted")).persist(StorageLevel.MEMORY_AND_DISK)
+    base, _, _, _ = _prepared(rows, inputs)
+    kinds = written(grouped(rows, inputs, cost))
+    table = base._scaled(kinds).select("features", F.col("_row.label").cast("double").alias("label"), F.col("_row.n").cast("double").alias("plain"), F.col(f"_row.{cost}").cast("double").alias("weighted"))
+    table = table.repartition(-(-kinds.count() // ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(one: tuple) -> tuple[str, Router]:
         (depth, trees, step), kind = one
@@ -99,9 +113,13 @@ def boosted_panel(rows: DataFrame, inputs: list[str], cost: str, configs=BOOSTED
 
 
 def panel_accuracy(panel: list[tuple[str, Router]], rows: DataFrame, side: str = "side") -> list[tuple[str, Router, dict[str, float]]]:
-    """(name, router, accuracy by side) of each router of a panel."""
-    out = []
+    """(name, router, accuracy by side) of each router of a panel; rows with equal inputs and label are scored once."""
+    out, kinds = [], {}
     for name, router in panel:
-        found = router.route(rows).groupBy(side).agg(F.avg((F.col("choice") == F.col("label")).cast("double")).alias("acc")).collect()  # a row for each side
+        at = tuple(router.inputs)
+        if at not in kinds:
+            kinds[at] = written(grouped(rows, router.inputs, by=(side,)))
+        right = F.sum(F.when(F.col("choice") == F.col("label"), F.col("n")).otherwise(0))
+        found = router.route(kinds[at]).groupBy(side).agg((right / F.sum("n")).alias("acc")).collect()  # a row for each side
         out.append((name, router, {r[side]: r["acc"] for r in found}))
     return out

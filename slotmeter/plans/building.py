@@ -47,10 +47,10 @@ def fusion_sweep(spark, sf_dir):
     n_confirm is the number of confirm thresholds above the reject threshold; the best pair is chosen on dev examples.
     """
     rejects, adds = range(1, 6), range(3, 8)
-    records = routing.source_records(spark, sf_dir, routing.best_records(spark, sf_dir), routing.sides(spark, sf_dir).select("example_id", "side"))
-    source = records.select(F.col("example_id").alias("source_id"), F.col("gold").alias("given"), "facts")
-    rows = fx.negatives(spark, sf_dir).join(source.hint("merge"), "source_id").select("example_id", "given", rc.with_probability(F.col("given"), F.col("facts"), fx.prob).alias("probable"))
-    rows = rows.drop("given").join(records.where("side is not null").select("example_id", "gold", "side", rc.filled(F.col("extraction")).alias("x")).hint("merge"), "example_id")
+    records = routing.source_records(spark, sf_dir, routing.sides(spark, sf_dir).select("example_id", "side"))
+    source = records.select(F.col("example_id").alias("source_id"), rc.with_last(F.col("gold"), F.col("facts")).alias("slots"))
+    rows = fx.negatives(spark, sf_dir).join(source.hint("merge"), "source_id").select("example_id", rc.probable(F.col("slots"), fx.prob).alias("probable"))
+    rows = rows.join(records.where("side is not null").select("example_id", "gold", "side", rc.filled(F.col("extraction")).alias("x")).hint("merge"), "example_id")
     rows = rows.select("side", F.size("x").alias("nx"), rc.counted(F.col("gold"), F.col("probable")).alias("g"), rc.meetings(F.col("x"), F.col("probable")).alias("m"))
     wrong, lost, never, more = rc.fusion_counts(F.col("nx"), F.col("m"), [r / 10 for r in rejects], [a / 10 for a in adds])
     counts = [c.alias(f"s{r}") for r, c in zip(rejects, wrong, strict=True)] + [c.alias(f"d{r}") for r, c in zip(rejects, lost, strict=True)] + [c.alias(f"e{a}") for a, c in zip(adds, never, strict=True)]
@@ -236,12 +236,9 @@ def score_entailment_batches(spark, sf_dir):
 
 def router_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     """(rows, inputs): features, label, the cost of a wrong choice and the side of every pair, written once; the inputs' names."""
-    features, agreed = protocols.unit_tables(spark, sf_dir)
-    topics = un.topics_of(features)
-    units = un.with_topics(features, topics).drop("topic").join(un.labels(agreed).hint("merge"), un.UNIT).where("protocol = 'pair'")
+    units, topics = protocols.pair_units(spark, sf_dir, routing.sides(spark, sf_dir))
     cost = F.abs(F.col("lora_count") - F.col("nli_count")) + 0.1
-    rows = units.withColumns({"neg_id": F.col("unit"), "cost": cost}).join(routing.sides(spark, sf_dir).hint("merge"), "example_id")
-    return written(rows), [*un.BASE, *[f"topic_{t}" for t in topics]]
+    return written(un.with_topics(units.withColumn("cost", cost), topics)), [*un.BASE, *[f"topic_{t}" for t in topics]]
 
 
 def _chosen(rows: DataFrame, router: ro.Router) -> DataFrame:

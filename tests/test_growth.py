@@ -124,3 +124,25 @@ def test_a_frequent_text_is_no_hot_key_and_every_row_has_its_similarity(spark, m
     want = {i: vector(a) @ vector(b) / norm(a) / norm(b) if norm(a) and norm(b) else 0.0 for i, a, b in rows}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
     assert seen.value == 5
+
+
+def test_packed_examples_are_the_slot_tables_made_in_the_examples_row(spark, tmp_path):
+    """Records, candidates' records and facts of odd values, ids that repeat and null topics; one shuffle, no row of a candidate in it."""
+    from pyspark.sql import functions as F
+
+    from slotmeter.operators import records as rc
+
+    names = ["red bolt", "a, b", "x and y", "  Yes. ", "'no'", "", None, "solo", "new zzz"]
+    rows = [(i, names[i % 9], f"Brand#{i % 4}" if i % 5 else None, f"T{i % 3}" if i % 7 else None, i % 60) for i in range(200)]
+    folder = parts(spark, tmp_path, rows + [(50, "old nut", "Brand#9", "T1", 30), (51, "old nut", "Brand#9", "T0", 31), (51, "old pin", "Brand#8", "T0", 31)])
+    made = fx.packed_examples(spark, folder)
+    assert plan(made).count("Exchange") == 1
+    sets = lambda df, keys, c: df.select(*keys, F.explode(c).alias("x")).groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    topics, both = made.select("example_id", F.inline("topics")).drop("facts"), ["example_id", "cand_idx"]
+    for got, want, keys in (
+        (sets(topics, ["example_id", "topic"], "gold"), rc.packed(fx.references(spark, folder), ["example_id", "topic"], "x"), ["example_id", "topic"]),
+        (sets(topics.select("example_id", F.inline("cands")), both, "record"), rc.packed(fx.predictions(spark, folder), both, "x"), both),
+        (sets(made, ["example_id"], "facts"), rc.packed_facts(fx.facts(spark, folder), ["example_id"], "x"), ["example_id"]),
+    ):
+        want = want.select(*keys, F.sort_array("x").alias("x"))
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
