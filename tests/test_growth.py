@@ -146,3 +146,39 @@ def test_packed_examples_are_the_slot_tables_made_in_the_examples_row(spark, tmp
     ):
         want = want.select(*keys, F.sort_array("x").alias("x"))
         assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_sets_meet_queries_in_cells_of_bounded_size(spark, monkeypatch):
+    """Many small cells find what one finds, as brute force does; lists of ids are cut, and no cell holds a whole topic."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from slotmeter.operators import overlaps as ov
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        ts = sorted({f"t{x}" for x in rng.integers(0, 12, size=k % 4)})
+        rows.append((f"T{k % 2}", ts, [1000 * k + j for j in range(1 + 40 * (k == 7))], len(ts), k % 5 == 0, k % 7 == 0))
+    packs = spark.createDataFrame(rows, "topic string, ts array<string>, ids array<long>, n long, many boolean, query boolean")
+    want = sorted((a, b, len({*r[1]} & {*q[1]}), r[3], q[3], r[4], q[4]) for r in rows for q in rows if q[5] and r[0] == q[0] and {*r[1]} & {*q[1]} for a in r[2] for b in q[2])
+    flat = lambda df: df.withColumn("b", F.explode("ids_b")).withColumn("a", F.explode("ids_a")).select("a", "b", "c", "n_a", "n_b", "many_a", "many_b")
+    cells, real = [], type(packs).groupBy
+
+    def watched(df, *by):
+        if "asks" in df.columns:
+            cells.append([r["count"] for r in real(df, *by).count().collect()])
+        return real(df, *by)
+
+    monkeypatch.setattr(type(packs), "groupBy", watched)
+    for sizes in ((4096, 16384, 2048), (10, 50, 3)):
+        for name, size in zip(("SETS", "IDS", "QUERIES"), sizes, strict=True):
+            monkeypatch.setattr(ov, name, size)
+        assert sorted(map(tuple, flat(ov.overlaps(packs, "topic")).collect())) == want
+    assert len(cells[0]) == 2 and len(cells[1]) > 20 and max(cells[1]) < min(cells[0]) / 2
+    monkeypatch.setattr(ov, "BATCH", 30)
+    one = pa.table({"ts": [r[1] for r in rows] + [r[1] for r in rows if r[5]], "ids": [r[2] for r in rows] + [r[2] for r in rows if r[5]], "n": [r[3] for r in rows] + [r[3] for r in rows if r[5]], "many": [r[4] for r in rows] + [r[4] for r in rows if r[5]], "asks": [False] * len(rows) + [True] * sum(r[5] for r in rows)})
+    found = list(ov._counted(iter(one.to_batches(max_chunksize=17))))
+    got = sorted((a, b, r["c"]) for t in found for r in t.to_pylist() for a in r["ids_a"] for b in r["ids_b"])
+    assert len(found) > 5 and max(len(r["ids_b"]) for t in found for r in t.to_pylist()) <= ov.FEW
+    assert got == sorted((a, b, len({*r[1]} & {*q[1]})) for r in rows for q in rows if q[5] and {*r[1]} & {*q[1]} for a in r[2] for b in q[2])
