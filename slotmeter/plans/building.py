@@ -47,7 +47,7 @@ def fusion_sweep(spark, sf_dir):
     n_confirm is the number of confirm thresholds above the reject threshold; the best pair is chosen on dev examples.
     """
     rejects, adds = range(1, 6), range(3, 8)
-    records = routing.source_records(spark, sf_dir, routing.sides(spark, sf_dir).select("example_id", "side"))
+    records = routing.source_records(spark, sf_dir, routing.sides(spark, sf_dir).select("example_id", "side"), best=True)
     source = records.select(F.col("example_id").alias("source_id"), rc.with_last(F.col("gold"), F.col("facts")).alias("slots"))
     rows = fx.negatives(spark, sf_dir).join(source.hint("merge"), "source_id").select("example_id", rc.probable(F.col("slots"), fx.prob).alias("probable"))
     rows = rows.join(records.where("side is not null").select("example_id", "gold", "side", rc.filled(F.col("extraction")).alias("x")).hint("merge"), "example_id")

@@ -182,3 +182,18 @@ def test_sets_meet_queries_in_cells_of_bounded_size(spark, monkeypatch):
     got = sorted((a, b, r["c"]) for t in found for r in t.to_pylist() for a in r["ids_a"] for b in r["ids_b"])
     assert len(found) > 5 and max(len(r["ids_b"]) for t in found for r in t.to_pylist()) <= ov.FEW
     assert got == sorted((a, b, len({*r[1]} & {*q[1]})) for r in rows for q in rows if q[5] and {*r[1]} & {*q[1]} for a in r[2] for b in q[2])
+
+
+def test_entailment_sweep_counts_in_the_pairs_row(spark):
+    """As recovered slot tables and slot joins count, threshold by threshold; no row of a slot or threshold in a shuffle."""
+    from slotmeter.operators import verify as v
+    from slotmeter.plans import routing
+
+    found = registry.QUERIES["entailment_sweep"](spark, SF)
+    shuffles = [x for x in plan(found).splitlines() if "Exchange" in x]
+    assert shuffles and not any("slot#" in x or "hashpartitioning(t#" in x for x in shuffles)
+    got, pairs = {r["t"]: r for r in found.collect()}, fx.negatives(spark, SF)
+    for t in (0.1, 0.3, 0.5, 0.7):
+        made = routing.methods(spark, SF, ("gold",)) | {"verification": v.recover(routing.probs(spark, SF), v.PAIR, t)}
+        want = v.tally(v.agreement(v.method_counts(pairs, made, routing.given(spark, SF))), [["method"]]).drop("method").head().asDict()
+        assert got[t].asDict() == {"t": t, **want}
