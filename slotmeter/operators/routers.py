@@ -17,8 +17,8 @@ from slotmeter.sources.work import written
 
 #: Configurations of the boosted panel: depth, trees, step.
 BOOSTED = ((3, 100, 0.1), (4, 150, 0.1), (3, 200, 0.05))
-#: Distinct rows of a task while trees are fitted; each level of each tree is a job of as many tasks.
-ROWS = 50_000
+#: Different rows of a task while trees are fitted, at least, and at most once every core has one: each level of a tree is a job.
+ROWS, MOST_ROWS = 50_000, 1_000_000
 
 
 @dataclass
@@ -97,7 +97,9 @@ def boosted_panel(rows: DataFrame, inputs: list[str], cost: str, configs=BOOSTED
     base, _, _, _ = _prepared(rows, inputs)
     kinds = written(grouped(rows, inputs, cost))
     table = base._scaled(kinds).select("features", F.col("_row.label").cast("double").alias("label"), F.col("_row.n").cast("double").alias("plain"), F.col(f"_row.{cost}").cast("double").alias("weighted"))
-    table = table.repartition(-(-kinds.count() // ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
+    n = kinds.count()
+    tasks = max(min(-(-n // ROWS), rows.sparkSession.sparkContext.defaultParallelism), -(-n // MOST_ROWS))
+    table = table.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(one: tuple) -> tuple[str, Router]:
         (depth, trees, step), kind = one
